@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesheaf.llm.common import text_batches
+
 #: Fixed value: the pre-tokenisation pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_CHARS = 16_384
@@ -167,6 +169,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
     ``piece_chars`` code points go through the tree: distinct long texts are cut, their pieces are
     encoded as separate rows, and one task per long text joins the id lists.
     """
+    text_batches(df.sparkSession)
     enc, keep = _encoder(tokenizer), [F.col(f"`{c}`") for c in df.columns if c != out]
     body, key = F.coalesce(F.col(text), F.lit("")), "__bpe_key"
     long = F.length(body) > piece_chars
@@ -192,4 +195,5 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids`` in ``out`` (replaced if there). Null gives null, an empty list an empty text; unknown or null ids are skipped."""
+    text_batches(df.sparkSession)
     return df.withColumn(out, _decoder(tokenizer)(F.col(ids)))

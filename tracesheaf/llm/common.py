@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Lower the session's Arrow batch limits: rows hold whole texts, and a worker holds a few batches at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def held_out(id_col: str) -> Column:
     """True for the rows no model may learn from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracesheaf.llm.common import text_batches
+
 #: Bounds of the model: training documents for each language, words, n-grams, languages.
 SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 2500, 150_000, 60_000, 200
 MAX_ORDER = 4
@@ -110,6 +112,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def predict_column(spark, model: LangModel, text: str = "text") -> Column:
     """Struct (lang_pred, score) for each whole text; null and letterless texts are ``und`` with score 0."""
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesheaf.llm.common import text_batches
+
 #: Labelled documents that the model is fitted on at most (those of the smallest id hash), bins, rounds, pairs, rate.
 SAMPLE_DOCS, BINS, ROUNDS, PAIRS, RATE = 20_000, 32, 150, 8, 0.1
 FEATURES = [
@@ -146,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Only the chosen rows' features reach the driver: sample_docs times len(FEATURES) numbers.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = known.collect()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import connected_components, written
+from tracesheaf.llm.common import connected_components, text_batches, written
 
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Shards above this are split by the bits that they do not share before a tree is built.
@@ -167,6 +167,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     distinct fingerprints are searched. Null ids stay as rows but never name a component that has another id.
     row_key is a 64-bit hash of id and text.
     """
+    text_batches(df.sparkSession)
     rows = written(df.select(F.col(doc_id).alias("doc_id"), simhash_column(text, words).alias("fp"), F.xxhash64(doc_id, text).alias("row_key")), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")

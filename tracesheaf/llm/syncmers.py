@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesheaf.llm.common import text_batches
+
 K, S = 40, 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -81,6 +83,7 @@ def compare_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     well, so neighbours always meet within a task. Only one boundary for each range reaches the driver.
     """
     spark = df.sparkSession
+    text_batches(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] or []
