@@ -238,8 +238,8 @@ def peaks(spark, sf_dir):
 @query
 def iei(spark, sf_dir):
     """W3, A15."""
-    p = _peak_arrays(spark, sf_dir).select("fov", "roi", F.explode(events.inter_event_intervals(F.col("peaks"), F.col("times"))).cast("decimal(20,3)").alias("iei"))
-    return stats.interval_summary(p)
+    p = _peak_arrays(spark, sf_dir).select("fov", "roi", F.explode(events.inter_event_intervals(F.col("peaks"), F.col("times"))).alias("iei"))
+    return stats.interval_summary(p.withColumn("iei", F.col("iei").cast("decimal(20,3)")))
 
 
 @query
