@@ -21,7 +21,7 @@ from tracesheaf.llm.common import text_batches
 
 #: Fixed value: the pre-tokenisation pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE_CHARS = 16_384
+PIECE_CHARS = 32_768
 
 
 class Codec:
@@ -49,6 +49,7 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * size
         for k, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = k
+        self.packed = "<u2" if size <= 1 << 16 else "<u4"
         self.known = np.zeros(size, bool)
         self.known[[*ranks.values(), *self.special.values()]] = True
 
@@ -153,6 +154,22 @@ def _encoder(path: str):
     return encode_texts
 
 
+def _packers(path: str):
+    """Id lists as bytes for the shuffles of the tree: two bytes an id where the vocabulary allows."""
+
+    @F.arrow_udf("binary")
+    def pack(ids: pa.Array) -> pa.Array:
+        c = codec(path)
+        return pa.array([v.values.to_numpy(zero_copy_only=False).astype(c.packed).tobytes() for v in ids], pa.binary())
+
+    @F.arrow_udf("array<int>")
+    def unpack(data: pa.Array) -> pa.Array:
+        c = codec(path)
+        return _lists([np.frombuffer(v.as_py(), c.packed).astype(np.int32) for v in data], [True] * len(data))
+
+    return pack, unpack
+
+
 def _decoder(path: str):
     @F.arrow_udf("string")
     def decode_ids(ids: pa.Array) -> pa.Array:
@@ -175,22 +192,23 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
     long = F.length(body) > piece_chars
     short = df.where(~long).select(*keep, enc(body).alias(out))
 
+    pack, unpack = _packers(tokenizer)
     pieces = (
         df.where(long)
         .select(F.sha2(F.col(text), 256).alias(key), F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece_chars}}}"), F.lit(0))).alias("n", "piece"))
         .dropDuplicates([key, "n"])
-        .select(key, "n", enc("piece").alias("part"))
+        .select(key, "n", pack(enc("piece")).alias("part"))
     )
 
     def assemble(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["n"].to_pylist(), range(table.num_rows)))
-        parts = [table["part"][i].values.to_numpy(zero_copy_only=False).astype(np.int32) for _, i in rows]
-        whole = codec(tokenizer).concat(parts)
-        return pa.table({key: table[key][:1].combine_chunks(), "joined": _lists([whole], [True])})
+        c = codec(tokenizer)
+        whole = c.concat([np.frombuffer(table["part"][i].as_py(), c.packed).astype(np.int32) for _, i in rows])
+        return pa.table({key: table[key][:1].combine_chunks(), "joined": pa.array([whole.astype(c.packed).tobytes()], pa.binary())})
 
-    whole = pieces.groupBy(key).applyInArrow(assemble, f"{key} string, joined array<int>")
+    whole = pieces.groupBy(key).applyInArrow(assemble, f"{key} string, joined binary")
     longs = df.where(long).select(*keep, F.sha2(F.col(text), 256).alias(key)).join(whole, key)
-    return short.unionByName(longs.select(*keep, F.col("joined").alias(out)))
+    return short.unionByName(longs.select(*keep, unpack("joined").alias(out)))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
