@@ -69,7 +69,7 @@ def _with(sql: str) -> str:
 
 def _burst(length: str, gap: str) -> str:
     each = f"SELECT fov, count(*) AS c, avg({length}) AS length, avg(gap) AS gap FROM (SELECT *, {gap} AS gap FROM bst WINDOW w AS (PARTITION BY fov ORDER BY start)) GROUP BY fov"
-    dt = "seconds / (n_frames - 1)"
+    dt = "(seconds / (n_frames - 1))"
     return f"SELECT ff.fov, coalesce(c, 0) AS count, round(coalesce(length * {dt}, 0), 6) AS avg_duration_sec, round(coalesce(gap * {dt}, 0), 6) AS avg_interval_sec, round(coalesce(c / (seconds / 60), 0), 6) AS rate_burst_per_min FROM ff LEFT JOIN ({each}) b ON b.fov = ff.fov"
 
 
