@@ -38,26 +38,37 @@ class LangModel:
         for g, c in grams.items():
             order[len(g)] = order.get(len(g), 0) + np.array(c, float)
             size[len(g)] = size.get(len(g), 0) + 1
-        self.gram = {g: np.log((np.array(c, float) + 0.5) / (order[len(g)] + 0.5 * size[len(g)])) for g, c in grams.items()}
+        self.gram_row = {g: i for i, g in enumerate(grams)}
+        logs = [np.log((np.array(c, float) + 0.5) / (order[len(g)] + 0.5 * size[len(g)])) for g, c in grams.items()]
+        self.gram_logs = np.array(logs, np.float64).reshape(-1, n)
         self.base = len(table)
         self.rows = np.array(table, np.float32).reshape(-1, n)
         self.cache: dict[str, int] = {}
 
-    def _unseen(self, word: str) -> np.ndarray:
-        padded = f"^{word}$"
+    def _grams(self, word: str) -> list[int]:
+        """Rows of the word's known n-grams of the longest order that has any."""
+        padded, known = f"^{word}$", self.gram_row.get
         for k in range(min(MAX_ORDER, len(padded)), 0, -1):
-            found = [v for i in range(len(padded) - k + 1) if (v := self.gram.get(padded[i : i + k])) is not None]
+            found = [r for i in range(len(padded) - k + 1) if (r := known(padded[i : i + k])) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(max(1, len(self.langs)))
-
-    def _row(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), self.rows.shape[1]), np.float32)])
-        self.rows[self.used] = self._unseen(word)
-        self.cache[word] = self.used
-        self.used += 1
-        return self.used - 1
+                return found
+        return []
+
+    def _learn(self, words: list[str]) -> None:
+        """Give each unseen word a row: the mean over its n-grams, 0 without any."""
+        grams = [self._grams(w) for w in words]
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        new = np.zeros((len(words), self.rows.shape[1]))
+        some = sizes > 0
+        if some.any():
+            flat = self.gram_logs[np.array([i for g in grams for i in g])]
+            new[some] = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes[some])[:-1]])) / sizes[some, None]
+        if self.used + len(words) > len(self.rows):
+            more = max(len(self.rows), len(words), 1024)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)])
+        self.rows[self.used : self.used + len(words)] = new
+        self.cache.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
@@ -65,9 +76,10 @@ class LangModel:
             return "und", 0.0
         if not self.cache or len(self.cache) > 300_000:
             self.cache, self.used = dict(self.word_row), self.base
-        known = self.cache.get
-        at = [i if (i := known(w)) is not None else self._row(w) for w in words]
-        s = self.rows[at].sum(axis=0, dtype=np.float64)
+        cache = self.cache
+        if unseen := [w for w in set(words) if w not in cache]:
+            self._learn(unseen)
+        s = self.rows[[cache[w] for w in words]].sum(axis=0, dtype=np.float64)
         p = np.exp(s - s.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
