@@ -19,6 +19,8 @@ from tracesheaf.llm.common import text_batches
 #: Bounds of the model: training documents for each language, words, n-grams, languages.
 SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, MAX_LANGS = 2500, 150_000, 60_000, 200
 MAX_ORDER = 4
+#: Candidates for a language's sample, as a multiple of it.
+CUT_MARGIN = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -93,11 +95,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).where("doc_id is not null and lang is not null")
-    langs = sorted(r[0] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    rows = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    langs = sorted(r["lang"] for r in rows)
     if not langs:
         return LangModel([], {}, {})
+    # Hashes below the cut are about CUT_MARGIN samples of a language, however many documents it has; the window picks among those.
+    share = F.create_map(*[F.lit(x) for r in rows for x in (r["lang"], min(1.0, CUT_MARGIN * sample_docs / r["count"]))])
+    below = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.element_at(share, F.col("lang"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs)
+    chosen = named.where(F.col("lang").isin(langs) & below).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # at most MAX_LANGS * sample_docs ids
     picked = spark.createDataFrame([(i,) for i in ids], docs.select(F.col(doc_id).alias("doc_id")).schema)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
