@@ -24,7 +24,7 @@ FEATURES = ["rule", "digits", "before", "after", "form"]
 
 # Stand-ins (private use characters) for a separator between two digits and for a dot between two label characters: with them
 # chains are plain runs, which match without backtracking or recursion however long they are.
-_SEP, _DOT, _TAKEN = "", "", ""
+_SEP, _DOT, _TAKEN = "\ue000", "\ue001", "\ue002"
 _L = "A-Za-z0-9-"
 
 #: Gazetteers and cues.

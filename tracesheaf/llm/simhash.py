@@ -182,6 +182,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     mine = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
     # Components without any id are told apart by fingerprint alone; they are rare and each keeps one row for each fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    kept = classes.groupBy(group.alias("g")).agg(F.min(mine).alias("m")).select(F.col("m.row_key").alias("__row_key")).distinct()
-    out = df.withColumn("__row_key", F.xxhash64(doc_id, text)).join(kept, "__row_key", "left_semi")
-    return out.dropDuplicates(["__row_key"]).drop("__row_key")
+    kept = classes.groupBy(group.alias("g")).agg(F.min(mine).alias("m")).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row_key").alias("__kept_key"))
+    rows = df.withColumn("__row_key", F.xxhash64(doc_id, text))
+    out = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept_id")) & (F.col("__row_key") == F.col("__kept_key")), "left_semi")
+    return out.dropDuplicates([doc_id, "__row_key"]).drop("__row_key")
