@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesheaf.llm import bpe, langid, mixing, pii, simhash
+from tracesheaf.llm import bpe, langid, mixing, nearcopies, pii
 from tracesheaf.llm.common import held_out, written
 from tracesheaf.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component, that with the smallest id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps one document of each group of near copies (five-word shingles, similarity of 0.8 or more), that with the smallest id."""
+    return nearcopies.keep_one(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

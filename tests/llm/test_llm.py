@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracesheaf.llm import bpe, langid, mixing, pii, quality, queries, simhash, syncmers, topk, urlfilter, warc
+from tracesheaf.llm import bpe, langid, mixing, nearcopies, pii, quality, queries, simhash, syncmers, topk, urlfilter, warc
 from tracesheaf.llm.common import connected_components, held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, pii string, copies string"
@@ -125,6 +125,39 @@ def test_simhash_components(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [4096, 40])
+def test_near_copies_equal_brute_force(spark, odd, monkeypatch, nodes):
+    """Several templates with copies edited more or less, so that groups hold pairs on either side of the threshold; small trees cut shards into blocks."""
+    monkeypatch.setattr(nearcopies, "TREE_NODES", nodes)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for size, copies in ((120, 150), (60, 40), (300, 40), (8, 20)):
+        template = [word() for _ in range(size)]
+        for _ in range(copies):
+            own = list(template)
+            for _ in range(rng.randint(0, max(1, size // 25))):
+                own[rng.randrange(size)] = word()
+            texts.append(" ".join(own))
+    texts += [" ".join(word() for _ in range(50)) for _ in range(60)] + ["one two", "One TWO ", "", " \n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(nearcopies.shingle_set(t).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                parent[simhash._find(parent, i)] = simhash._find(parent, j)
+    want, got = {}, {}
+    for i in range(len(texts)):
+        want.setdefault(simhash._find(parent, i), set()).add(i)
+    for r in nearcopies.near_copies(df).collect():
+        got.setdefault(r.group, set()).add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
+    kept = nearcopies.keep_one(odd)
+    assert sorted(r.doc_id or 0 for r in kept.collect()).count(3) == 1 and kept.columns == odd.columns
+    assert nearcopies.near_copies(odd).count() == odd.count() and nearcopies.keep_one(odd.limit(0)).count() == 0
+
+
 def test_syncmers_follow_the_order(spark, odd):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]

@@ -25,22 +25,34 @@ WORDS, RADIUS, SEED = 3, 2, 42
 TREE_NODES = 4096
 
 
-def simhash(text: str | None, words: int = WORDS) -> int:
-    """64-bit SimHash over word shingles, as an unsigned integer; 0 where there is no word."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of every word shingle of the whole text (uint64), repeats included; none where there is no word."""
     parts = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     n = max(1, len(parts) - words + 1)
     begin = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     until = ends[-n:].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(whole[s:e], SEED) for s, e in zip(begin, until)], ">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.array([h(whole[s:e], SEED) for s, e in zip(begin, until)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of ``hashes``, as an unsigned integer; 0 of none."""
+    n = len(hashes)
+    if not n:
+        return 0
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def simhash(text: str | None, words: int = WORDS) -> int:
+    """64-bit SimHash over word shingles, as an unsigned integer; 0 where there is no word."""
+    return majority(shingle_hashes(text, words))
+
+
 def simhash_column(text: str = "text", words: int = WORDS) -> Column:
     """The fingerprint as a signed bigint with the same 64 bits."""
 
