@@ -28,6 +28,8 @@ from tracesheaf.llm.simhash import BKTree, majority, shingle_hashes
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Search radius in bits, the distance at which a first neighbour is close enough, nodes of one tree.
 RADIUS, CLOSE, TREE_NODES = 22, 6, 4096
+#: Nodes with shard-mates whose ids (24 bytes each) may be broadcast to pick their texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 500_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +127,19 @@ def _search(keyed: DataFrame, keys: list[str], find) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct()
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets reach ``similarity``; ``texts`` is (doc_id, row_key, text) of all rows, ``pairs`` holds where to find each."""
-    ends = pairs.select(F.explode(F.array("pa", "pb")).alias("e")).select("e.*").distinct()
-    body = texts.join(ends, texts["doc_id"].eqNullSafe(ends["id"]) & (texts["row_key"] == ends["key"]), "inner")
-    sets = written(body.select("sid", "text").dropDuplicates(["sid"]).select("sid", _sets(words)("text").alias("h")), f"{name}-sets")
-    both = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+def _shingle_sets(ends: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(sid, h) for the nodes ``ends`` (sid, id, key), from the one pass over ``texts`` (doc_id, row_key, text)."""
+    small = ends.count() <= BROADCAST_ROWS
+    same = F.coalesce(F.col("doc_id") == F.col("id"), F.col("doc_id").isNull() & F.col("id").isNull())
+    body = texts.join(F.broadcast(ends) if small else ends, (F.col("row_key") == F.col("key")) & same)
+    return written(body.select("sid", "text").dropDuplicates(["sid"]).select("sid", _sets(words)("text").alias("h")), "sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets reach ``similarity``."""
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return written(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), name)
+    return written(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "links")
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -148,7 +155,6 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     rows = written(rows.select("doc_id", "row_key", "s.*"), "sketches")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
     nodes = written(rows.groupBy("sid").agg(place.alias("p"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "nodes")
-    places = nodes.select("sid", F.struct("sid", "p.id", "p.key").alias("p"))
     texts = df.select(F.col(doc_id).alias("doc_id"), key.alias("row_key"), F.col(text).alias("text"))
 
     # Only keys that two nodes share make a shard; counts are partial sums, so a frequent key stays cheap.
@@ -156,11 +162,9 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     counts = shards.groupBy("t", "k").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / TREE_NODES).cast("int")).drop("count")
     mates = written(shards.join(counts, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("sid", "t"), F.col("blocks")).cast("int")), "mates")
 
-    def located(pairs: DataFrame) -> DataFrame:
-        one, two = places.toDF("a", "pa"), places.toDF("b", "pb")
-        return written(pairs.join(one, "a").join(two, "b"), "pairs")
-
-    first = _checked(located(_search(mates, ["t", "k", "block"], lambda fp, n: neighbours(fp, n, similarity))), texts, words, similarity, "links")
+    ends = written(nodes.join(mates.select("sid").distinct(), "sid", "left_semi").select("sid", "p.id", "p.key"), "ends")
+    sets = _shingle_sets(ends, texts, words)
+    first = _checked(_search(mates, ["t", "k", "block"], lambda fp, n: neighbours(fp, n, similarity)), sets, similarity)
     comps = written(connected_components(first), "components")
     named = mates.join(comps.withColumnsRenamed({"node": "sid", "root": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("t", "k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "k")
@@ -168,7 +172,7 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     meet = named.join(mixed, ["t", "k"]).withColumn("o", other).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o"))
     rest = _search(meet, ["t", "k", "x", "y"], lambda fp, n, comp, block: across(fp, n, comp, block, similarity))
-    second = _checked(located(rest.join(first, ["a", "b"], "left_anti")), texts, words, similarity, "links")
+    second = _checked(rest.join(first, ["a", "b"], "left_anti"), sets, similarity)
     roots = connected_components(first.union(second)).withColumnsRenamed({"node": "sid", "root": "group"})
     return rows.join(roots, "sid", "left").select("doc_id", "row_key", F.coalesce("group", "sid").alias("group"))
 
@@ -179,5 +183,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     kept = near_copies(df, text, doc_id, words, similarity).groupBy("group").agg(F.min(mine).alias("m"))
     kept = kept.select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row_key").alias("__kept_key"))
     rows = df.withColumn("__row_key", F.xxhash64(doc_id, text))
-    out = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept_id")) & (F.col("__row_key") == F.col("__kept_key")), "left_semi")
+    # Joined on the hash, which covers the id, so that dropping repeats needs no second exchange of the texts.
+    same = F.coalesce(F.col(f"`{doc_id}`") == F.col("__kept_id"), F.col(f"`{doc_id}`").isNull() & F.col("__kept_id").isNull())
+    out = rows.join(kept, (F.col("__row_key") == F.col("__kept_key")) & same, "left_semi")
     return out.dropDuplicates([doc_id, "__row_key"]).drop("__row_key")
