@@ -177,6 +177,27 @@ def test_syncmers_follow_the_order(spark, odd):
     assert syncmers.compare_with_next(odd.limit(0)).count() == 0
 
 
+def test_syncmers_of_short_texts(spark):
+    rng = random.Random(3)
+    # The next text is one code point longer; that of the longest is the empty one.
+    rows = [(200 - n, "".join(rng.choice("abcdefghijklmnop éß") for _ in range(n))) for n in range(201)]
+    t = dict(rows)
+    for r in syncmers.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), partitions=3).collect():
+        n = len(t[r.doc_id])
+        assert (r.fingerprint == "") == (n == 0)
+        if n > 1:
+            assert 0 < r.near_edited < 1 and r.near_next < 1 and r.fingerprint != r.edited_fingerprint, n
+    for n in range(2, 400):
+        for _ in range(20):
+            a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for _ in "ab")
+            e = syncmers.edit(a, b[: rng.randint(0, n)])
+            got = syncmers.text_likeness(a, e, syncmers.anchors(a), syncmers.anchors(e))
+            assert got == 1.0 if a == e else 0 < got < 1, (a, e)
+            assert len(syncmers.anchors(a, syncmers.K, syncmers.S))
+    assert syncmers.text_likeness("", "", *[syncmers.anchors("")] * 2) == 1.0
+    assert syncmers.text_likeness("a", "", syncmers.anchors("a"), syncmers.anchors("")) == 0.0
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),

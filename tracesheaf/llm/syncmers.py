@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is kept if the smallest hash among its s-mers lies at its first or last place. The choice
-depends on the k-mer alone, so equal passages choose equal anchors wherever they stand. The fingerprint lists all
-anchors of the whole text in order as 32-bit hashes in hex; a text shorter than k has one anchor, of its whole.
+depends on the k-mer alone, so equal passages choose equal anchors wherever they stand. Every passage of 2k - s code points
+holds an anchor. Texts whose half may be shorter than that take the next finer k and s of ``LEVELS``, where one anchor of the
+whole text goes before the others. The fingerprint lists all anchors of the text in order as 32-bit hashes in hex.
+Two texts are compared at the level of the shorter one.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from tracesheaf.llm.common import text_batches
 
 K, S = 40, 8
+#: k and s from coarse to fine; a text takes the first of which each of its halves is sure to hold an anchor.
+LEVELS = [(K, S), (16, 8), (4, 2), (2, 1), (1, 1)]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
@@ -27,12 +31,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
-    """Anchor hashes (uint32) in order of position; k must be a multiple of s."""
+def level(n: int) -> tuple[int, int]:
+    """k and s for texts of ``n`` code points."""
+    return next(((k, s) for k, s in LEVELS if n >= 2 * (2 * k - s)), LEVELS[-1])
+
+
+def anchors(text: str, k: int | None = None, s: int | None = None) -> np.ndarray:
+    """Anchor hashes (uint32) in order of position, at the text's own level or at k and s; k must be a multiple of s. Only an empty text has none."""
+    if k is None or s is None:
+        k, s = level(len(text))
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    first = np.zeros(0, np.uint32)
+    if len(c) and (k < K or len(c) < k):
+        first = np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), np.uint32)
     if len(c) < k:
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-        return np.frombuffer(whole, np.uint32) if len(c) else np.zeros(0, np.uint32)
+        return first
     n, width = len(c) - s + 1, k - s + 1
     h = np.zeros(n, np.uint64)
     for i in range(s):
@@ -45,10 +58,12 @@ def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
     m = n - width + 1
     low = np.minimum(low[:m], low[width - span : width - span + m])
     at = np.flatnonzero((h[:m] == low) | (h[width - 1 :] == low))
+    if not len(at) and not len(first):
+        at = np.array([low.argmin()])  # a text between k and 2k - s code points without a syncmer
     g = np.zeros(len(at), np.uint64)
     for i in range(0, k, s):
         g = _mix(g * _BASE + h[at + i])
-    return (g >> np.uint64(32)).astype(np.uint32)
+    return np.concatenate([first, (g >> np.uint64(32)).astype(np.uint32)])
 
 
 def fingerprint(a: np.ndarray) -> str:
@@ -67,6 +82,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * both / (len(a) + len(b))
 
 
+def text_likeness(t: str, u: str, a: np.ndarray, b: np.ndarray) -> float:
+    """``likeness`` of two texts at the level of the shorter one; ``a`` and ``b`` are their anchors at their own levels."""
+    if t == u or not t or not u:
+        return float(t == u)
+    at = level(min(len(t), len(u)))
+    return likeness(a if level(len(t)) == at else anchors(t, *at), b if level(len(u)) == at else anchors(u, *at))
+
+
 def edit(text: str, nxt: str) -> str:
     """``text`` with its last half replaced by as many code points from the start of ``nxt``, or all of them."""
     half = len(text) // 2
@@ -121,7 +144,7 @@ def compare_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 if held is not None:
                     e = edit(held[1], t)
                     a = anchors(e)
-                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(held[2]), fingerprint(a), likeness(held[2], a), likeness(held[2], new[2])))
+                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(held[2]), fingerprint(a), text_likeness(held[1], e, held[2], a), text_likeness(held[1], t, held[2], new[2])))
                 held, done = (None, to) if guest else (new, done)
             if out:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
