@@ -40,10 +40,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the number of characters that decoding gives back."""
+    """Token ids of every text, with the number of characters and the sha256 of the text that decoding gives back."""
     path = tokenizer_path()
     encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path)
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    back = bpe.decode(encoded.drop("text"), path)
+    decoded = [F.length("decoded").cast("long").alias("n_decoded"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), *decoded, "ids")
 
 
 STAGES = [("languages", languages), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]

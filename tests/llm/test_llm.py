@@ -263,3 +263,17 @@ def test_pipeline(spark, sf):
         n.append(at.count())
     assert n[0] <= docs.count() and n[1] <= n[0] and n[2] == n[1]
     assert corpus_pipeline.run(spark, sf).count() == n[3]
+
+
+def test_pipeline_decodes_its_tokens(spark, sf, odd):
+    import corpus_pipeline
+
+    codec = bpe.codec(queries.tokenizer_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    for df in (docs, odd.select(*corpus_pipeline.COLUMNS), docs.limit(0)):
+        got = corpus_pipeline.tokens(spark, df, sf)
+        texts = [(r.doc_id or 0, r.text or "") for r in df.collect()]
+        want = sorted((i, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
+        rows = got.collect()
+        assert sorted((r.doc_id or 0, r.n_decoded, r.decoded_sha256) for r in rows) == want
+        assert all(r.n_tokens == len(r.ids) and r.n_decoded == len(codec.decode(np.array(r.ids, np.int32))) for r in rows)
