@@ -145,3 +145,55 @@ def test_result_file_names(spark):
     names = ["B5_0000_p0.json", "B5_x.json", "B5_x_p0.json", "plate_plan.json", "settings.json", "genotype_plate_map.json", ".a_b.json", "B5_0000_p0.csv", "B-5_0_p0.json"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.n for r in df.where(readers.is_result_file(F.col("n"))).collect()] == ["B5_0000_p0.json", "B5_x.json"]
+
+
+def plain_otsu(v, bins=256):
+    lo, hi = min(v), max(v)
+    step = (hi - lo) / bins
+    k = [min(bins - 1, int((x - lo) / step)) for x in v]
+    mid = [lo + (i + 0.5) * step for i in range(bins)]
+    best, at = -1.0, 0
+    for i in range(bins - 1):
+        a, b = [mid[j] for j in k if j <= i], [mid[j] for j in k if j > i]
+        if a and b and (score := len(a) * len(b) * (sum(a) / len(a) - sum(b) / len(b)) ** 2) > best + 1e-9:
+            best, at = score, i
+    return mid[at]
+
+
+def plain_mask(v, sigma=2.0):
+    """Stimulated pixels of one square array."""
+    from tracesheaf.operators.bursts import gaussian_kernel
+
+    n = len(v)
+    if set(v.ravel()) <= {0.0, 1.0} and v.max() == 1:
+        return {(y, x) for y in range(n) for x in range(n) if v[y, x] == 1}
+    if v.min() == v.max():
+        return set()
+    for axis in (0, 1):
+        v = sum(w * np.take(v, np.clip(np.arange(n) + k, 0, n - 1), axis) for k, w in gaussian_kernel(sigma))
+    m = v > plain_otsu(v.ravel().tolist())
+    for radius, grow in ((2, True), (2, False), (2, False), (5, True), (5, False)):
+        disk = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+        near = lambda y, x: [m[y + a, x + b] for a, b in disk if 0 <= y + a < n and 0 <= x + b < n]  # noqa: B023, E731
+        m = np.array([[(any if grow else all)(near(y, x)) for x in range(n)] for y in range(n)])
+    return {(int(y), int(x)) for y, x in np.argwhere(m)}
+
+
+def test_stimulation_mask_of_every_position(spark, sf):
+    from tracesheaf.plans import registry
+    from tracesheaf.sources import adapters
+
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[:24, :24]
+    images = {1: rng.normal(5, 1, (24, 24)) + 40 * ((y - 8) ** 2 + (x - 8) ** 2 < 36), 2: rng.normal(90, 3, (24, 24)) + 500 * (x > 14), 3: ((y > 3) & (x < 9)).astype(float), 4: np.ones((24, 24)), 5: np.zeros((24, 24))}
+    schema = "dataset string, p long, y int, x int, value double"
+    df = spark.createDataFrame([("d", p, i, j, float(v[i, j])) for p, v in images.items() for i in range(24) for j in range(24)], schema)
+    got = pixels.stimulation_mask(df, 24, 24, keys=pixels.AT)
+    assert got.columns == ["dataset", "p", "y", "x"]
+    rows = got.collect()
+    for p in images:
+        assert {(r.y, r.x) for r in rows if r.p == p} == plain_mask(images[p]), p
+    alone = pixels.stimulation_mask(df.where("p = 2").select("y", "x", "value"), 24, 24)
+    assert alone.columns == ["y", "x"] and {tuple(r) for r in alone.collect()} == plain_mask(images[2])
+    positions = {r.p for r in pixels.max_projection(adapters.pixels(spark, sf)).select("p").distinct().collect()}
+    assert {r.p for r in registry.stim_mask(spark, sf).select("p").distinct().collect()} == positions and len(positions) > 1

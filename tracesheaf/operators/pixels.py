@@ -112,65 +112,61 @@ def union_mask(labels: DataFrame) -> DataFrame:
     return labels.where("label <> 0").select(*AT, "y", "x").distinct()
 
 
-def _axis(df: DataFrame, axis: str, kernel: list[tuple[int, float]], size: int) -> DataFrame:
+def _axis(df: DataFrame, axis: str, kernel: list[tuple[int, float]], size: int, keys: list[str]) -> DataFrame:
     """One axis of a separable filter with edge samples repeated."""
     other = "x" if axis == "y" else "y"
     table = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("w")) for k, v in kernel]))
-    wide = df.select(other, F.col(axis).alias("at"), table.alias("m"))
+    wide = df.select(*keys, other, F.col(axis).alias("at"), table.alias("m"))
     source = F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col("at") + F.col("m.k")))
-    wide = wide.select(other, "at", source.alias(axis), F.col("m.w").alias("w"))
-    return wide.join(df, [other, axis]).groupBy(other, F.col("at").alias(axis)).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    wide = wide.select(*keys, other, "at", source.alias(axis), F.col("m.w").alias("w"))
+    return wide.join(df, [*keys, other, axis]).groupBy(*keys, other, F.col("at").alias(axis)).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def _disk(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 
 
-def _morph(df: DataFrame, radius: int, grow: bool, height: int, width: int) -> DataFrame:
+def _morph(df: DataFrame, radius: int, grow: bool, height: int, width: int, keys: list[str]) -> DataFrame:
     """Maximum or minimum of ``value`` over a disk; pixels outside the image do not count."""
     move = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _disk(radius)]))
-    wide = df.withColumn("m", move).select((F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), "value")
+    wide = df.withColumn("m", move).select(*keys, (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), "value")
     wide = wide.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return wide.groupBy("y", "x").agg((F.max if grow else F.min)("value").alias("value"))
-
-
-def otsu(df: DataFrame, bins: int = 256) -> float:
-    """The histogram bin centre of greatest between-class variance; only the histogram reaches the driver."""
-    lo, hi = df.agg(F.min("value"), F.max("value")).first()
-    if lo is None or lo == hi:
-        return float(lo or 0.0)
-    step = (hi - lo) / bins
-    k = F.least(F.lit(bins - 1), F.floor((F.col("value") - lo) / step))
-    rows = dict(df.groupBy(k.alias("k")).count().collect())
-    n = [rows.get(i, 0) for i in range(bins)]
-    mid = [lo + (i + 0.5) * step for i in range(bins)]
-    total, mass = sum(n), sum(c * m for c, m in zip(n, mid))
-    best, at, w, s = -1.0, 0, 0, 0.0
-    for i in range(bins - 1):
-        w, s = w + n[i], s + n[i] * mid[i]
-        if 0 < w < total:
-            v = w * (total - w) * (s / w - (mass - s) / (total - w)) ** 2
-            if v > best:
-                best, at = v, i
-    return mid[at]
-
-
-def stimulation_mask(image: DataFrame, height: int, width: int, sigma: float = 2.0) -> DataFrame:
-    """I4: (y, x) of the stimulated area of one image (y, x, value).
+    return wide.groupBy(*keys, "y", "x").agg((F.max if grow else F.min)("value").alias("value"))
+
+
+def otsu(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
+    """(keys, at): the histogram bin centre of greatest between-class variance of each image; of equal ones the lowest."""
+    ends = df.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / bins
+    k = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / step))).otherwise(0)
+    n = df.join(ends, keys).groupBy(*keys, "lo", "hi", k.alias("k")).agg(F.count("*").alias("n"))
+    n = n.withColumn("mid", F.col("lo") + (F.col("k") + 0.5) * step)
+    upto = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = {"w": F.sum("n").over(upto), "s": F.sum(F.col("n") * F.col("mid")).over(upto), "total": F.sum("n").over(whole), "mass": F.sum(F.col("n") * F.col("mid")).over(whole)}
+    rest = F.col("total") - F.col("w")
+    v = F.when(rest > 0, F.col("w") * rest * F.pow(F.col("s") / F.col("w") - (F.col("mass") - F.col("s")) / rest, F.lit(2.0)))
+    best = n.withColumns(sums).withColumn("v", v).groupBy(*keys).agg(F.max(F.struct("v", -F.col("k"), "mid", "lo", "hi")).alias("b"))
+    return best.select(*keys, F.when(F.col("b.hi") > F.col("b.lo"), F.col("b.mid")).otherwise(F.col("b.lo")).alias("at"))
+
+
+def stimulation_mask(image: DataFrame, height: int, width: int, sigma: float = 2.0, keys: list[str] = []) -> DataFrame:
+    """I4: (keys, y, x) of the stimulated area of each image (keys, y, x, value); without keys the rows are one image.
 
     An image of ones, or of zeros and ones, is the mask. Otherwise: Gaussian (edges repeated), Otsu threshold, closing by a disk of
     2, erosion by 2, closing by 5.
     """
-    values = [r[0] for r in image.select("value").distinct().limit(3).collect()]
-    if values and set(values) <= {0.0, 1.0} and 1.0 in values:
-        return image.where("value = 1").select("y", "x")
+    at = keys or ["__image"]
+    image = (image if keys else image.withColumn("__image", F.lit(0))).select(*at, "y", "x", "value")
+    plain = F.min(F.coalesce(F.col("value").isin(0.0, 1.0), F.lit(False))) & (F.max("value") == 1)
+    image = image.join(image.groupBy(*at).agg(plain.alias("__plain")), at)
     kernel = gaussian_kernel(sigma)
-    smooth = _axis(_axis(image.select("y", "x", "value"), "y", kernel, height), "x", kernel, width)
-    at = otsu(smooth)
-    m = smooth.withColumn("value", (F.col("value") > at).cast("double"))
+    smooth = image.where(~F.col("__plain")).drop("__plain")
+    smooth = _axis(_axis(smooth, "y", kernel, height, at), "x", kernel, width, at)
+    m = smooth.join(otsu(smooth, at), at).select(*at, "y", "x", (F.col("value") > F.col("at")).cast("double").alias("value"))
     for radius, grow in ((2, True), (2, False), (2, False), (5, True), (5, False)):
-        m = _morph(m, radius, grow, height, width)
-    return m.where("value = 1").select("y", "x")
+        m = _morph(m, radius, grow, height, width, at)
+    return image.where("__plain").select(*at, "y", "x", "value").unionByName(m).where("value = 1").select(*keys, "y", "x")
 
 
 def batch_inference(projection: DataFrame, model: Callable, schema: str = "dataset string, p int, y int, x int, label int") -> DataFrame:

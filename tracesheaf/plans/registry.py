@@ -590,9 +590,9 @@ def highlight(spark, sf_dir):
 
 @query
 def stim_mask(spark, sf_dir):
-    """I4 on one position's projection."""
-    image = pixels.max_projection(A.pixels(spark, sf_dir)).where("p = 1").select(F.col("y").cast("int"), F.col("x").cast("int"), "value")
-    return pixels.stimulation_mask(image, 32, 32)
+    """I4 on every position's projection."""
+    image = pixels.max_projection(A.pixels(spark, sf_dir)).select(*pixels.AT, F.col("y").cast("int"), F.col("x").cast("int"), "value")
+    return pixels.stimulation_mask(image, 32, 32, keys=pixels.AT).drop("dataset")
 
 
 def brightest(pdf):
