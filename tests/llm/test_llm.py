@@ -125,10 +125,11 @@ def test_simhash_components(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("nodes", [4096, 40])
-def test_near_copies_equal_brute_force(spark, odd, monkeypatch, nodes):
-    """Several templates with copies edited more or less, so that groups hold pairs on either side of the threshold; small trees cut shards into blocks."""
+@pytest.mark.parametrize(("nodes", "block"), [(4096, 1 << 18), (40, 1 << 18), (4096, 3000), (40, 1000)])
+def test_near_copies_equal_brute_force(spark, odd, monkeypatch, nodes, block):
+    """Several templates with copies edited more or less, so that groups hold pairs on either side of the threshold; small trees make shards whole families, small blocks cut families."""
     monkeypatch.setattr(nearcopies, "TREE_NODES", nodes)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     texts = []

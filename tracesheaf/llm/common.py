@@ -12,10 +12,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a local master a local one where it is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,12 +46,13 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint), root being the smallest node that it reaches.
 
     Alternates large-star and small-star contraction; each round is two aggregations and two
     equi-joins whose result is written, so neither the driver nor one task holds a component.
-    Nodes without edges are not returned. An empty table gives an empty table.
+    Nodes without edges are not returned. An empty table gives an empty table. The rounds grow with the logarithm of a component's
+    size; a table that is not settled after ``max_rounds`` is an error.
     """
     at = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -75,5 +78,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -3,16 +3,16 @@
 Documents whose sets of five-word shingles have a similarity of 0.8 differ in about ten of 64 bits and in up to twenty, and a search
 of that radius over all fingerprints prunes nothing. So shards hold what shares content: a document goes to one shard
 for each of BANDS keys, a key being made of ROWS minima of its shingle hashes. Within a shard a BK-tree of SimHash fingerprints finds the
-candidates within RADIUS, and each candidate pair is checked on the whole shingle sets. A pair at 0.8 shares no shard with
-a probability of 3e-6 and lies beyond the radius with about 1e-4; more alike pairs less often.
+candidates within RADIUS, and only a spanning forest of them leaves the shard: it joins documents to families. A pair at 0.8 shares
+no shard with a probability of 2e-4 and lies beyond the radius with about 5e-5; sets of up to SMALL shingles are held against all of their shard.
 
-Two passes keep groups of copies from becoming all their pairs: the first checks one close neighbour for each document and shard, the
-second only pairs whose components still differ. Equal shingle sets are one node from the start.
+The exact check runs once for each family, on whole shingle sets, where the family lies. A family above BLOCK is cut into blocks by hash: a block
+finds its groups, and then only what lies outside the family's largest group meets the other blocks. Of the check too only group names
+or a spanning forest leave a task, so no operator's rows grow with the pairs of a family. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesheaf.llm.common import connected_components, text_batches, written
-from tracesheaf.llm.simhash import BKTree, majority, shingle_hashes
-
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Search radius in bits, the distance at which a first neighbour is close enough, nodes of one tree.
-RADIUS, CLOSE, TREE_NODES = 22, 6, 4096
-#: Nodes with shard-mates whose ids (24 bytes each) may be broadcast to pick their texts; beyond it the texts are shuffled.
+from tracesheaf.llm.simhash import BKTree, _find, majority, shingle_hashes
+
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
+#: Search radius in bits; sets of so few shingles are compared without it; nodes of one tree: a larger shard is one family without a search.
+RADIUS, SMALL, TREE_NODES = 22, 16, 2048
+#: Weight of a block of the exact check: shingles, and NODE for each set.
+BLOCK, NODE = 1 << 18, 64
+#: Members of families whose ids (24 bytes each) may be broadcast to pick their texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 500_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,69 +79,155 @@ def _sets(words: int):
     return sets
 
 
-def neighbours(fp: list[int], n: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """For each fingerprint the nearest earlier one within RADIUS, or the first within CLOSE, as (index, index)."""
-    tree, found = BKTree(), []
+def shard_forest(fp: list[int], n: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest, as (index, index), of the candidate pairs of a shard: within the radius and near enough in size."""
+    tree, parent = BKTree(), list(range(len(fp)))
     for i, v in enumerate(fp):
-        best = (RADIUS + 1, -1)
-        for k in tree.within(v, RADIUS):
+        for k in tree.within(v, 64 if 4 * n[i] <= 5 * SMALL else RADIUS):
             if min(n[i], n[k]) >= similarity * max(n[i], n[k]):
-                best = min(best, ((v ^ fp[k]).bit_count(), k))
-                if best[0] <= CLOSE:
-                    break
-        if best[1] >= 0:
-            found.append((i, best[1]))
+                a, b = _find(parent, i), _find(parent, k)
+                parent[max(a, b)] = min(a, b)
         tree.add(v)
-    return found
+    return [(i, r) for i in range(len(fp)) if (r := _find(parent, i)) != i]
+
+
+def _candidates(shards: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links among the nodes of ``shards`` (t, k, sid, fp, n) that together join what a shard's candidates join."""
+    counts = shards.groupBy("t", "k").agg(F.count("*").alias("c"), F.min("sid").alias("b"))
+    hot = written(counts.where(F.col("c") > TREE_NODES).drop("c"), "hot")
+    whole = shards.join(hot, ["t", "k"]).select(F.col("sid").alias("a"), "b")
+    dealt = shards.join(hot, ["t", "k"], "left_anti").repartition("t", "k").sortWithinPartitions("t", "k", "sid").select("t", "k", "sid", "fp", "n")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for b in batches:
+            waiting = b if waiting is None else pa.Table.from_batches([waiting, b]).combine_chunks().to_batches()[0]
+            t, k = waiting.column(0).to_numpy(), waiting.column(1).to_numpy()
+            edge = np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0)) + 1
+            if len(edge):  # the last shard may go on in the next batch
+                yield from links(waiting.slice(0, int(edge[-1])), edge)
+                waiting = waiting.slice(int(edge[-1]))
+        if waiting is not None and waiting.num_rows > 1:
+            yield from links(waiting, np.array([waiting.num_rows]))
+
+    def links(rows: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sid, fp, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
+        begins = np.concatenate([[0], ends[:-1]])
+        several = ends - begins > 1
+        a, b = [], []
+        for s, e in zip(begins[several].tolist(), ends[several].tolist()):
+            for i, r in shard_forest(fp[s:e].astype(np.uint64).tolist(), n[s:e].tolist(), similarity):
+                a.append(sid[s + i])
+                b.append(sid[s + r])
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(search, "a long, b long").union(whole)
+
+
+class _Block:
+    """Shingle sets of one block with their groups; ``shared`` counts what a set has in common with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.words, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sizes = np.array([len(s) for s in sets])
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.mark = np.zeros(len(self.words), bool)
+
+    def similar(self, h: np.ndarray, similarity: float, upto: int | None = None) -> np.ndarray:
+        """Indexes (below ``upto``) of the sets that reach ``similarity`` with ``h``."""
+        upto = len(self.sizes) if upto is None else upto
+        if not upto:
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.words, h)
+        at = at[self.words[np.minimum(at, len(self.words) - 1)] == h]
+        self.mark[at] = True
+        end = int(self.begins[upto - 1] + self.sizes[upto - 1])
+        shared = np.add.reduceat(self.mark[self.ids[:end]], self.begins[:upto], dtype=np.int64)
+        self.mark[at] = False
+        return np.flatnonzero(shared >= similarity * (len(h) + self.sizes[:upto] - shared))
+
+
+def groups_within(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[int]:
+    """For each set (not empty) the first index of its group: single linkage at ``similarity``, exact."""
+    block, parent = _Block(sets), list(range(len(sets)))
+    for i, h in enumerate(sets):
+        for k in block.similar(h, similarity, i).tolist():
+            a, b = _find(parent, i), _find(parent, k)
+            parent[max(a, b)] = min(a, b)
+    return [_find(parent, i) for i in range(len(sets))]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
+    """Consecutive rows that agree on the first ``width`` columns, as (key, iterator of the other columns); lists come as arrays."""
+    rows = (r for b in batches for r in zip(*([x.values.to_numpy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in b.columns)))
+    return groupby(rows, key=lambda r: r[:width])
+
+
+def _inside(members: DataFrame, similarity: float) -> DataFrame:
+    """(sid, root): the groups within each block of ``members`` (family, block, sid, h)."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, run in _runs(batches, 2):
+            sid, sets = zip(*(r[2:] for r in run))
+            root = [sid[r] for r in groups_within(sets, similarity)] if len(sid) > 1 else sid
+            yield pa.record_batch([pa.array(sid, pa.int64()), pa.array(root, pa.int64())], names=["sid", "root"])
 
-def across(fp: list[int], n: list[int], comp: list[int], block: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """All pairs within RADIUS whose components differ, as (index, index); of two blocks only the pairs between them."""
-    big, _ = Counter(comp).most_common(1)[0]
-    tree, two, found = BKTree(), len(set(block)) > 1, []
-    for v in fp:
-        tree.add(v)
-    for i, v in enumerate(fp):
-        if comp[i] != big:  # members of the largest component are only found, never asked
-            for k in tree.within(v, RADIUS):
-                new = comp[k] == big or k < i and comp[k] != comp[i]
-                if new and (not two or block[i] != block[k]) and min(n[i], n[k]) >= similarity * max(n[i], n[k]):
-                    found.append((i, k))
-    return found
+    dealt = members.repartition("family", "block").sortWithinPartitions("family", "block", "sid").select("family", "block", "sid", "h")
+    return dealt.mapInArrow(work, "sid long, root long")
 
 
-def _search(keyed: DataFrame, keys: list[str], find) -> DataFrame:
-    """(a, b), a > b, of the links that ``find`` gives for each group of ``keys``; a group is a tree of bounded size."""
-    order = [*keys, "sid"]
-    cols = [c for c in ("fp", "n", "comp", "block") if c in keyed.columns and c not in keys]
-    dealt = keyed.repartition(*keys).sortWithinPartitions(*order).select(*order, *cols)
+def _between(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), group names: links of the guests of each block with its own sets. ``members``: (family, block, guest, sid, root, h)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for _, group in groupby(rows, key=lambda r: r[: len(keys)]):
-            sid, *rest = zip(*(r[len(keys) :] for r in group))
-            if len(sid) > 1:
-                rest[0] = [v & (1 << 64) - 1 for v in rest[0]]
-                links = [(max(sid[i], sid[k]), min(sid[i], sid[k])) for i, k in find(*rest)]
-                if links:
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
-
-    return dealt.mapInArrow(work, "a long, b long").where("a <> b").distinct()
+        for _, run in _runs(batches, 2):
+            names, sets, block, known, links = [], [], None, {}, []
+            for guest, sid, root, h in (r[2:] for r in run):
+                if not guest:  # its own sets come first
+                    names.append(root)
+                    sets.append(h)
+                    continue
+                block = block or (_Block(sets) if sets else None)
+                for k in block.similar(h, similarity).tolist() if block else ():
+                    a, b = _root(known, root), _root(known, names[k])
+                    if a != b:
+                        known[max(a, b)] = min(a, b)
+                        links.append((a, b))
+            if links:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+    order = ["family", "block", "guest", "sid"]
+    return members.repartition("family", "block").sortWithinPartitions(*order).select(*order, "root", "h").mapInArrow(work, "a long, b long")
+
+
+def _root(known: dict[int, int], v: int) -> int:
+    while known.get(v, v) != v:
+        v = known[v]
+    return v
 
 
 def _shingle_sets(ends: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(sid, h) for the nodes ``ends`` (sid, id, key), from the one pass over ``texts`` (doc_id, row_key, text)."""
+    """``ends`` (sid, family, block, id, key) with h in place of id and key, from the one pass over ``texts`` (doc_id, row_key, text)."""
     small = ends.count() <= BROADCAST_ROWS
     same = F.coalesce(F.col("doc_id") == F.col("id"), F.col("doc_id").isNull() & F.col("id").isNull())
     body = texts.join(F.broadcast(ends) if small else ends, (F.col("row_key") == F.col("key")) & same)
-    return written(body.select("sid", "text").dropDuplicates(["sid"]).select("sid", _sets(words)("text").alias("h")), "sets")
+    return written(body.select("family", "block", "sid", _sets(words)("text").alias("h")).dropDuplicates(["family", "block", "sid"]), "sets")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets reach ``similarity``."""
-    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return written(both.where(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "links")
+def _groups(members: DataFrame, cut: DataFrame, similarity: float) -> DataFrame:
+    """(sid, group) of ``members`` (family, block, sid, h); ``cut``: (family, blocks) of the families that have several."""
+    inside = written(_inside(members, similarity), "inside")
+    if not cut.head(1):
+        return inside.withColumnRenamed("root", "group")
+    parts = members.join(cut, "family").join(inside, "sid")
+    sizes = parts.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    parts = parts.join(sizes, "family")
+    away = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("root") != F.col("largest")) & (o != F.col("block")))
+    places = F.concat(F.array(F.struct(F.col("block").alias("to"), F.lit(False).alias("guest"))), F.transform(away, lambda o: F.struct(o.alias("to"), F.lit(True).alias("guest"))))
+    met = parts.select("family", "sid", "root", "h", F.explode(places).alias("p")).select("family", F.col("p.to").alias("block"), "p.guest", "sid", "root", "h")
+    joined = connected_components(_between(met, similarity)).withColumnsRenamed({"root": "group", "node": "root"})
+    return inside.join(joined, "root", "left").select("sid", F.coalesce("group", "root").alias("group"))
 
 
 def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,7 +235,7 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
 
     The similarity is that of the sets of word shingles of whole texts, A-Z lower-cased (fewer words: the whole sequence). Null, empty and
     word-free texts form one group. Equal texts always meet; repeated rows stay rows; an empty table gives no rows.
-    row_key is a 64-bit hash of id and text. ``similarity`` under 0.8 lowers the share of pairs that meet in a shard.
+    row_key is a 64-bit hash of id and text. ``similarity`` under 0.8 lowers the share of pairs that meet in a shard. Lowers the session's Arrow batch limits.
     """
     text_batches(df.sparkSession)
     key = F.xxhash64(doc_id, text)
@@ -157,24 +245,15 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
     nodes = written(rows.groupBy("sid").agg(place.alias("p"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "nodes")
     texts = df.select(F.col(doc_id).alias("doc_id"), key.alias("row_key"), F.col(text).alias("text"))
 
-    # Only keys that two nodes share make a shard; counts are partial sums, so a frequent key stays cheap.
     shards = nodes.select("sid", "fp", "n", F.posexplode("keys").alias("t", "k"))
-    counts = shards.groupBy("t", "k").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / TREE_NODES).cast("int")).drop("count")
-    mates = written(shards.join(counts, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("sid", "t"), F.col("blocks")).cast("int")), "mates")
-
-    ends = written(nodes.join(mates.select("sid").distinct(), "sid", "left_semi").select("sid", "p.id", "p.key"), "ends")
-    sets = _shingle_sets(ends, texts, words)
-    first = _checked(_search(mates, ["t", "k", "block"], lambda fp, n: neighbours(fp, n, similarity)), sets, similarity)
-    comps = written(connected_components(first), "components")
-    named = mates.join(comps.withColumnsRenamed({"node": "sid", "root": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("t", "k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "k")
-    # A shard of several blocks meets block by block, each pair of blocks being one tree.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meet = named.join(mixed, ["t", "k"]).withColumn("o", other).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o"))
-    rest = _search(meet, ["t", "k", "x", "y"], lambda fp, n, comp, block: across(fp, n, comp, block, similarity))
-    second = _checked(rest.join(first, ["a", "b"], "left_anti"), sets, similarity)
-    roots = connected_components(first.union(second)).withColumnsRenamed({"node": "sid", "root": "group"})
-    return rows.join(roots, "sid", "left").select("doc_id", "row_key", F.coalesce("group", "sid").alias("group"))
+    families = written(connected_components(_candidates(shards, similarity)).withColumnsRenamed({"node": "sid", "root": "family"}), "families")
+    named = families.join(nodes.select("sid", "n", "p.id", "p.key"), "sid")
+    weights = named.groupBy("family").agg(F.sum(F.col("n") + NODE).alias("w"))
+    cut = written(weights.where(F.col("w") > BLOCK).select("family", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")), "cut")
+    block = F.pmod(F.xxhash64("sid"), F.coalesce("blocks", F.lit(1))).cast("int")
+    ends = written(named.join(cut, "family", "left").select("sid", "family", block.alias("block"), "id", "key"), "ends")
+    groups = _groups(_shingle_sets(ends, texts, words), cut, similarity)
+    return rows.join(groups, "sid", "left").select("doc_id", "row_key", F.coalesce("group", "sid").alias("group"))
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
