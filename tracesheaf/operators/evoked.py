@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesheaf.config import MAX_FRAMES_AFTER_STIMULUS, STIM_OVERLAP
-from tracesheaf.functions.exprs import power_label
+from tracesheaf.functions.exprs import numeric_intensity, power_label
 from tracesheaf.operators.stats import grouped_mean, sem_population
 
 
@@ -28,10 +28,10 @@ def first_after(peaks: Column, frame: Column, tolerance: int = MAX_FRAMES_AFTER_
     return F.get(F.filter(peaks, lambda p: (p >= frame) & (p <= frame + tolerance)), F.lit(0))
 
 
-def overlap(labels: DataFrame, stim_pixels: DataFrame, keys: list[str] = ["fov", "roi"]) -> DataFrame:
-    """Each region's share of pixels inside the stimulated area."""
-    s = stim_pixels.select("y", "x").distinct().withColumn("__s", F.lit(1))
-    return labels.join(s, ["y", "x"], "left").groupBy(*keys).agg((F.count("__s") / F.count("*")).alias("overlap"))
+def overlap(labels: DataFrame, stim_pixels: DataFrame, keys: list[str] = ["fov", "roi"], at: list[str] = []) -> DataFrame:
+    """Each region's share of pixels inside the stimulated area, which is one for all images or differs by ``at``."""
+    s = stim_pixels.select(*at, "y", "x").distinct().withColumn("__s", F.lit(1))
+    return labels.join(s, [*at, "y", "x"], "left").groupBy(*keys).agg((F.count("__s") / F.count("*")).alias("overlap"))
 
 
 def stimulated(overlaps: DataFrame, least: float = STIM_OVERLAP) -> DataFrame:
@@ -63,6 +63,11 @@ def panel(evoked: DataFrame) -> DataFrame:
     return evoked.groupBy("fov", "stimulated", "power_pulse").agg(F.avg("amplitude").alias("mean"), sem_population("amplitude").alias("err"), F.count("amplitude").alias("n"))
 
 
+def by_power(rows: DataFrame) -> DataFrame:
+    """Rows in order of field and LED power, the number at the start of the power label."""
+    return rows.orderBy("fov", numeric_intensity(F.col("power_pulse"), 0), "power_pulse")
+
+
 def label_class(labels: DataFrame, flags: DataFrame) -> DataFrame:
     """Each pixel's class: stimulated, non_stimulated, or other for regions without a record."""
     f = flags.select("fov", "roi", "stimulated")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Regions of a block of the correlation job: a task holds two blocks.
-BLOCK = 128
+from tracesheaf.operators.traces import exact_percentile
+
+#: Regions of a block of the pair jobs: a task holds two blocks, and of event trains as dense rows so many frames at a time.
+BLOCK, CHUNK = 128, 16_384
 
 
 def roi_pairs(rois: DataFrame) -> DataFrame:
@@ -33,50 +36,97 @@ def interval_matches(left: DataFrame, right: DataFrame, window: int, keys: list[
     return hit.where(F.abs(F.col("frame") - F.col("frame_right")) <= window).drop("__b")
 
 
-def _counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("fov", "roi").agg(F.count("*").alias("n"))
+def _trains(rois: DataFrame, events: DataFrame) -> DataFrame:
+    """(fov, roi, frames): the sorted frames of every region's events, empty where it has none."""
+    e = events.groupBy("fov", "roi").agg(F.array_sort(F.collect_set(F.col("frame").cast("long"))).alias("frames"))
+    return rois.select("fov", "roi").distinct().join(e, ["fov", "roi"], "left").withColumn("frames", F.coalesce("frames", F.array().cast("array<bigint>")))
+
+
+def _dense(frames: list[np.ndarray], values: list[np.ndarray] | None, begin: int, end: int, kind: type = np.float32) -> np.ndarray:
+    """A row for each train: its values (1 without) on the frames from begin to end."""
+    out = np.zeros((len(frames), end - begin), kind)
+    for i, f in enumerate(frames):
+        lo, hi = np.searchsorted(f, [begin, end])
+        out[i, f[lo:hi] - begin] = 1 if values is None else values[i][lo:hi]
+    return out
+
+
+def _chunks(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Frame ranges in which either side has events, CHUNK frames each."""
+    last = max((int(f[-1]) for f in [*a, *b] if len(f)), default=-1)
+    return [(s, min(s + CHUNK, last + 1)) for s in range(0, last + 1, CHUNK)]
 
 
-def _with_counts(rois: DataFrame, events: DataFrame) -> DataFrame:
-    n = _counts(events)
-    pairs = roi_pairs(rois)
-    pairs = pairs.join(n.select("fov", F.col("roi").alias("roi_i"), F.col("n").alias("n_i")), ["fov", "roi_i"], "left")
-    pairs = pairs.join(n.select("fov", F.col("roi").alias("roi_j"), F.col("n").alias("n_j")), ["fov", "roi_j"], "left")
-    return pairs.fillna(0, ["n_i", "n_j"])
+def _sizes(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(f) for f in a], float)[:, None], np.array([len(f) for f in b], float)[None, :]
+
+
+def block_pairs(trains: DataFrame, kernel: Callable, columns: tuple[str, ...] = (), block: int = BLOCK, skip_nan: bool = False) -> DataFrame:
+    """(fov, roi_i, roi_j, value) for all pairs i < j of a field, from trains (fov, roi, frames and ``columns``).
+
+    Regions are hashed to blocks, each pair of blocks is one group, and ``kernel`` gives the matrix of two blocks from their columns. What is
+    shuffled is each train once for each block of its field; of the pairs only their value leaves a task.
+    """
+    fov_type = dict(trains.dtypes)["fov"]
+    n = trains.groupBy("fov").agg(F.count("*").alias("__n"))
+    t = trains.select("fov", "roi", "frames", *columns).join(n, "fov").withColumn("__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / block).cast("int")))
+    t = t.withColumn("mine", F.pmod(F.xxhash64("roi"), F.col("__k")).cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    t = t.select("fov", "roi", "frames", *columns, "mine", F.least("mine", "__o").alias("bi"), F.greatest("mine", "__o").alias("bj"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, mine = rows["roi"].to_numpy(), rows["mine"].to_numpy()
+        held = {c: [x.values.to_numpy(zero_copy_only=False) for x in rows[c]] if pa.types.is_list(rows[c].type) else rows[c].to_pylist() for c in ("frames", *columns)}
+        sides = [np.flatnonzero(mine == key[k].as_py()) for k in (1, 2)]
+        v = kernel(*[{c: [x[i] for i in at] for c, x in held.items()} for at in sides])
+        i, j = ids[sides[0]][:, None] + 0 * ids[sides[1]][None, :], ids[sides[1]][None, :] + 0 * ids[sides[0]][:, None]
+        keep = (i < j) if key[1].as_py() == key[2].as_py() else i != j
+        keep = keep & ~np.isnan(v) if skip_nan else keep
+        low, high = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        fov = pa.array([key[0].as_py()] * len(low), rows.schema.field("fov").type)
+        return pa.table([fov, pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(v[keep], pa.float64())], names=["fov", "roi_i", "roi_j", "value"])
+
+    return t.groupBy("fov", "bi", "bj").applyInArrow(run, f"fov {fov_type}, roi_i long, roi_j long, value double")
 
 
 def jitter_synchrony(rois: DataFrame, events: DataFrame, window: int = 2) -> DataFrame:
     """M1: (fov, roi_i, roi_j, value), the share of events that have one of the other region within ``window`` frames."""
-    e = events.select("fov", "roi", "frame")
-    other = e.withColumnRenamed("roi", "roi_right")
-    near = interval_matches(e, other, window, ["fov"]).where("roi <> roi_right").select("fov", "roi", "roi_right", "frame").distinct()
-    hits = near.groupBy("fov", F.least("roi", "roi_right").alias("roi_i"), F.greatest("roi", "roi_right").alias("roi_j")).agg(F.count("*").alias("hits"))
-    p = _with_counts(rois, events).join(hits, ["fov", "roi_i", "roi_j"], "left")
-    both = (F.col("n_i") > 0) & (F.col("n_j") > 0)
-    return p.select("fov", "roi_i", "roi_j", F.when(both, F.coalesce("hits", F.lit(0)) / (F.col("n_i") + F.col("n_j"))).otherwise(0.0).alias("value"))
+
+    def kernel(a: dict, b: dict) -> np.ndarray:
+        hits = np.zeros((len(a["frames"]), len(b["frames"])))
+        wide = lambda frames: [np.unique((f[:, None] + np.arange(-window, window + 1)).ravel()) for f in frames]
+        near_a, near_b = wide(a["frames"]), wide(b["frames"])
+        for s, e in _chunks(a["frames"], b["frames"]):
+            hits += _dense(a["frames"], None, s, e) @ _dense(near_b, None, s, e).T + _dense(near_a, None, s, e) @ _dense(b["frames"], None, s, e).T
+        n, m = _sizes(a["frames"], b["frames"])
+        return np.where((n > 0) & (m > 0), hits / np.maximum(n + m, 1), 0.0)
+
+    return block_pairs(_trains(rois, events), kernel)
 
 
 def lag_synchrony(rois: DataFrame, events: DataFrame, max_lag: int = 5) -> DataFrame:
     """The best coincidence count over lags up to ``max_lag``, over the root of both counts, within 0 to 1."""
-    e = events.select("fov", "roi", "frame")
-    a = e.select("fov", F.col("roi").alias("roi_i"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), "frame").withColumn("frame", F.col("frame") + F.col("lag"))
-    b = e.withColumnRenamed("roi", "roi_j")
-    c = a.join(b, ["fov", "frame"]).where("roi_i < roi_j").groupBy("fov", "roi_i", "roi_j", "lag").agg(F.count("*").alias("c"))
-    best = c.groupBy("fov", "roi_i", "roi_j").agg(F.max("c").alias("c"))
-    p = _with_counts(rois, events).join(best, ["fov", "roi_i", "roi_j"], "left")
-    value = F.least(F.lit(1.0), F.coalesce("c", F.lit(0)) / F.sqrt(F.col("n_i") * F.col("n_j")))
-    return p.select("fov", "roi_i", "roi_j", F.when((F.col("n_i") > 0) & (F.col("n_j") > 0), value).otherwise(0.0).alias("value"))
+
+    def kernel(a: dict, b: dict) -> np.ndarray:
+        n, m = _sizes(a["frames"], b["frames"])
+        best, chunks = np.zeros((n.shape[0], m.shape[1])), _chunks(a["frames"], b["frames"])
+        for lag in range(-max_lag, max_lag + 1):
+            best = np.maximum(best, sum(_dense(a["frames"], None, s, e) @ _dense(b["frames"], None, s + lag, e + lag).T for s, e in chunks)) if chunks else best
+        return np.where((n > 0) & (m > 0), np.minimum(1.0, best / np.sqrt(np.maximum(n * m, 1))), 0.0)
+
+    return block_pairs(_trains(rois, events), kernel)
 
 
 def correlation_synchrony(rois: DataFrame, events: DataFrame, frames: DataFrame) -> DataFrame:
     """M3: |Pearson| of binary trains in closed form from counts; 0 where a train is constant. ``frames``: (fov, n_frames)."""
-    e = events.select("fov", "roi", "frame").distinct()
-    both = e.withColumnRenamed("roi", "roi_i").join(e.withColumnRenamed("roi", "roi_j"), ["fov", "frame"]).where("roi_i < roi_j")
-    both = both.groupBy("fov", "roi_i", "roi_j").agg(F.count("*").alias("n_ij"))
-    p = _with_counts(rois, e).join(both, ["fov", "roi_i", "roi_j"], "left").fillna(0, ["n_ij"]).join(frames, "fov")
-    t, i, j = F.col("n_frames").cast("double"), F.col("n_i"), F.col("n_j")
-    value = F.try_divide(F.abs(t * F.col("n_ij") - i * j), F.sqrt(i * (t - i) * j * (t - j)))
-    return p.select("fov", "roi_i", "roi_j", F.coalesce(value, F.lit(0.0)).alias("value"))
+
+    def kernel(a: dict, b: dict) -> np.ndarray:
+        n, m = _sizes(a["frames"], b["frames"])
+        t = float((a["n_frames"] + b["n_frames"])[0])
+        both = sum((_dense(a["frames"], None, s, e) @ _dense(b["frames"], None, s, e).T for s, e in _chunks(a["frames"], b["frames"])), np.zeros((n.shape[0], m.shape[1])))
+        spread = n * (t - n) * m * (t - m)
+        return np.where(spread > 0, np.abs(t * both - n * m) / np.sqrt(np.where(spread > 0, spread, 1)), 0.0)
+
+    return block_pairs(_trains(rois, events).join(frames.select("fov", F.col("n_frames").cast("double").alias("n_frames")), "fov"), kernel, ("n_frames",))
 
 
 def synchrony(method: str, rois: DataFrame, events: DataFrame, frames: DataFrame, window: int = 2, max_lag: int = 5) -> DataFrame:
@@ -145,7 +195,7 @@ def trace_correlation(traces: DataFrame, trace: str = "trace", absolute: bool =
 
 def connectivity(edges: DataFrame, percentile: float = 90.0) -> DataFrame:
     """Adds threshold (percentile of off-diagonal values, each pair twice) and connected (value at least that)."""
-    thr = mirrored(edges).groupBy("fov").agg(F.percentile("value", percentile / 100).alias("threshold"))
+    thr = exact_percentile(mirrored(edges), "value", percentile / 100, ["fov"]).select("fov", F.col("q").alias("threshold"))
     return edges.join(thr, "fov").withColumn("connected", F.col("value") >= F.col("threshold"))
 
 
@@ -166,10 +216,22 @@ def network_edges(connected: DataFrame, geometry: DataFrame) -> DataFrame:
 
 def phase_locking(events: DataFrame, frames: DataFrame) -> DataFrame:
     """|mean of exp(i phase difference)| of linear phases between successive peaks, over frames where both are defined."""
-    w = Window.partitionBy("fov", "roi").orderBy("frame")
-    spans = events.select("fov", "roi", "frame", F.lead("frame").over(w).alias("next")).where("next is not null")
-    phase = spans.select("fov", "roi", "next", F.col("frame").alias("start"), F.explode(F.sequence("frame", F.col("next") - 1)).alias("frame"))
-    phase = phase.select("fov", "roi", "frame", (2 * np.pi * (F.col("frame") - F.col("start")) / (F.col("next") - F.col("start"))).alias("phase"))
-    a, b = (phase.withColumnsRenamed({"roi": f"roi_{k}", "phase": f"phase_{k}"}) for k in "ij")
-    d = a.join(b, ["fov", "frame"]).where("roi_i < roi_j").withColumn("d", F.col("phase_i") - F.col("phase_j"))
-    return d.groupBy("fov", "roi_i", "roi_j").agg(F.sqrt(F.pow(F.avg(F.cos("d")), 2) + F.pow(F.avg(F.sin("d")), 2)).alias("value"))
+
+    def spread(frames: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        at, phase = [], []
+        for f in frames:
+            gaps = np.diff(f)
+            at.append(np.arange(f[0], f[-1]) if len(f) > 1 else np.zeros(0, np.int64))
+            step = at[-1] - np.repeat(f[:-1], gaps) if len(f) > 1 else at[-1]
+            phase.append(np.exp(2j * np.pi * step / np.repeat(gaps, gaps)))
+        return at, phase
+
+    def kernel(a: dict, b: dict) -> np.ndarray:
+        (fa, pa_), (fb, pb) = spread(a["frames"]), spread(b["frames"])
+        total, count = np.zeros((len(fa), len(fb)), complex), np.zeros((len(fa), len(fb)))
+        for s, e in _chunks(fa, fb):
+            total += _dense(fa, pa_, s, e, complex) @ _dense(fb, pb, s, e, complex).conj().T
+            count += _dense(fa, None, s, e) @ _dense(fb, None, s, e).T
+        return np.where(count > 0, np.abs(total) / np.maximum(count, 1), np.nan)
+
+    return block_pairs(_trains(events, events), kernel, skip_nan=True)

@@ -60,9 +60,13 @@ def active(peaks: str = "peaks") -> Column:
     return F.coalesce(F.size(peaks), F.lit(0)) > 0
 
 
-def trace_of(kind: str) -> str:
-    """the column of a trace kind."""
-    return {"raw": "raw_trace", "corrected": "corrected_trace", "neuropil": "neuropil_trace", "dff": "dff", "dec_dff": "dec_dff", "spikes": "inferred_spikes"}[kind]
+#: The order in which a trace view picks its trace.
+TRACE_ORDER = ["dff", "dec_dff", "raw_trace", "corrected_trace"]
+
+
+def trace_of(dff: bool = False, dec: bool = False, raw: bool = False) -> str:
+    """the column of a trace view; the first flag that is set decides, none means the corrected trace."""
+    return TRACE_ORDER[next((i for i, on in enumerate((dff, dec, raw)) if on), 3)]
 
 
 def by_stimulation(df: DataFrame, stimulated: bool) -> DataFrame:
@@ -86,11 +90,10 @@ def with_neuropil(df: DataFrame, masks: bool = False) -> DataFrame:
     return df.dropna(subset=names)
 
 
-def plate_map_faults(plate_map: DataFrame) -> DataFrame:
-    """condition names and colours that stand for more than one of the other."""
-    pairs = plate_map.select("condition", "color").distinct()
-    names = pairs.groupBy(F.lit("condition").alias("what"), F.col("condition").alias("value")).count()
-    colors = pairs.groupBy(F.lit("color").alias("what"), F.col("color").alias("value")).count()
+def plate_map_faults(conditions: DataFrame) -> DataFrame:
+    """names and colours that a list of conditions (condition, color) holds more than once; a repeated entry is a fault as well."""
+    names = conditions.groupBy(F.lit("condition").alias("what"), F.col("condition").alias("value")).count()
+    colors = conditions.groupBy(F.lit("color").alias("what"), F.col("color").alias("value")).count()
     return names.union(colors).where(F.col("count") > 1)
 
 

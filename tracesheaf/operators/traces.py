@@ -65,12 +65,28 @@ def zscore(df: DataFrame, value: str = "value", keys: list[str] = KEYS, zero: bo
     return df.withColumn("z", F.coalesce(z, F.lit(0.0)) if zero else z)
 
 
+def exact_percentile(df: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
+    """(keys, q, top): the exact q-quantile of a large group, linear between neighbours, and its maximum; nulls do not count.
+
+    Equal values are counted first and a running count finds the two neighbours, so no buffer holds a group's values.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = (F.sum("__c").over(w) - 1) * F.lit(q)
+    near = n.select(*keys, "__v", "__upto", at.alias("__at"))
+    lo, hi = (F.min(F.when(F.col("__upto") > edge(F.col("__at")), F.col("__v"))) for edge in (F.floor, F.ceil))
+    ends = near.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"), F.max("__v").alias("top"), F.first("__at").alias("__at"))
+    part = F.col("__at") - F.floor("__at")
+    return ends.select(*keys, ((1 - part) * F.col("__lo") + part * F.col("__hi")).alias("q"), "top")
+
+
 def normalise(df: DataFrame, value: str = "value", keys: list[str] = ["fov"]) -> DataFrame:
     """adds ``norm``, (v - p5) / (p100 - p5) within 0 to 1 over all values of the selection; 0 where the range is 0."""
-    p = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(1.0))).alias("p"))
-    lo, hi = F.col("p")[0], F.col("p")[1]
+    p = exact_percentile(df, value, 0.05, keys).withColumnsRenamed({"q": "__low", "top": "__top"})
+    lo, hi = F.col("__low"), F.col("__top")
     norm = F.when(hi == lo, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - lo) / (hi - lo))))
-    return df.join(p, keys).withColumn("norm", norm).drop("p")
+    return df.join(p, keys).withColumn("norm", norm).drop("__low", "__top")
 
 
 def recording_time(frames: DataFrame, keys: list[str] = KEYS, t: str = "t_ms") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracesheaf.plans import view_sql
+
 _CTE = {
     "tr": "SELECT user_id % 10 AS fov, user_id AS roi, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, epoch_us(ts) // 1000 AS t_ms, value, event_type, props FROM events",
     "trb": "SELECT l_suppkey AS roi, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS frame, l_extendedprice AS value FROM lineitem",
@@ -35,11 +37,11 @@ _CTE = {
     "smo": "SELECT i.fov, i.frame, sum(w * a.activity) AS smooth FROM idx i JOIN act a ON a.fov = i.fov AND a.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL",
     "hi": "SELECT fov, frame, frame - row_number() OVER (PARTITION BY fov ORDER BY frame) AS g FROM smo WHERE smooth > 0.2",
     "bst": "SELECT fov, row_number() OVER (PARTITION BY fov ORDER BY min(frame)) AS burst_id, min(frame) AS start, max(frame) + 1 AS \"end\" FROM hi GROUP BY fov, g HAVING count(*) >= 3",
-    "stm": "SELECT fov, frame, max(CAST(props ->> '$.k' AS INTEGER)) AS power, '100' AS pulse FROM tr WHERE event_type = 'click' AND roi % 7 = 0 GROUP BY fov, frame",
+    "stm": "SELECT fov, frame, max(CAST(props ->> '$.k' AS INTEGER)) AS power, '100' AS pulse FROM tr WHERE event_type = 'click' GROUP BY fov, frame",
     "after5": "SELECT s.fov, pk.roi, s.frame AS stim_frame, s.power, s.pulse, min(pk.frame) AS frame, arg_min(pk.amplitude, pk.frame) AS amplitude FROM stm s JOIN pk ON pk.fov = s.fov AND pk.frame BETWEEN s.frame AND s.frame + 5 GROUP BY ALL",
     "evk": "SELECT fov, roi, roi % 4 = 0 AS stimulated, power || '%_' || pulse AS power_pulse, amplitude FROM after5",
     "pix": "SELECT l_linenumber::BIGINT AS p, year(l_shipdate) * 12 + month(l_shipdate) - 1992 * 12 AS t, l_partkey % 32 AS y, l_suppkey % 32 AS x, avg(l_quantity) AS value FROM lineitem GROUP BY ALL",
-    "lab": "SELECT DISTINCT l_linenumber::BIGINT AS p, l_partkey % 32 AS y, l_suppkey % 32 AS x, ((l_partkey % 32) // 8) * 4 + (l_suppkey % 32) // 8 + 1 AS label FROM lineitem WHERE l_linenumber <= 5 AND l_partkey % 8 < 7 AND l_suppkey % 8 < 7",
+    "lab": "SELECT DISTINCT l_linenumber::BIGINT AS p, l_partkey % 32 AS y, l_suppkey % 32 AS x, ((l_partkey % 32) // 8) * 4 + (l_suppkey % 32) // 8 + 1 AS label FROM lineitem WHERE l_partkey % 8 < 7 AND l_suppkey % 8 < 7",
     "geo": "SELECT p, label, count(*) AS n, avg(y) AS cy, avg(x) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM lab GROUP BY ALL",
     "arr": "SELECT label::BIGINT AS fov, vec_id AS roi, embedding::DOUBLE[] AS trace FROM embeddings",
     "arl": "SELECT fov, roi, unnest(trace) AS v, generate_subscripts(trace, 1) AS i FROM arr",
@@ -88,7 +90,7 @@ _BODY = {
     "condition_key": "SELECT well, coalesce(nullif(concat_ws('_', nullif(CASE WHEN length(condition_2) % 3 = 0 THEN '' ELSE condition_1 END, ''), nullif(CASE WHEN length(condition_1) % 2 = 0 THEN NULL ELSE condition_2 END, '')), ''), 'NoCondition') AS condition FROM plt",
     "fov_name": "SELECT s_suppkey, fov, split_part(fov, '_', 1) AS well FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'B' || s_nationkey || '_0000' ELSE 'pos_' || lpad(s_suppkey::VARCHAR, 4, '0') END || '_p' || s_suppkey AS fov FROM supplier)",
     "small_roi_filter": "SELECT p, label, round(CASE WHEN p <= 2 THEN n ELSE n * 0.45::DOUBLE * 0.45::DOUBLE END, 6)::DOUBLE AS area, CASE WHEN p = 1 THEN 'pixel' ELSE 'µm' END AS unit FROM geo WHERE p <= 2 OR n * 0.45::DOUBLE * 0.45::DOUBLE >= 10",
-    "missing_labels": "SELECT DISTINCT 'd' AS dataset, p FROM pix WHERE p NOT IN (SELECT p FROM lab)",
+    "missing_labels": "SELECT DISTINCT 'd' AS dataset, p FROM pix WHERE p NOT IN (SELECT p FROM lab WHERE p < 6)",
     "plate_join": "SELECT w AS well, w || '_0000_p0' AS fov, CASE WHEN length(well) <> 3 THEN condition_1 END AS condition_1, CASE WHEN condition_2 <> 'nation_1' THEN condition_2 END AS condition_2 FROM (SELECT 'W' || s_suppkey AS w FROM supplier) LEFT JOIN plt ON w = well",
     "plate_faults": "SELECT 'condition' AS what, condition_1 AS value, count(DISTINCT condition_2) AS count FROM plt GROUP BY ALL HAVING count(DISTINCT condition_2) > 1 UNION ALL SELECT 'color', condition_2, count(DISTINCT condition_1) FROM plt GROUP BY ALL HAVING count(DISTINCT condition_1) > 1",
     "isel": "SELECT y, x, round(value, 6) AS value, 'd' AS dataset FROM pix WHERE p = 2 AND t = (SELECT min(t) + 20 FROM pix)",
@@ -102,7 +104,7 @@ _BODY = {
     "elapsed_times": "SELECT roi, frame, round(CASE WHEN count(r) OVER w = count(*) OVER w THEN r ELSE frame * 50.0 END, 6)::DOUBLE AS t_ms FROM (SELECT roi, frame, CASE WHEN roi % 2 = 0 OR frame % 9 > 0 THEN (t_ms - min(t_ms) OVER (PARTITION BY roi))::DOUBLE END AS r FROM tr) WINDOW w AS (PARTITION BY roi)",
     "neuropil_correct": "SELECT a.fov, a.roi, a.frame, round(a.value - 0.7::DOUBLE * coalesce(b.value, 0), 6) AS corrected FROM tr a LEFT JOIN tr b ON b.fov = a.fov AND b.roi - 10 = a.roi AND b.frame = a.frame",
     "peaks": "SELECT fov, roi, frame, round(amplitude, 6) AS amplitude FROM pk",
-    "iei": "SELECT fov, roi, round(avg(d) + 1.3e-7, 6) AS iei, round(avg(d) / sqrt(count(d)), 6) AS iei_err FROM (SELECT pk.fov, pk.roi, (t_ms - lag(t_ms) OVER (PARTITION BY pk.roi ORDER BY pk.frame)) / 1000 AS d FROM pk JOIN tr ON pk.roi = tr.roi AND pk.frame = tr.frame) WHERE d IS NOT NULL GROUP BY ALL",
+    "iei": "SELECT fov, roi, round(avg(d), 9) AS iei, round(avg(d) / sqrt(count(d)), 9) AS iei_err FROM gap GROUP BY ALL",
     "frequency": "SELECT np.fov, np.roi, round(CASE WHEN n_peaks > 0 AND s > 0 THEN n_peaks / s END, 6) AS frequency FROM np JOIN (SELECT roi, (max(t_ms) - min(t_ms)) / 1000 AS s FROM tr GROUP BY roi) USING (roi)",
     "amplitude": "SELECT fov, roi, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM pk GROUP BY ALL",
     "spike_threshold": "SELECT fov, roi, round(r, 6)::DOUBLE AS reference, round(r, 6)::DOUBLE AS threshold FROM (SELECT fov, roi, CASE WHEN count(v) > 5 THEN quantile_cont(v, 0.05) ELSE 0.01::DOUBLE END AS r FROM (SELECT fov, roi, CASE WHEN value - 60 > 0 THEN value - 60 END AS v FROM tr) GROUP BY ALL)",
@@ -156,6 +158,8 @@ _BODY = {
     "plate_map_json": "SELECT 'W' || s_suppkey AS well, s_suppkey % 8 AS row, s_suppkey % 12 AS col, s_name AS condition, 'coral' AS color FROM supplier",
 }
 
+#: The correlations without rounding.
+_EXACT = {k: _BODY[k].replace("round(", "(", 1).replace(", 6) AS value", ") AS value", 1) for k in ("trace_xcorr", "spike_xcorr")}
 _CTE["mpj"] = "SELECT p, y, x, max(value) AS value FROM pix JOIN (SELECT p, (max(t) + 1) // 2 AS h FROM pix GROUP BY p) USING (p) WHERE t >= h GROUP BY ALL"
 _CTE["rng"] = "SELECT p, label, y, x, ceil((d - 1) / 5)::BIGINT AS k FROM (" + _RING_GROW.format(n=21, h=31) + ") WHERE d > 1 AND (p, y, x) NOT IN (SELECT (p, y, x) FROM lab)"
 _CTE["nxt"] = "SELECT fov, roi, frame, lead(frame) OVER (PARTITION BY roi ORDER BY frame) AS nx FROM pk"
@@ -164,4 +168,6 @@ _CTE["ov"] = "SELECT fov, frame, sum((value > p75)::INT) / any_value(n)::DOUBLE
 _CTE["onf"] = "SELECT fov, max(frame) + 1 AS n FROM ov GROUP BY fov"
 _CTE["oix"] = "SELECT a.fov, a.frame, w, ((a.frame + k) % (2 * n) + 2 * n) % (2 * n) AS m, n FROM ov a JOIN onf USING (fov), ker"
 _CTE["osm"] = "SELECT i.fov, i.frame, sum(w * a.activity) AS smooth FROM oix i JOIN ov a ON a.fov = i.fov AND a.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL"
-SQL = {k: _with(v) for k, v in _BODY.items()}
+_CTE["gap"] = "SELECT * FROM (SELECT pk.fov, pk.roi, (t_ms - lag(t_ms) OVER (PARTITION BY pk.roi ORDER BY pk.frame)) / 1000 AS d FROM pk JOIN tr ON pk.roi = tr.roi AND pk.frame = tr.frame) WHERE d IS NOT NULL"
+_CTE |= {k: v.format(xcorr=_EXACT["trace_xcorr"], sxcorr=_EXACT["spike_xcorr"]) if k in ("xc", "xs") else v for k, v in view_sql.CTE.items()}
+SQL = {k: _with(v) for k, v in _BODY.items()} | {f"view_{k}": _with(v) for k, v in view_sql.BODY.items()}

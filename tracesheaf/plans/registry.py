@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from tracesheaf.config import Settings
 from tracesheaf.functions import exprs
 from tracesheaf.operators import bursts, cluster, deconv, events, evoked, pairs, pixels, select, stats, traces
-from tracesheaf.plans import oracle
+from tracesheaf.plans import oracle, view_queries
 from tracesheaf.sources import adapters as A
 from tracesheaf.sources import readers, sinks
+from tracesheaf.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -20,18 +22,18 @@ _QUERIES: dict[str, Query] = {}
 SETTINGS = Settings(peaks_height_value=1.0)
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Whole numbers as bigint, other numbers rounded to 6 decimals: what the SQL side returns."""
     for name, kind in df.dtypes:
         if kind in ("int", "smallint", "tinyint"):
             df = df.withColumn(name, F.col(name).cast("long"))
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            df = df.withColumn(name, F.round(F.col(name).cast("double"), 6))
+            df = df.withColumn(name, F.round(F.col(name).cast("double"), digits))
     return df
 
 
-def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+def query(f: Query, digits: int = 6) -> Query:
+    _QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir), digits)
     return f
 
 
@@ -112,7 +114,7 @@ def condition_key(spark, sf_dir):
 
 @query
 def fov_name(spark, sf_dir):
-    """F5, F6, F7."""
+    """F5, F6."""
     s = A.table(spark, sf_dir, "supplier")
     pos = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("B"), F.col("s_nationkey").cast("string"), F.lit("_0000")))
     named = s.select("s_suppkey", exprs.fov_name(pos, F.col("s_suppkey")).alias("fov"))
@@ -129,8 +131,8 @@ def small_roi_filter(spark, sf_dir):
 
 @query
 def missing_labels(spark, sf_dir):
-    """J8, S10."""
-    return select.missing_labels(A.pixels(spark, sf_dir), A.labels(spark, sf_dir))
+    """Of label images that lack the last positions."""
+    return select.missing_labels(A.pixels(spark, sf_dir), A.labels(spark, sf_dir).where("p < 6"))
 
 
 @query
@@ -147,7 +149,7 @@ def plate_join(spark, sf_dir):
 def plate_faults(spark, sf_dir):
     """F27."""
     p = A.plate(spark, sf_dir).select(F.col("condition_1").alias("condition"), F.col("condition_2").alias("color"))
-    return select.plate_map_faults(p)
+    return select.plate_map_faults(p.distinct())
 
 
 @query
@@ -221,7 +223,7 @@ def neuropil_correct(spark, sf_dir):
 
 @query
 def deconvolve(spark, sf_dir):
-    """D3 on array traces; tested against the recorded outputs."""
+    """D3 on array traces; tests/test_recorded.py holds the solver against recorded outputs."""
     d = deconv.deconvolve(traces.to_arrays(traces.delta_f(A.traces(spark, sf_dir)), "dff"), "trace")
     return d.select("fov", "roi", F.size("dec").alias("n"), "dec_baseline", "dec_g", F.aggregate("spikes", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
@@ -235,12 +237,11 @@ def peaks(spark, sf_dir):
     return events.raster(_peak_arrays(spark, sf_dir))
 
 
-@query
+@partial(query, digits=9)  # means of whole milliseconds often end in an exact half at the seventh decimal
 def iei(spark, sf_dir):
     """W3, A15."""
     p = _peak_arrays(spark, sf_dir).select("fov", "roi", F.explode(events.inter_event_intervals(F.col("peaks"), F.col("times"))).alias("iei"))
-    # Means of milliseconds end in exact halves at times; a nudge off them lets both engines round alike.
-    return stats.interval_summary(p).withColumn("iei", F.col("iei") + 1.3e-7)
+    return stats.interval_summary(p)
 
 
 @query
@@ -363,7 +364,7 @@ def xcorr_sync(spark, sf_dir):
 
 @query
 def pearson_sync(spark, sf_dir):
-    """M3 to M7."""
+    """M3."""
     return pairs.correlation_synchrony(_rois(spark, sf_dir), A.spikes(spark, sf_dir), A.field_frames(spark, sf_dir))
 
 
@@ -413,7 +414,7 @@ def network_edges(spark, sf_dir):
 
 @query
 def clustering(spark, sf_dir):
-    """M13; tested against a brute-force linkage."""
+    """M13; tests hold it against a plain linkage."""
     return cluster.cluster(trace_xcorr(spark, sf_dir))
 
 
@@ -613,14 +614,12 @@ def batch_inference(spark, sf_dir):
 
 @query
 def json_roundtrip(spark, sf_dir):
-    """Records to one JSON text for each field and back."""
+    """Records to a JSON file for each field in the shared folder and back."""
     recs = _peak_arrays(spark, sf_dir).select(F.col("fov"), "roi", F.col("peaks").alias("peaks_dec_dff"), F.col("amplitudes").alias("peaks_amplitudes_dec_dff"), (F.size("peaks") > 0).alias("active"))
-    text = sinks.result_json(recs)
-    from tracesheaf.schemas import ROI_JSON
-
-    pairs_ = text.select("fov", F.explode(F.from_json("value", "map<string,string>")).alias("key", "json")).where(F.rlike("key", F.lit("^[0-9]+$")))
-    back = pairs_.select("fov", F.col("key").cast("long").alias("roi"), F.from_json("json", ROI_JSON).alias("r"))
-    return back.select("fov", "roi", F.size("r.peaks_dec_dff").alias("n_peaks"), F.aggregate("r.peaks_amplitudes_dec_dff", F.lit(0.0), lambda a, x: a + x).alias("total"), "r.active")
+    path = scratch_path(spark, "records")
+    sinks.write_results(recs, path)
+    back, _, _ = readers.read_results(spark, path)
+    return back.select(F.col("fov").cast("long").alias("fov"), "roi", F.size("peaks_dec_dff").alias("n_peaks"), F.aggregate("peaks_amplitudes_dec_dff", F.lit(0.0), lambda a, x: a + x).alias("total"), "active")
 
 
 @query
@@ -628,3 +627,7 @@ def plate_map_json(spark, sf_dir):
     """A plate map to JSON and back."""
     s = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("well"), (F.col("s_suppkey") % 8).cast("int").alias("row"), (F.col("s_suppkey") % 12).cast("int").alias("col"), F.col("s_name").alias("condition"), F.lit("coral").alias("color"))
     return readers.parse_plate_map(sinks.plate_map_json(s))
+
+
+for _name, _view in view_queries.queries().items():
+    _QUERIES[_name] = lambda spark, sf_dir, _view=_view, _digits=9 if _name.endswith("_iei") else 6: tidy(_view(spark, sf_dir), _digits)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracesheaf.config import Settings
 from tracesheaf.functions.exprs import display_condition, threshold_spikes
-from tracesheaf.operators import bursts, cluster, events, evoked, pairs, pixels, select, stats, traces
+from tracesheaf.operators import bursts, cluster, events, evoked, grouped, pairs, pixels, select, stats, traces
 
 View = Callable[..., DataFrame]
 PEAKS, AMPS, SPIKES = "peaks_dec_dff", "peaks_amplitudes_dec_dff", "inferred_spikes"
@@ -33,28 +34,20 @@ def _spike_trace(r: DataFrame, s: Settings, raw: bool = False, **how) -> DataFra
     return _trace(r.withColumn(SPIKES, threshold_spikes(F.col(SPIKES), F.col("inferred_spikes_threshold"), raw)), s, SPIKES, **how)
 
 
-def _spike_events(r: DataFrame, active: bool = True) -> DataFrame:
-    long = _spike_trace(r.where("active") if active else r, Settings())
-    return long.where("value > 0").select("fov", "roi", "frame", F.col("value").alias("amplitude"))
-
-
-def _frames(r: DataFrame) -> DataFrame:
-    return r.groupBy("fov").agg(F.max(F.size("raw_trace")).cast("long").alias("n_frames"), F.avg("total_recording_time_sec").alias("seconds"))
-
-
-def _peak_events(r: DataFrame) -> DataFrame:
-    return events.raster(r.where("active"), PEAKS, AMPS)
-
-
 def _raster(r: DataFrame, s: Settings, spikes: bool = False, scale: bool = False) -> DataFrame:
-    e = _spike_events(r) if spikes else _peak_events(r)
+    e = grouped.spike_events(r) if spikes else grouped.peak_events(r)
     return events.color_scale(e, spikes=spikes) if scale else e
 
 
+def _with_spikes(r: DataFrame, s: Settings) -> DataFrame:
+    both = F.arrays_zip(threshold_spikes(F.col(SPIKES), F.col("inferred_spikes_threshold")).alias("value"), F.col("dec_dff").alias("dec_dff"))
+    return r.where(F.col(SPIKES).isNotNull()).select("fov", "roi", F.posexplode(both).alias("frame", "v")).select("fov", "roi", "frame", "v.*")
+
+
 def _sync(r: DataFrame, s: Settings, spikes: bool) -> DataFrame:
-    e = _spike_events(r) if spikes else _peak_events(r)
-    rois = e.select("fov", "roi").distinct()
-    edges = pairs.lag_synchrony(rois, e, s.spikes_sync_cross_corr_lag) if spikes else pairs.jitter_synchrony(rois, e, s.calcium_sync_jitter_window)
+    e = grouped.spike_events(r) if spikes else grouped.peak_trains(r)
+    method = "cross_correlation" if spikes else "jitter_window"
+    edges = pairs.synchrony(method, e, e, grouped.frame_counts(r), s.calcium_sync_jitter_window, s.spikes_sync_cross_corr_lag)
     return edges.join(pairs.global_synchrony(edges).withColumnRenamed("value", "global"), "fov")
 
 
@@ -70,14 +63,24 @@ def _clusters(r: DataFrame, s: Settings, kind: str, spikes: bool = False) -> Dat
     return cluster.cluster(_xcorr(r, s, spikes)).where(F.col("kind") == kind)
 
 
-def _network(r: DataFrame, s: Settings) -> DataFrame:
+def _connected(r: DataFrame, s: Settings) -> DataFrame:
     c = pairs.connectivity(_xcorr(r, s), s.calcium_network_threshold)
     return c.join(pairs.network_statistics(c), "fov")
 
 
+def _network(r: DataFrame, s: Settings) -> DataFrame:
+    """Linked pairs with weight, sign, the centroids of both regions (null without masks) and the field's statistics."""
+    middle = lambda c: F.try_divide(F.aggregate(f"mask_coord_and_shape.{c}", F.lit(0.0), lambda a, v: a + v), F.size(f"mask_coord_and_shape.{c}"))
+    places = [middle(c) if "mask_coord_and_shape" in r.columns else F.lit(None).cast("double") for c in ("ys", "xs")]
+    c = _connected(r, s)
+    stat = c.select("fov", "nodes", "edges", "density_pct").distinct()
+    return pairs.network_edges(c, r.select("fov", "roi", places[0].alias("cy"), places[1].alias("cx"))).join(stat, "fov")
+
+
 def _bursts(r: DataFrame, s: Settings) -> DataFrame:
-    b = bursts.bursts(_spike_events(r), _frames(r), s.burst_threshold, s.burst_min_duration, s.burst_gaussian_sigma)
-    return b.join(bursts.burst_statistics(b, _frames(r), panel=True), "fov")
+    frames = grouped.frame_counts(r)
+    b = bursts.bursts(grouped.spike_events(r), frames, s.burst_threshold, s.burst_min_duration, s.burst_gaussian_sigma)
+    return b.join(bursts.burst_statistics(b, frames, panel=True), "fov")
 
 
 def _overlay(r: DataFrame, s: Settings) -> DataFrame:
@@ -86,7 +89,7 @@ def _overlay(r: DataFrame, s: Settings) -> DataFrame:
 
 
 def _amplitude(r: DataFrame, s: Settings) -> DataFrame:
-    return stats.amplitude_rows(_peak_events(r))
+    return stats.amplitude_rows(grouped.peak_events(r))
 
 
 def _columns(r: DataFrame, s: Settings, *names: str) -> DataFrame:
@@ -103,10 +106,8 @@ def _stim_trace(r: DataFrame, s: Settings, spikes: bool = False, peaks: bool = F
 
 
 def _evoked(r: DataFrame, s: Settings, stim: bool) -> DataFrame:
-    pulses = r.groupBy("fov").agg(F.min_by("led_pulse_duration", "roi").alias("pulse"))
-    when = evoked.stimulus_frames(r).join(pulses, "fov")
-    e = evoked.evoked_amplitudes(when, _peak_events(r), r.select("fov", "roi", "stimulated"), s.led_power_equation)
-    return evoked.panel(e.where(F.col("stimulated") == stim))
+    e = evoked.evoked_amplitudes(grouped.stimuli(r), grouped.peak_events(r), r, s.led_power_equation)
+    return evoked.by_power(evoked.panel(select.by_stimulation(e, stim)))
 
 
 def _masks(r: DataFrame, s: Settings) -> DataFrame:
@@ -126,19 +127,19 @@ def _classes(labels: DataFrame, s: Settings, flags: DataFrame, area: DataFrame |
     return out if area is None else out.join(area.withColumn("in_area", F.lit(True)), ["y", "x"], "left")
 
 
-def _area(image: DataFrame, s: Settings, height: int, width: int) -> DataFrame:
-    return pixels.stimulation_mask(image, height, width)
+def _area(image: DataFrame, s: Settings, height: int, width: int, keys: list[str] = []) -> DataFrame:
+    return pixels.stimulation_mask(image, height, width, keys=keys)
 
 
 t = partial
 #: Views of one or more fields; those of images take labels or an image in place of records.
 SINGLE: dict[str, View] = {
-    "traces_raw": t(_trace, column="raw_trace"),
-    "traces_corrected": t(_trace, column="corrected_trace"),
+    "traces_raw": t(_trace, column=select.trace_of(raw=True)),
+    "traces_corrected": t(_trace, column=select.trace_of()),
     "traces_normalized": t(_trace, column="corrected_trace", norm=True),
-    "dff": t(_trace, column="dff"),
+    "dff": t(_trace, column=select.trace_of(dff=True)),
     "dff_normalized": t(_trace, column="dff", norm=True),
-    "dec_dff": t(_trace, column="dec_dff"),
+    "dec_dff": t(_trace, column=select.trace_of(dec=True)),
     "dec_dff_peaks": t(_trace, column="dec_dff", active=True, peaks=True),
     "dec_dff_peaks_thresholds": t(_trace, column="dec_dff", active=True, peaks=True, extra=("peaks_height_dec_dff", "peaks_prominence_dec_dff")),
     "dec_dff_normalized": t(_trace, column="dec_dff", norm=True),
@@ -152,7 +153,7 @@ SINGLE: dict[str, View] = {
     "spikes_normalized": t(_spike_trace, norm=True),
     "spikes_normalized_active": t(_spike_trace, norm=True, active=True),
     "spikes_normalized_bursts": _overlay,
-    "spikes_with_dec_dff": t(_spike_trace, extra=("dec_dff",)),
+    "spikes_with_dec_dff": _with_spikes,
     "amplitude": _amplitude,
     "frequency": lambda r, s: _columns(r, s, "dec_dff_frequency"),
     "amplitude_vs_frequency": lambda r, s: _amplitude(r, s).join(_columns(r, s, "dec_dff_frequency"), ["fov", "roi"]),
@@ -166,7 +167,7 @@ SINGLE: dict[str, View] = {
     "cell_size": lambda r, s: _columns(r, s, "cell_size", "cell_size_units"),
     "peak_synchrony": t(_sync, spikes=False),
     "network": _network,
-    "connectivity_matrix": lambda r, s: pairs.mirrored(_network(r, s)),
+    "connectivity_matrix": lambda r, s: pairs.mirrored(_connected(r, s)),
     "trace_xcorr": lambda r, s: pairs.matrix(_xcorr(r, s)),
     "trace_clustering": t(_clusters, kind="leaf"),
     "trace_dendrogram": t(_clusters, kind="merge"),
@@ -202,12 +203,27 @@ GROUPED: dict[str, View] = (
 )
 
 
+#: Records' fields that stand for a setting, and the setting.
+_OWN = {
+    "calcium_network_threshold": "calcium_network_threshold", "calcium_sync_jitter_window": "calcium_sync_jitter_window", "spikes_sync_cross_corr_lag": "spikes_sync_cross_corr_lag",
+    "spikes_burst_threshold": "burst_threshold", "spikes_burst_min_duration": "burst_min_duration", "spikes_burst_gaussian_sigma": "burst_gaussian_sigma", "led_power_equation": "led_power_equation",
+}
+
+
+def own_settings(records: DataFrame, settings: Settings) -> Settings:
+    """``settings`` with what the first region of one field's records holds."""
+    names = [c for c in _OWN if c in records.columns]
+    first = select.first_setting(records, names).first() if names else None
+    return replace(settings, **{_OWN[c]: first[c] for c in names if first[c] is not None}) if first else settings
+
+
 def view(name: str, data: DataFrame, settings: Settings = Settings(), fov: str | None = None, rois: list[int] | str | None = None, **more) -> DataFrame:
-    """A view by name. ``fov`` and ``rois`` narrow the records first."""
+    """A view by name. ``fov`` and ``rois`` narrow the records first; of one field the parameters are its own."""
     if name in GROUPED:
         return GROUPED[name](data, **more)
     if name not in SINGLE:
         raise ValueError(f"no view {name}")
     if fov is not None:
         data = data.where(F.col("fov") == fov)
+        settings = own_settings(data, settings)
     return SINGLE[name](select.select_rois(data, rois) if rois is not None else data, settings, **more)

@@ -8,6 +8,7 @@ _TEXT = ["well_fov_position", "condition_1", "condition_2", "cell_size_units", "
 _SERIES = ["raw_trace", "corrected_trace", "neuropil_trace", "dff", "dec_dff", "inferred_spikes", "elapsed_time_list_ms", "iei", "peaks_amplitudes_dec_dff"]
 _NUMBERS = ["neuropil_correction_factor", "peaks_prominence_dec_dff", "peaks_height_dec_dff", "inferred_spikes_threshold", "dec_dff_frequency", "cell_size", "total_recording_time_sec", "calcium_network_threshold", "spikes_burst_threshold", "spikes_burst_gaussian_sigma"]
 _COUNTS = ["calcium_sync_jitter_window", "spikes_sync_cross_corr_lag", "spikes_burst_min_duration"]
+MASKS = ["mask_coord_and_shape", "neuropil_mask_coord_and_shape"]
 _FLAGS = ["active", "evoked_experiment", "stimulated"]
 
 #: Masks are heterogeneous JSON ([[ys], [xs]], [h, w]); they are read as text parts and parsed each on its own.
@@ -19,7 +20,7 @@ ROI_JSON = T.StructType(
     + [T.StructField(n, T.IntegerType()) for n in _COUNTS]
     + [T.StructField(n, T.BooleanType()) for n in _FLAGS]
     + [T.StructField("stimulations_frames_and_powers", T.MapType(T.StringType(), T.IntegerType()))]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("mask_coord_and_shape", "neuropil_mask_coord_and_shape")]
+    + [T.StructField(n, T.ArrayType(T.StringType())) for n in MASKS]
 )
 PIXELS = "dataset string, p int, t int, c int, z int, y int, x int, value double"
 LABELS = "dataset string, p int, y int, x int, label int"

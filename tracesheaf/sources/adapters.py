@@ -66,13 +66,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lab``: blocks of 7 x 7 pixels with a gap of one on the grid points of ``pix`` at positions 1 to 5."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5 and l_partkey % 8 < 7 and l_suppkey % 8 < 7")
+    """``lab``: blocks of 7 x 7 pixels with a gap of one on the grid points of ``pix``."""
+    li = table(spark, sf_dir, "lineitem").where("l_partkey % 8 < 7 and l_suppkey % 8 < 7")
     grid = li.select(F.col("l_linenumber").cast("long").alias("p"), (F.col("l_partkey") % 32).alias("y"), (F.col("l_suppkey") % 32).alias("x")).distinct()
     return grid.select(F.lit("d").alias("dataset"), "p", "y", "x", F.expr("(y div 8) * 4 + x div 8 + 1").alias("label"))
 
 
 def stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``stim``: frames of ``tr`` with event type ``click`` on regions that are multiples of 7; power from the JSON, pulse 100."""
-    tr = traces(spark, sf_dir).where("event_type = 'click' and roi % 7 = 0")
+    """``stim``: frames of ``tr`` with event type ``click``; power from the JSON, the greatest of a field's frame, pulse 100."""
+    tr = traces(spark, sf_dir).where("event_type = 'click'")
     return tr.select("fov", "frame", F.get_json_object("props", "$.k").cast("int").alias("power")).groupBy("fov", "frame").agg(F.max("power").alias("power")).withColumn("pulse", F.lit("100"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesheaf.config import Settings
-from tracesheaf.schemas import ROI_JSON
+from tracesheaf.schemas import MASKS, ROI_JSON
 
 AXES = ["dataset", "p", "t", "c", "z", "y", "x"]
 
@@ -66,19 +66,24 @@ def is_result_file(name: Column) -> Column:
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, globals, corrupt) of a folder of one JSON file for each field.
+    """(records, globals, corrupt) of a folder of one JSON file for each field, or of what ``sinks.write_results`` wrote.
 
-    Digit keys are regions, other keys globals; fields that the schema does not name are dropped, missing ones null. Files that do not
-    parse go to ``corrupt`` and do not stop the others.
+    Digit keys are regions, other keys globals; fields that the schema does not name are dropped, missing ones null; masks become structs.
+    Files that do not parse go to ``corrupt`` and do not stop the others.
     """
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    text = text.where(is_result_file(F.col("file"))).withColumn("fov", F.regexp_replace("file", r"\.json$", ""))
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True, pathGlobFilter="*.{json,txt}")
+    place = read.select(F.input_file_name().alias("path"), "value")
+    own = F.regexp_extract("path", r"/fov=([^/]+)/part-[^/]*\.txt$", 1)
+    name = F.element_at(F.split("path", "/"), -1)
+    text = place.select(F.when(own != "", F.concat(F.url_decode(own), F.lit(".json"))).otherwise(name).alias("file"), "value", (own != "").alias("own"))
+    text = text.where(F.col("own") | is_result_file(F.col("file"))).withColumn("fov", F.regexp_replace("file", r"\.json$", ""))
     text = text.withColumn("m", F.from_json("value", "map<string,string>"))
     corrupt = text.where("m is null and trim(value) <> ''").select("fov", "file")
     pairs = text.select("fov", F.explode("m").alias("key", "json"))
     digits = F.rlike("key", F.lit("^[0-9]+$"))
     records = pairs.where(digits).select("fov", F.col("key").cast("int").alias("roi"), F.from_json("json", ROI_JSON).alias("r")).select("fov", "roi", "r.*")
-    return records, pairs.where(~digits), corrupt
+    records = records.withColumns({c: parse_mask(c) for c in MASKS})
+    return records, pairs.where(~digits).select("fov", "key", "json"), corrupt
 
 
 def parse_mask(column: str) -> Column:

@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracesheaf.config import Settings
 from tracesheaf.functions.exprs import condition_tag, numeric_intensity, threshold_spikes
-from tracesheaf.operators import stats
+from tracesheaf.operators import grouped, stats
+
+
+def _mask_parts(mask: str) -> Column:
+    """A mask struct (ys, xs, h, w) as its two JSON parts."""
+    yx, hw = F.array(F.col(f"{mask}.ys"), F.col(f"{mask}.xs")), F.array(F.col(f"{mask}.h"), F.col(f"{mask}.w"))
+    return F.when(F.col(mask).isNotNull(), F.array(F.to_json(yx), F.to_json(hw)))
 
 
 def result_json(records: DataFrame) -> DataFrame:
-    """K1: (fov, value), the field's regions as one JSON object keyed by region."""
-    fields = [c for c in records.columns if c not in ("fov", "roi")]
+    """K1: (fov, value), the field's regions as one JSON object keyed by region; masks as ``[[ys], [xs]], [h, w]``."""
+    structs = [f.name for f in records.schema if f.name.endswith("mask_coord_and_shape") and f.dataType.typeName() == "struct"]
+    fields = [_mask_parts(c).alias(c) if c in structs else F.col(c) for c in records.columns if c not in ("fov", "roi")]
     entry = F.struct(F.col("roi").cast("string").alias("key"), F.struct(*fields).alias("value"))
-    return records.groupBy("fov").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    text = records.groupBy("fov").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    bare = F.regexp_replace("value", r'"(\[[\[\]0-9,]*\])"', "$1")  # mask parts as arrays, not as texts
+    return text.withColumn("value", bare) if structs else text
 
 
 def write_results(records: DataFrame, path: str) -> None:
-    """K1: one text file of JSON in a folder for each field."""
+    """K1: one text file of JSON in a folder for each field, which ``read_results`` reads back."""
     result_json(records).write.partitionBy("fov").text(path)
 
 
@@ -94,18 +104,29 @@ def export_each(steps: dict[str, Callable[[], DataFrame]], path: str) -> dict[st
     return failed
 
 
+#: Folder and parameter names of exported tables.
+TRACES = {"raw_data": "raw_trace", "neuropil_corrected_data": "corrected_trace", "dff_data": "dff", "dec_dff_data": "dec_dff", "inferred_spikes_raw_data": "inferred_spikes"}
+GROUPED = {"calcium_peaks_amplitude": "peaks_amplitudes_dec_dff", "calcium_peaks_frequency": "dec_dff_frequency", "calcium_peaks_iei": "iei", "cell_size": "cell_size"}
+# End of fixed values.
+
+
 def export_traces(records: DataFrame, path: str) -> dict[str, str]:
     """All trace tables of K2 to K6."""
-    kinds = {"raw_data": "raw_trace", "neuropil_corrected_data": "corrected_trace", "dff_data": "dff", "dec_dff_data": "dec_dff", "inferred_spikes_raw_data": "inferred_spikes"}
-    steps = {name: (lambda c=column: wide_traces(records, c)) for name, column in kinds.items() if column in records.columns}
+    steps = {name: (lambda c=column: wide_traces(records, c)) for name, column in TRACES.items() if column in records.columns}
     if "inferred_spikes_threshold" in records.columns:
         steps["inferred_spikes_thresholded_data"] = lambda: wide_traces(thresholded(records), "inferred_spikes")
     return export_each(steps, path)
 
 
-def export_grouped(records: DataFrame, path: str) -> dict[str, str]:
-    """K7 and K8 tables of records that carry ``condition``."""
-    columns = {"calcium_peaks_amplitude": "peaks_amplitudes_dec_dff", "calcium_peaks_frequency": "dec_dff_frequency", "calcium_peaks_iei": "iei", "cell_size": "cell_size"}
-    steps = {name: (lambda c=column: stats.wide(stats.grouped_mean(records, c)).orderBy("fov")) for name, column in columns.items() if column in records.columns}
+def export_grouped(records: DataFrame, path: str, settings: Settings = Settings()) -> dict[str, str]:
+    """Every grouped table of records that carry ``condition``; the evoked ones where records carry stimuli."""
+    steps = {name: (lambda c=column: stats.wide(stats.grouped_mean(records, c)).orderBy("fov")) for name, column in GROUPED.items() if column in records.columns}
     steps["percentage_active"] = lambda: percentage_table(stats.percentage_active(records))
+    steps["calcium_peaks_synchrony"] = lambda: value_table(grouped.peak_synchrony(records))
+    steps["spike_synchrony"] = lambda: value_table(grouped.spike_synchrony(records))
+    steps["calcium_network_density"] = lambda: value_table(grouped.network_density(records, settings))
+    steps["burst_activity"] = lambda: burst_table(grouped.burst_activity(records, settings))
+    if "stimulations_frames_and_powers" in records.columns:
+        for name, stim in (("calcium_peaks_amplitudes_stimulated", True), ("calcium_peaks_amplitudes_non_stimulated", False)):
+            steps[name] = lambda s=stim: evoked_table(grouped.evoked(records, s))
     return export_each(steps, path)
