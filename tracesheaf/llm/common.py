@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a local master a local one where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from tracesheaf.sources.scratch import scratch_path
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +18,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Lower the session's Arrow batch limits: rows hold whole texts, and a worker holds a few batches at once."""
+    """Lower the session's Arrow batch limits for good: rows hold whole texts, and a worker holds a few batches at once.
+
+    Plans read the limits when they run, so they cannot be set back where a plan is made. Limits below these stay.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
