@@ -13,9 +13,13 @@ _EXACT = 2.0**53
 
 
 def integer_vector(embedding: str) -> Column:
-    """floor(64 x) of each component as doubles; null for vectors that are null or hold null or non-finite components."""
+    """floor(64 x) of each component as doubles; null for vectors that are null or hold null or non-finite components.
+
+    From 2^52 on a double is whole as it stands, and from 2^63 on no bigint could hold it.
+    """
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * 64.0).cast("double")))
+    whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return F.when(~bad, F.transform(embedding, lambda x: whole(x.cast("double") * 64.0)))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -24,19 +28,37 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact integer products of the rows of q and c (whole doubles), as int64; beyond its range they are held at its ends.
+
+    Rows of common size go through one float product, which 53 bits hold exactly. Only outliers take the slower ways:
+    64-bit integers, and Python's where those could overflow. One outlier costs its own row or column, not the tile.
+    """
+    out, width = np.zeros((len(q), len(c)), np.int64), max(1, q.shape[1])
+    if not len(q) or not len(c) or not q.shape[1]:
+        return out
+    top_q, top_c = np.abs(q).max(axis=1), np.abs(c).max(axis=1)
+    low_q, low_c = (t * t * width < _EXACT for t in (top_q, top_c))
+    out[np.ix_(low_q, low_c)] = (q[low_q] @ c[low_c].T).astype(np.int64)
+    for rows, cols in ((np.flatnonzero(~low_q), np.arange(len(c))), (np.flatnonzero(low_q), np.flatnonzero(~low_c))):
+        for r in rows if len(cols) else ():
+            fits = top_q[r] * top_c[cols] * width < 2.0**62
+            near, far = cols[fits], cols[~fits]
+            if len(near) and top_q[r] < 2.0**62:
+                out[r, near] = np.where(np.abs(c[near]) < 2.0**62, c[near], 0).astype(np.int64) @ q[r].astype(np.int64)
+            if len(far):
+                total = np.array([[int(x) for x in v] for v in c[far]], object) @ np.array([int(x) for x in q[r]], object)
+                out[r, far] = np.clip(total, -(2**63), 2**63 - 1).astype(np.int64)
+    return out
+
+
 def tile_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (score high, then id low) candidates of each query within one tile, the query's own id left out."""
     by_id = np.argsort(cid, kind="stable")
     cid, c = cid[by_id], c[by_id]
     out = [], [], []
-    exact = not len(c) or not len(q) or not q.shape[1] or np.abs(q).max() * np.abs(c).max() * q.shape[1] < _EXACT
     for s in range(0, len(qid), 256):
-        if exact:
-            scores = (q[s : s + 256] @ c.T).astype(np.int64)
-        else:  # beyond 53 bits: exact integers, held at the ends of the range of a bigint
-            whole = np.vectorize(int, otypes=[object])
-            scores = np.clip(whole(q[s : s + 256]).dot(whole(c).T), -(2**63), 2**63 - 1).astype(np.int64)
-        for row, one in zip(scores, qid[s : s + 256]):
+        for row, one in zip(scores(q[s : s + 256], c), qid[s : s + 256]):
             ok = np.flatnonzero(cid != one)
             if len(ok) > k:
                 # Ties at the cut all stay in; the stable sort then prefers small ids.
@@ -52,21 +74,22 @@ def tile_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
 def topk(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``, against all other rows.
 
-    Rows with null id or without a usable vector take no part. Rows that share an id count once, with the smallest vector.
+    Rows with null id or without a usable vector take no part. Rows that share an id are all candidates of the other ids; as a query
+    such an id counts once, with the smallest vector. Scores beyond a bigint are held at the ends of its range.
     Only vectors of the query's length are its candidates. Ties go to the smaller id. An empty table gives no rows.
 
     Every query block meets every shard once, as a pair of tiles of bounded size. A tile yields at most k rows for each
     query; lists are merged FAN_IN at a time. What is shuffled is (blocks * rows + shards * queries) vectors.
     """
     rows = df.select(F.col(vec_id).alias("vec_id"), integer_vector(embedding).alias("x")).where("vec_id is not null and x is not null")
-    rows = rows.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    is_query = F.col("vec_id") % every == 0
+    rows = rows.withColumn("dim", F.size("x"))
+    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
     n, m = df.agg(F.count("*"), F.count(F.when(F.col(vec_id) % every == 0, 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     h = F.xxhash64("vec_id")
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    cands = rows.select("vec_id", "x", "dim", F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.explode(every_block).alias("block"))
-    queries = rows.where(is_query).select("vec_id", "x", "dim", F.pmod(F.shiftrightunsigned(h, 8), F.lit(blocks)).cast("int").alias("block"), F.explode(every_shard).alias("shard"))
+    cands = rows.select("vec_id", "x", "dim", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int").alias("shard"), F.explode(every_block).alias("block"))
+    queries = asking.select("vec_id", "x", "dim", F.pmod(F.shiftrightunsigned(h, 8), F.lit(blocks)).cast("int").alias("block"), F.explode(every_shard).alias("shard"))
 
     def tile(key: tuple, rows: pa.Table) -> pa.Table:
         asks = rows["asks"].to_numpy()
