@@ -4,12 +4,14 @@ A k-mer of code points is kept if the smallest hash among its s-mers lies at its
 depends on the k-mer alone, so equal passages choose equal anchors wherever they stand. Every passage of 2k - s code points
 holds an anchor. Texts whose half may be shorter than that take the next finer k and s of ``LEVELS``, where one anchor of the
 whole text goes before the others. The fingerprint lists all anchors of the text in order as 32-bit hashes in hex.
-Two texts are compared at the level of the shorter one.
+Two texts are compared at the level of the shorter one: their likeness is the share of anchors in the longest chain that stands
+in the same order in both.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,16 +72,43 @@ def fingerprint(a: np.ndarray) -> str:
     return a.astype(">u4").tobytes().hex()
 
 
+def _turn(a: np.ndarray) -> np.ndarray:
+    """For each anchor how many equal ones stand before it."""
+    by = np.argsort(a, kind="stable")
+    v = a[by]
+    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    out = np.empty(len(a), np.int64)
+    out[by] = np.arange(len(a)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(a)]])))
+    return out
+
+
+def matched_in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest chain of equal anchors that stand in the same order in both lists.
+
+    Where an anchor repeats, its i-th place from the front meets the i-th of the other list, and so from the back; that keeps the pairs linear.
+    Without repeats the chain is the longest common subsequence.
+    """
+    pairs = []
+    for side in (1, -1):
+        u, v = a[::side], b[::side]
+        key = lambda x: x.astype(np.uint64) << np.uint64(32) | _turn(x).astype(np.uint64)
+        _, i, j = np.intersect1d(key(u), key(v), assume_unique=True, return_indices=True)
+        pairs.append((i, j) if side == 1 else (len(a) - 1 - i, len(b) - 1 - j))
+    i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    ends: list[int] = []  # ends[n]: the earliest place in b at which a chain of n + 1 pairs can end
+    for x in j[np.lexsort((-j, i))].tolist():
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of anchors that the two have in common, counted with repeats (0 to 1); two empty lists are alike."""
+    """The share of anchors that match in order (0 to 1); two empty lists are alike."""
     if not len(a) and not len(b):
         return 1.0
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    (u, m), (v, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    both = int(np.minimum(m[i], n[j]).sum())
-    return 2 * both / (len(a) + len(b))
+    return 2 * matched_in_order(a, b) / (len(a) + len(b))
 
 
 def text_likeness(t: str, u: str, a: np.ndarray, b: np.ndarray) -> float:
@@ -128,7 +157,7 @@ def compare_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     away = F.struct(F.element_at(lookup, F.col("part")).alias("to"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("g", F.explode(F.when(is_top, F.array(home, away)).otherwise(F.array(home))))
     dealt = dealt.select("doc_id", "text", F.col("g.to").alias("to"), F.col("g.guest").alias("guest"))
-    dealt = dealt.repartition(max(1, len(cuts) + 1), "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), F.desc("text"))
+    dealt = dealt.repartitionById(max(1, len(cuts) + 1), F.col("to")).sortWithinPartitions("to", "guest", F.desc_nulls_last("doc_id"), F.desc("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
