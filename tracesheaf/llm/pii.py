@@ -1,9 +1,9 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Base patterns always count. Besides them, looser candidates (failed base matches, national phone numbers, spelt-out addresses) get
-votes from labelers: pattern, gazetteer, context before, context against, boundary. Expectation-maximisation on the table of vote
-patterns estimates each labeler's reliability, its posteriors train a naive Bayes span classifier, and candidates that
-it is sure of become further spans.
+Base patterns always count. Besides them there are looser candidates: failed base matches, phone numbers without ``+``, spelt-out or
+defanged addresses, cards with other separators. All get votes from labelers, none of which knows the base rules: checksum, shape,
+gazetteer, context before, context against, boundary. Expectation-maximisation on the table of vote patterns estimates each labeler's
+reliability, its posteriors train a naive Bayes span classifier, and candidates that it is sure of become further spans.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from tracesheaf.llm.common import written
 KINDS = ["email", "ip", "card", "phone"]
 #: A further span needs this probability; EM rounds; characters of context looked at.
 SURE, EM_ROUNDS, CONTEXT = 0.9, 40, 32
-LABELERS = ["pattern", "gazetteer", "cue", "counter_cue", "boundary"]
-FEATURES = ["rule", "digits", "before", "after", "form"]
+LABELERS = ["checksum", "shape", "gazetteer", "cue", "counter_cue", "boundary"]
+#: What the classifier sees; the last four are not votes.
+FEATURES = ["checksum", "shape", "cue", "counter_cue", "digits", "before", "after", "form"]
+_OWN = FEATURES[4:]
 
 # Stand-ins (private use characters) for a separator between two digits and for a dot between two label characters: with them
 # chains are plain runs, which match without backtracking or recursion however long they are.
@@ -31,7 +33,7 @@ _L = "A-Za-z0-9-"
 TLDS = ["com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "ch", "at", "it"]
 DIAL_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "86", "91"]
 CUES = {"email": "mail|contact|write to|correo|courriel", "ip": r"\bip\b|host|server|address|addr", "card": "card|visa|master|amex|credit|karte|carte|tarjeta", "phone": r"phone|call|\btel|mobile|fax|dial|telefon"}
-COUNTER_CUES = r"version|\bv\.?$|isbn|issn|\bid\b|sku|serial|order|build|release|section|chapter|\bno\.?\s*$"
+COUNTER_CUES = r"(version|\bv|isbn|issn|\bid|sku|serial|order|build|release|section|chapter|\bno)[\s.:#-]{0,3}$"
 # End of fixed values.
 
 
@@ -77,13 +79,18 @@ def _candidates(text: Column) -> Column:
     sep = F.regexp_replace(plain, r"(?<=[0-9])[\x20-](?=[0-9])", _SEP)
     dot = F.regexp_replace(plain, rf"(?<=[{_L}])\.(?=[{_L}])", _DOT)
     local = rf"A-Za-z0-9._%+{_DOT}-"
+    dots = r"(?:\x20?[\[(](?:\.|dot)[\])]\x20?|\x20(?:\.|dot)\x20)"
+    at = r"(?:\x20?[\[(](?:at|AT|@)[\])]\x20?|\x20(?:at|AT)\x20)"
     sources = [
         ("email", False, F.when(F.contains(text, F.lit("@")), dot).otherwise(""), rf"(?:(?<![{local}])|\G)[{local}]++@[{_L}]++{_DOT}[{_L}{_DOT}]++"),
         ("ip", False, text, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
         ("card", False, sep, rf"[0-9{_SEP}]{{13,}}"),
         ("phone", False, F.when(F.contains(text, F.lit("+")), text).otherwise(""), r"\+[0-9][\x20().0-9-]+[0-9]"),
-        ("phone", True, text, r"(?<![0-9+() .-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-        ("email", True, text, rf"[A-Za-z0-9._%+-]{{1,64}}\x20?(?:\(at\)|\[at\])\x20?[{_L}]{{1,63}}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{{2,24}}){{1,4}}"),
+        ("phone", True, text, r"(?<![0-9+(.-])(?<![0-9)]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
+        ("phone", True, text, r"(?<![0-9+])00[1-9][\x20().0-9-]{6,24}[0-9](?![0-9])"),
+        ("card", True, text, r"(?<![0-9])[0-9]{4}([._/]|[\x20-]{2})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
+        ("ip", True, text, rf"(?<![0-9])[0-9]{{1,3}}(?:{dots}[0-9]{{1,3}}){{3}}(?![0-9])"),
+        ("email", True, text, rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{at}[A-Za-z0-9-]{{1,63}}(?:(?:{dots}|\.)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:{dots}|\.)[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"),
     ]
 
     def describe(kind: str, loose: bool):
@@ -103,14 +110,37 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
+def _checksum(c: Column) -> Column:
+    """Luhn for cards, parts for ip, number of digits for phones, a letter before the sign for email."""
+    s, d, kind = c["s"], _digits(c["s"]), c["kind"]
+    card, ip = F.length(d).between(13, 19) & _luhn(F.substring(d, 1, 19)), _rule("ip", F.regexp_replace(s, "[^0-9]+", "."))
+    email = F.rlike(F.substring(s, 1, 64), F.lit("^[^@(\\[ ]*[A-Za-z]"))
+    right = F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", F.length(d).between(9, 15)).otherwise(email)
+    return _vote(right, ~right)
+
+
+def _shape(c: Column) -> Column:
+    """The usual grouping of digits or labels, whatever separates them; spans of over 64 characters have none."""
+    forms = {
+        "card": r"^([0-9]{13,16}|[0-9]{4}([^0-9]{0,2})[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|3[47][0-9]{2}[^0-9]?[0-9]{6}[^0-9]?[0-9]{5})$",
+        "phone": r"^(\+|00)?\(?[0-9]{1,4}\)?([\x20.()-]{1,3}[0-9]{2,5}){1,5}$",
+        "ip": r"^(0|[1-9][0-9]{0,2})([^0-9]+(0|[1-9][0-9]{0,2})){3}$",
+        "email": r"[^A-Za-z0-9-][A-Za-z]{2,24}$",
+    }
+    hits = [F.when(c["kind"] == k, F.rlike(c["s"], F.lit(p))) for k, p in forms.items()]
+    right = (F.length(c["s"]) <= 64) & F.coalesce(*hits)
+    return _vote(right, ~right)
+
+
 def _gazetteer(c: Column) -> Column:
     s, d = c["s"], _digits(c["s"])
     tld = F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1))
     card = F.rlike(d, F.lit("^(3[47]|4|5[1-5]|6|2[2-7])"))
-    local_ip = F.rlike(s, F.lit(r"^(0|127|22[4-9]|2[3-5][0-9])\."))
-    code = F.rlike(s, F.lit(r"^\+(" + "|".join(DIAL_CODES) + r")(?![0-9]{9,})"))
+    local_ip = F.rlike(s, F.lit(r"^(0|127|22[4-9]|2[3-5][0-9])[^0-9]"))
+    code = F.rlike(s, F.lit(r"^(\+|00)(" + "|".join(DIAL_CODES) + r")(?![0-9]{9,})"))
+    area = F.rlike(s, F.lit(r"^\(?0?[2-9][0-9]{2}\)?"))
     kind = c["kind"]
-    return F.when(kind == "email", _vote(tld.isin(TLDS), ~tld.isin(TLDS))).when(kind == "card", _vote(card, ~card)).when(kind == "ip", _vote(~local_ip, local_ip)).otherwise(_vote(code, F.lit(False)))
+    return F.when(kind == "email", _vote(tld.isin(TLDS), ~tld.isin(TLDS))).when(kind == "card", _vote(card, ~card)).when(kind == "ip", _vote(~local_ip, local_ip)).otherwise(_vote(code | area, F.lit(False)))
 
 
 def _cue(c: Column) -> Column:
@@ -127,10 +157,10 @@ def _judged(c: Column) -> Column:
     """Adds the labelers' votes and the classifier's features to a candidate, dropping its texts."""
     n, before, after = F.length(_digits(c["s"])), _edge(F.substring(c["left"], -1, 1)), _edge(F.substring(c["right"], 1, 1))
     odd = (before >= 3) | (after >= 3)
-    votes = [_vote(c["base"], ~c["base"] & ~c["loose"]), _gazetteer(c), _cue(c), _vote(F.lit(False), F.rlike(F.lower(c["left"]), F.lit(COUNTER_CUES))), _vote(~odd, odd)]
+    votes = [_checksum(c), _shape(c), _gazetteer(c), _cue(c), _vote(F.lit(False), F.rlike(F.lower(c["left"]), F.lit(COUNTER_CUES))), _vote(~odd, odd)]
     form = F.when(F.rlike(c["s"], F.lit(r"[()\[\]]")), 2).when(F.rlike(c["s"], F.lit(r"[\x20-]")), 1).otherwise(0)
-    features = [F.when(c["base"], 2).when(c["loose"], 1).otherwise(0), F.when(n == 0, 0).when(n < 9, 1).when(n < 13, 2).when(n < 20, 3).otherwise(4), before, after, form]
-    named = [v.cast("int").alias(x) for v, x in zip([*votes, *features], [*LABELERS, *FEATURES])]
+    own = [F.when(n == 0, 0).when(n < 9, 1).when(n < 13, 2).when(n < 20, 3).otherwise(4), before, after, form]
+    named = [v.cast("int").alias(x) for v, x in zip([*votes, *own], [*LABELERS, *_OWN])]
     return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), *named)
 
 
@@ -144,7 +174,7 @@ def estimate(patterns: list[tuple]) -> dict:
 
     Reliability is P(vote | truth) for each labeler, shared by all kinds; the prior is for each kind. Starts from the majority.
     """
-    post = {(k, v): min(0.95, max(0.05, 0.5 + 0.2 * sum(v) + 0.15 * v[0])) for k, v, _ in patterns}
+    post = {(k, v): min(0.95, max(0.05, 0.5 + 0.15 * sum(v))) for k, v, _ in patterns}
     for _ in range(EM_ROUNDS):
         prior = defaultdict(lambda: [1.0, 1.0])
         table = [[defaultdict(lambda: 0.5) for _ in LABELERS] for _ in range(2)]
@@ -193,23 +223,23 @@ def find_spans(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     is replaced. Only counts of vote and feature patterns reach the driver; their number does not grow with the rows.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != "pii"]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     held = df.select(*[F.col(f"`{c}`") for c in kept], F.transform(_candidates(body), _judged).alias("pii"))
     rows = written(held, "candidates")
     flat = rows.select(F.explode("pii").alias("c")).select("c.*")
-    counts = [(r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["count"]) for r in flat.groupBy("kind", *LABELERS, *FEATURES).count().orderBy("kind", *LABELERS, *FEATURES).collect()]
+    seen = [*LABELERS, *_OWN]
+    counts = [(r["kind"], tuple(r[x] for x in LABELERS), tuple(r[x] for x in FEATURES), r["count"]) for r in flat.groupBy("kind", *seen).count().orderBy("kind", *seen).collect()]
     patterns = defaultdict(int)
     for k, v, _, n in counts:
         patterns[k, v] += n
     kinds, values = fit_classifier(counts, estimate([(k, v, n) for (k, v), n in patterns.items()]))
     place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    spans = F.transform("pii", lambda c: F.struct(F.element_at(place, c["kind"]).alias("i"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), F.when(c["base"], 1.0).otherwise(_probability(c, kinds, values)).alias("p")))
-    base = F.filter("spans", lambda c: c["base"])
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.filter("spans", lambda c: ~c["base"] & (c["p"] >= SURE) & clear(c))
-    out = rows.withColumn("spans", spans).withColumn("base", base)
-    final = F.transform(F.array_sort(F.concat(F.col("base"), more)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["p"].alias("p")))
-    return out.select(*[F.col(f"`{c}`") for c in kept], final.alias("pii"))
+    scored = lambda c: F.struct(F.element_at(place, c["kind"]).alias("i"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), F.when(c["base"], 1.0).otherwise(_probability(c, kinds, values)).alias("p"))
+    base = F.filter("pii", lambda c: c["base"])
+    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    sure = F.filter(F.transform(F.filter("pii", lambda c: ~c["base"] & clear(c)), scored), lambda c: c["p"] >= SURE)
+    final = F.transform(F.array_sort(F.concat(F.transform(base, scored), sure)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["p"].alias("p")))
+    return rows.select(*[F.col(f"`{c}`") for c in kept], final.alias("pii"))
 
 
 def redact(text: Column, spans: Column) -> Column:
