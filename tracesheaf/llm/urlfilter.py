@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 30
-#: Longest host name (a fixed limit of DNS); longer hosts match nothing.
-HOST_CHARS = 253
 
 
 def host_of(url: Column) -> Column:
@@ -37,23 +35,25 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
 
     Times are whole numbers (days). Patterns are hosts or parent domains; of the active ones the longest decides. Captures
     without host, time or active entry get verdict ``none`` and null pattern. Repeated rows stay; columns of ``captures`` with
-    the names of the new ones are replaced.
+    the names of the new ones are replaced. Empty tables on either side are fine.
+
+    The as-of join runs on the distinct (host, time) only; other columns of the captures meet its result in one equi-join.
     """
     new = ["host", "verdict", "pattern", "valid_from"]
     kept = [c for c in captures.columns if c not in new]
-    rows = captures.select(*[F.col(f"`{c}`") for c in kept])
-    keyed = rows.groupBy(*kept).agg(F.count("*").alias("__n")).withColumn("host", host_of(F.col(url)))
+    rows = captures.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"))
+    asked = rows.select("host", F.col(f"`{fetched}`").cast("long").alias("at")).where("host <> '' and at is not null").distinct()
+    begin, end = rows.agg(F.min(f"`{fetched}`").cast("long"), F.max(f"`{fetched}`").cast("long")).first()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    wide = keyed.withColumn("__p", F.explode(F.when((F.col("host") != "") & (F.length("host") <= HOST_CHARS), suffixes).otherwise(F.array(F.lit("")))))
-    wide = wide.withColumn("__b", F.floor(F.col(fetched) / bucket))
-    end = F.lit(captures.agg(F.max(fetched)).first()[0]).cast("long")
-    spans = intervals(entries).where(F.col("valid_from") <= end)
-    last = F.least(end, F.coalesce(F.col("valid_to") - 1, end))
-    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("valid_from") / bucket), F.floor(last / bucket))))
+    wide = asked.withColumn("p", F.explode(suffixes)).withColumn("b", F.floor(F.col("at") / bucket))
+    # An interval counts within the time of the captures only, so an old entry has no more buckets than they have.
+    spans = intervals(entries).withColumn("from_", F.greatest("valid_from", F.lit(begin).cast("long"))).withColumn("to_", F.least(F.coalesce(F.col("valid_to") - 1, F.lit(end).cast("long")), F.lit(end).cast("long")))
+    spans = spans.where("from_ <= to_").withColumn("b", F.explode(F.sequence(F.floor(F.col("from_") / bucket), F.floor(F.col("to_") / bucket))))
     s, c = spans.alias("s"), wide.alias("c")
-    active = (F.col("c.__p") == F.col("s.pattern")) & (F.col("c.__b") == F.col("s.__b")) & (F.col("s.valid_from") <= F.col(f"c.{fetched}")) & (F.col("s.valid_to").isNull() | (F.col(f"c.{fetched}") < F.col("s.valid_to")))
-    hit = F.when(F.col("s.pattern").isNotNull(), F.struct(F.length("s.pattern").alias("n"), F.col("s.pattern"), F.col("s.action"), F.col("s.valid_from")))
-    best = c.join(s, active, "left").groupBy(*[F.col(f"c.`{k}`") for k in kept], "c.host", "c.__n").agg(F.max(hit).alias("__hit"))
-    out = best.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
-    return out.select(*kept, "host", F.coalesce("__hit.action", F.lit("none")).alias("verdict"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("valid_from"))
+    active = (F.col("c.p") == F.col("s.pattern")) & (F.col("c.b") == F.col("s.b")) & F.col("c.at").between(F.col("s.from_"), F.col("s.to_"))
+    hit = F.struct(F.length("s.pattern").alias("n"), F.col("s.pattern"), F.col("s.action"), F.col("s.valid_from"))
+    best = c.join(s, active).groupBy("c.host", "c.at").agg(F.max(hit).alias("hit")).alias("v")
+    out = rows.alias("r").join(best, (F.col("r.host") == F.col("v.host")) & (F.col(f"r.`{fetched}`").cast("long") == F.col("v.at")), "left")
+    found = [F.coalesce("v.hit.action", F.lit("none")).alias("verdict"), F.col("v.hit.pattern").alias("pattern"), F.col("v.hit.valid_from").alias("valid_from")]
+    return out.select(*[F.col(f"r.`{c}`") for c in kept], "r.host", *found)
