@@ -2,8 +2,8 @@
 
 Writing goes through Spark's text writer: a record is header, blank line and block, and the line separator is the
 two CRLF that end a record. Reading parses by Content-Length, never by separator. The index is an external merge: each
-archive gives a run of captures sorted by URL key and time; runs are dealt by key ranges and a loser tree merges the runs of
-each range.
+archive is parsed once and gives a run of captures, written to the shared folder; runs are dealt by key ranges of bounded size,
+sorted where they arrive, and a loser tree merges the runs of each range.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import scratch_path
+from tracesheaf.llm.common import scratch_path, written
 
 REVISIT_BYTES = 100
-#: Records of one archive file at most.
-FILE_RECORDS = 4096
+#: Records and usual bytes of one archive file at most; captures of one range of the index.
+FILE_RECORDS, FILE_BYTES, RANGE_ROWS = 4096, 64 << 20, 200_000
 _CRLF = "\r\n"
 INDEX = "urlkey string, ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long, verified boolean"
 
@@ -37,12 +37,14 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """Write one record for each row of ``pages`` under ``path``; payloads are the html in UTF-8, null as empty.
 
     Of records with equal payloads of at least REVISIT_BYTES bytes, those with the smallest id are responses and the others
-    revisits of it; rows that repeat that id are responses as well. A null id is written as ``-``, is never referred to
+    revisits of it; rows that repeat that id are responses as well. A file takes as many records as FILE_BYTES holds of the mean payload. A null id is written as ``-``, is never referred to
     while another id is there, and sorts last. Line ends in URLs are percent-encoded. The capture time is the id in seconds after
     2024-01-01 (null: 0), as the tables hold none.
     """
     body = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     body = body.withColumn("n", F.octet_length("html")).withColumn("digest", F.sha2("html", 256))
+    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0
+    records_a_file = int(max(1, min(FILE_RECORDS, FILE_BYTES // (mean + 1))))
     keys = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     first = keys.where(F.octet_length("html") >= REVISIT_BYTES).groupBy(F.sha2("html", 256).alias("digest"))
     first = first.agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -58,7 +60,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.lit(f"{_CRLF}WARC-Target-URI: "), target, F.lit(f"{_CRLF}WARC-Date: "), at, F.lit(f"{_CRLF}WARC-Payload-Digest: sha256:"), F.col("digest"), refers,
         F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), F.octet_length(block), F.lit(_CRLF * 2), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("compression", compression).option("maxRecordsPerFile", records_a_file).text(path)
 
 
 class _Stream:
@@ -182,49 +184,40 @@ class LoserTree:
 def read_index(spark, path: str, partitions: int | None = None) -> DataFrame:
     """Capture histories of the archives under ``path`` (columns INDEX), in global order of (urlkey, ts, page_id).
 
-    A range holds a bounded share of all captures; equal keys are cut apart by time, id and place, so a hot URL
-    spreads as well. An empty folder gives no rows.
+    A range holds about RANGE_ROWS captures or fewer (``partitions``: so many ranges); equal keys are cut apart by time, id and place, so a
+    hot URL spreads as well. ``verified`` tells whether a response's payload has its stated length and digest. An empty folder gives no rows.
+    Offsets and lengths count bytes of the archive as it is inflated; with compression ``none`` they can be sought.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     names = "ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long, verified boolean, file string"
-    order = ["urlkey", "ts", "page_id", "file", "offset"]
-    runs = files.mapInArrow(_captures, names).withColumn("urlkey", surt(F.col("url")))
-    runs = runs.sortWithinPartitions("file", *order)  # one sorted run for each archive
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(n, *order)
     columns = [c.split()[0] for c in INDEX.split(", ")]
+    order = ["urlkey", "ts", "page_id", "file", "offset"]
+    runs = written(files.mapInArrow(_captures, names).withColumn("urlkey", surt(F.col("url"))).select(*columns), "runs")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(n, F.col("urlkey"), F.col("ts"), F.asc_nulls_last("page_id"), F.col("file"), F.col("offset"))
+    dealt = dealt.sortWithinPartitions("file", "urlkey", "ts", F.asc_nulls_last("page_id"), "offset")  # runs one after the other
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for row in zip(*(b[c].to_pylist() for c in columns)):
-                found.setdefault(row[8], []).append(row)
-        if not found:
+        held = list(batches)
+        if not held:
             return
-        key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0, r[8], r[9])
-        for run in found.values():  # segments of a run may have come in another order
-            if any(key(x) > key(y) for x, y in zip(run, run[1:])):
-                run.sort(key=key)
-        out: list = []
-        for row in LoserTree([found[f] for f in sorted(found)], key):
-            out.append(row)
-            if len(out) == 4096:
-                yield _batch(out, columns, schema)
-                out = []
-        if out:
-            yield _batch(out, columns, schema)
-
-    return dealt.select(*columns).mapInArrow(merge, INDEX)
+        table = pa.Table.from_batches(held).combine_chunks()
+        urlkey, ts, page, file, offset = (table[c].to_pylist() for c in order)
+        begins = [0, *[i for i in range(1, len(file)) if file[i] != file[i - 1]], len(file)]
+        key = lambda i: (urlkey[i], ts[i], page[i] is None, page[i] or 0, file[i], offset[i])
+        merged = list(LoserTree([range(b, e) for b, e in zip(begins, begins[1:])], key))
+        yield from table.take(pa.array(merged, pa.int64())).to_batches(max_chunksize=4096)
 
-
-def _batch(rows: list, columns: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, schema.field(n).type) for c, n in zip(zip(*rows), columns)], names=columns)
+    return dealt.mapInArrow(merge, INDEX)
 
 
 def archive(pages: DataFrame, path: str | None = None, **names: str) -> DataFrame:
-    """Write ``pages`` as WARC under ``path`` (default: a new folder in the shared one) and return the index read back from it."""
+    """Write ``pages`` as WARC under ``path`` (default: a new folder in the shared one) and return the index read back from it.
+
+    A payload that does not come back as it was written is an error of the job that reads the index.
+    """
     path = path or scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, **names)
-    return read_index(pages.sparkSession, path)
+    index = read_index(pages.sparkSession, path)
+    broken = F.raise_error(F.concat(F.lit("payload differs in "), "file", F.lit(" at "), F.col("offset").cast("string"))).cast("boolean")
+    return index.where(F.when(F.col("verified"), True).otherwise(broken))
