@@ -38,63 +38,120 @@ def decay(y: np.ndarray, sn: float) -> float:
     return min(max(g, 0.0), 0.999)
 
 
-def _pools(y: np.ndarray, g: float, lam: float) -> np.ndarray:
-    """The denoised trace for a fixed penalty and baseline (already taken off ``y``)."""
-    x = y - lam * (1 - g)
-    x[-1] = y[-1] - lam
+def _pools(y: np.ndarray, g: float, lam: float, b: float, powers: list[float]) -> tuple[list[float], list[int]]:
+    """Values and lengths of the pools that solve a fixed penalty and baseline; ``powers`` are those of g up to the trace's length."""
+    x = y - b - lam * (1 - g)
+    x[-1] = y[-1] - b - lam
     v, w, n = [], [], []
     for value in x.tolist():
         cv, cw, cn = value, 1.0, 1
-        while v and cv < g ** n[-1] * v[-1]:
-            k = g ** n[-1]
-            cw, cv = w[-1] + k * k * cw, (w[-1] * v[-1] + k * cw * cv) / (w[-1] + k * k * cw)
-            cn += n.pop()
-            v.pop()
-            w.pop()
+        while v and cv < powers[n[-1]] * v[-1]:
+            m, before = n.pop(), w.pop()
+            k = powers[m]
+            total = before + k * k * cw
+            cv, cw, cn = (before * v.pop() + k * cw * cv) / total, total, cn + m
         v.append(cv)
         w.append(cw)
         n.append(cn)
-    return np.concatenate([max(a, 0.0) * g ** np.arange(m) for a, m in zip(v, n)])
-
-
-def _fit(y: np.ndarray, g: float, lam: float, b: float) -> tuple[np.ndarray, float]:
+    return v, n
+
+
+class _Fixed:
+    """The solution on fixed pools, linear in baseline and penalty: c = a - b * e - lam * d."""
+
+    def __init__(self, y: np.ndarray, g: float, v: list[float], n: list[int]):
+        sizes = np.array(n)
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        h = g ** (np.arange(len(y)) - np.repeat(begins, sizes)).astype(float)
+        pay = np.full(len(y), 1 - g)
+        pay[-1] = 1.0
+        weight = np.add.reduceat(h * h, begins)
+        spread = lambda u: h * np.repeat(np.where(np.array(v) > 0, np.add.reduceat(h * u, begins) / weight, 0.0), sizes)
+        self.y, self.a, self.e, self.d = y, spread(y), spread(np.ones(len(y))), spread(pay)
+
+    def trace(self, lam: float, b: float) -> np.ndarray:
+        return np.maximum(self.a - b * self.e - lam * self.d, 0.0)
+
+    def baseline(self) -> tuple[float, float]:
+        """(p, q): the baseline that leaves a mean residual of zero is p + q * lam, and not below 0."""
+        left = 1 - self.e.mean()
+        return ((self.y - self.a).mean() / left, self.d.mean() / left) if left > 1e-12 else (0.0, 0.0)
+
+    def penalty(self, goal: float) -> tuple[float, float] | None:
+        """(lam, b) at which the squared residual is ``goal``, the baseline following; None if there is none."""
+        for p, q in (self.baseline(), (0.0, 0.0)):
+            r0, r1 = self.y - self.a - p * (1 - self.e), self.d - q * (1 - self.e)
+            k2, k1, k0 = r1 @ r1, 2 * (r0 @ r1), r0 @ r0 - goal
+            root = k1 * k1 - 4 * k2 * k0
+            if k2 <= 0 or root < 0:
+                return None
+            lam = max(0.0, (math.sqrt(root) - k1) / (2 * k2))
+            if p + q * lam >= 0:
+                return lam, p + q * lam
+        return None
+
+
+def _settle(y: np.ndarray, g: float, lam: float, b: float, powers: list[float]) -> tuple[np.ndarray, float]:
+    """Trace and baseline for a fixed penalty: pools and baseline in turn, the baseline in closed form on the pools."""
     for _ in range(_ROUNDS):
-        c = _pools(y - b, g, lam)
-        new = max(float((y - c).mean()), 0.0)
+        fixed = _Fixed(y, g, *_pools(y, g, lam, b, powers))
+        p, q = fixed.baseline()
+        new = max(0.0, p + q * lam)
         if abs(new - b) <= 1e-10 * (1 + abs(b)):
-            return c, new
+            return fixed.trace(lam, b), b
         b = new
-    return c, b
+    return fixed.trace(lam, b), b
 
 
 def deconvolve_trace(y: np.ndarray, g: float | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(denoised, spikes, baseline, g): the largest penalty whose residual stays within the noise; 0 if none does."""
+    """(denoised, spikes, baseline, g): the largest penalty whose residual stays within the noise; 0 if none does.
+
+    Penalty and baseline are solved on the pools that stand, then the pools anew, until neither moves; should that not settle, the penalty is halved in.
+    """
     y = np.asarray(y, float)
     if len(y) < 4 or not np.isfinite(y).all():
         return np.full(len(y), np.nan), np.full(len(y), np.nan), 0.0, 0.0
     sn = noise_sd(y)
     g = decay(y, sn) if g is None else g
-    b = max(float(np.percentile(y, 15)), 0.0)
+    powers = (g ** np.arange(len(y) + 1.0)).tolist()
     goal = sn * sn * len(y)
     gap = lambda c, b: float(((y - b - c) ** 2).sum())
-    lo, hi = 0.0, max(float(np.abs(y).max()) * len(y), 1e-6)
-    c, base = _fit(y, g, 0.0, b)
+    c, base = _settle(y, g, 0.0, max(float(np.percentile(y, 15)), 0.0), powers)
     if gap(c, base) < goal:
-        for _ in range(_HALVINGS):
-            lam = (lo + hi) / 2
-            c2, b2 = _fit(y, g, lam, base)
-            if gap(c2, b2) <= goal:
-                lo, c, base = lam, c2, b2
-            else:
-                hi = lam
-            if hi - lo <= 1e-9 * hi:
-                break
+        c, base = _raised(y, g, goal, base, powers) or _halved(y, g, goal, c, base, powers)
     s = c.copy()
     s[1:] -= g * c[:-1]
     s[0] = 0.0
     return c, np.maximum(s, 0.0), base, g
 
 
+def _raised(y: np.ndarray, g: float, goal: float, b: float, powers: list[float]) -> tuple[np.ndarray, float] | None:
+    lam = 0.0
+    for _ in range(_ROUNDS):
+        fixed = _Fixed(y, g, *_pools(y, g, lam, b, powers))
+        found = fixed.penalty(goal)
+        if found is None:
+            return None
+        if abs(found[0] - lam) <= 1e-10 * (1 + lam) and abs(found[1] - b) <= 1e-10 * (1 + b):
+            return fixed.trace(*found), found[1]
+        lam, b = found
+    return None
+
+
+def _halved(y: np.ndarray, g: float, goal: float, c: np.ndarray, b: float, powers: list[float]) -> tuple[np.ndarray, float]:
+    lo, hi = 0.0, max(float(np.abs(y).max()) * len(y), 1e-6)
+    for _ in range(_HALVINGS):
+        lam = (lo + hi) / 2
+        c2, b2 = _settle(y, g, lam, b, powers)
+        if float(((y - b2 - c2) ** 2).sum()) <= goal:
+            lo, c, b = lam, c2, b2
+        else:
+            hi = lam
+        if hi - lo <= 1e-9 * hi:
+            break
+    return c, b
+
+
 def deconvolve(df: DataFrame, trace: str = "dff", seconds: str | None = None, tau: float = 0.0) -> DataFrame:
     """Adds ``dec`` (denoised), ``spikes``, ``dec_baseline`` and ``dec_g`` to array traces.
 
@@ -107,14 +164,13 @@ def deconvolve(df: DataFrame, trace: str = "dff", seconds: str | None = None, ta
 
     @F.arrow_udf("struct<dec:array<double>,spikes:array<double>,dec_baseline:double,dec_g:double>")
     def solve(traces: pa.Array, gs: pa.Array) -> pa.Array:
-        out = []
+        kinds = [("dec", pa.list_(pa.float64())), ("spikes", pa.list_(pa.float64())), ("dec_baseline", pa.float64()), ("dec_g", pa.float64())]
+        cols: list[list] = [[], [], [], []]
         for t, g in zip(traces, gs):
-            if not t.is_valid:
-                out.append(None)
-                continue
-            y = np.array([math.nan if v is None else v for v in t.as_py()], float)
-            c, s, b, k = deconvolve_trace(y, g.as_py())
-            out.append({"dec": c.tolist(), "spikes": s.tolist(), "dec_baseline": b, "dec_g": k})
-        return pa.array(out, pa.struct([("dec", pa.list_(pa.float64())), ("spikes", pa.list_(pa.float64())), ("dec_baseline", pa.float64()), ("dec_g", pa.float64())]))
+            y = np.array([math.nan if v is None else v for v in t.as_py()], float) if t.is_valid else np.zeros(0)
+            for col, x in zip(cols, deconvolve_trace(y, g.as_py())):
+                col.append(x)
+        arrays = [pa.array(c, k) for c, (_, k) in zip(cols, kinds)]
+        return pa.StructArray.from_arrays(arrays, [n for n, _ in kinds], mask=traces.is_null())
 
     return df.withColumn("__d", solve(F.col(trace).cast("array<double>"), known)).select(*df.columns, "__d.*")

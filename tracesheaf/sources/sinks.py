@@ -22,8 +22,9 @@ def result_json(records: DataFrame) -> DataFrame:
     """K1: (fov, value), the field's regions as one JSON object keyed by region; masks as ``[[ys], [xs]], [h, w]``."""
     structs = [f.name for f in records.schema if f.name.endswith("mask_coord_and_shape") and f.dataType.typeName() == "struct"]
     fields = [_mask_parts(c).alias(c) if c in structs else F.col(c) for c in records.columns if c not in ("fov", "roi")]
-    entry = F.struct(F.col("roi").cast("string").alias("key"), F.struct(*fields).alias("value"))
-    text = records.groupBy("fov").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    entry = F.struct("roi", F.concat(F.lit('"'), F.col("roi").cast("string"), F.lit('":'), F.to_json(F.struct(*fields))).alias("text"))
+    body = F.array_join(F.array_sort(F.collect_list(entry))["text"], ",")
+    text = records.groupBy("fov").agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
     bare = F.regexp_replace("value", r'"(\[[\[\]0-9,]*\])"', "$1")  # mask parts as arrays, not as texts
     return text.withColumn("value", bare) if structs else text
 
@@ -51,12 +52,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def evoked_table(rows: DataFrame) -> DataFrame:
     """A row ``<fov>_<power>_<pulse>`` for each field and intensity, columns by condition tag and intensity, from rows (condition, fov, power_pulse, mean, sem, n)."""
-    keyed = rows.withColumn("FOV", F.concat_ws("_", "fov", "power_pulse"))
+    keyed = rows.withColumn("key", F.concat_ws("_", "fov", "power_pulse"))
     names = keyed.select("condition", condition_tag(F.col("condition")).alias("tag"), numeric_intensity(F.col("condition"), -2).alias("i")).distinct()
     order = [r["condition"] for r in names.orderBy("tag", "i", "condition").collect()]
     columns = [F.max(F.when(F.col("condition") == c, F.col(v))).alias(f"{c}{s}") for c in order for v, s in (("mean", "_Mean"), ("sem", "_SEM"), ("n", "_N"))]
-    out = keyed.groupBy("fov", "FOV", F.col("power_pulse").alias("__p")).agg(*columns)
-    return out.withColumn("__i", numeric_intensity(F.col("__p"), 0)).orderBy("fov", "__i").drop("fov", "__p", "__i")
+    out = keyed.groupBy("key", F.col("fov").alias("__f"), F.col("power_pulse").alias("__p")).agg(*columns)
+    return out.orderBy("__f", numeric_intensity(F.col("__p"), 0)).drop("__f", "__p").withColumnRenamed("key", "FOV")
 
 
 def percentage_table(rows: DataFrame) -> DataFrame:
@@ -120,12 +121,15 @@ def export_traces(records: DataFrame, path: str) -> dict[str, str]:
 
 def export_grouped(records: DataFrame, path: str, settings: Settings = Settings()) -> dict[str, str]:
     """Every grouped table of records that carry ``condition``; the evoked ones where records carry stimuli."""
-    steps = {name: (lambda c=column: stats.wide(stats.grouped_mean(records, c)).orderBy("fov")) for name, column in GROUPED.items() if column in records.columns}
-    steps["percentage_active"] = lambda: percentage_table(stats.percentage_active(records))
-    steps["calcium_peaks_synchrony"] = lambda: value_table(grouped.peak_synchrony(records))
-    steps["spike_synchrony"] = lambda: value_table(grouped.spike_synchrony(records))
-    steps["calcium_network_density"] = lambda: value_table(grouped.network_density(records, settings))
-    steps["burst_activity"] = lambda: burst_table(grouped.burst_activity(records, settings))
+    steps = {name: (lambda c=column: stats.wide(stats.grouped_mean(records, c)).orderBy("fov").withColumnRenamed("fov", "FOV")) for name, column in GROUPED.items() if column in records.columns}
+    columns = {
+        "percentage_active": lambda: percentage_table(stats.percentage_active(records)),
+        "calcium_peaks_synchrony": lambda: value_table(grouped.peak_synchrony(records)),
+        "spike_synchrony": lambda: value_table(grouped.spike_synchrony(records)),
+        "calcium_network_density": lambda: value_table(grouped.network_density(records, settings)),
+        "burst_activity": lambda: burst_table(grouped.burst_activity(records, settings)),
+    }
+    steps |= {name: (lambda m=make: m().orderBy("row").drop("row")) for name, make in columns.items()}
     if "stimulations_frames_and_powers" in records.columns:
         for name, stim in (("calcium_peaks_amplitudes_stimulated", True), ("calcium_peaks_amplitudes_non_stimulated", False)):
             steps[name] = lambda s=stim: evoked_table(grouped.evoked(records, s))
