@@ -94,8 +94,9 @@ def inter_event_intervals(peaks: Column, times_ms: Column) -> Column:
 
 
 def interval_rows(events: DataFrame, t: str = "t_ms", keys: list[str] = KEYS) -> DataFrame:
-    """W3 on event rows (keys, t): adds ``iei``, null on the first of each key."""
-    return events.withColumn("iei", (F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))) / 1000)
+    """W3 on event rows (keys, t): adds ``iei``, null on the first of each key; of equal times the lower frame comes first."""
+    order = Window.partitionBy(*keys).orderBy(t, *(["frame"] if "frame" in events.columns else []))
+    return events.withColumn("iei", (F.col(t) - F.lag(t).over(order)) / 1000)
 
 
 def spike_thresholds(spikes: DataFrame, settings: Settings = Settings(), value: str = "value", keys: list[str] = KEYS) -> DataFrame:

@@ -51,11 +51,11 @@ def evoked_condition(condition: Column, stim: Column, power_pulse: Column) -> Co
     return F.concat_ws("_", condition, F.when(stim, "evk_stim").otherwise("evk_non_stim"), power_pulse)
 
 
-def by_condition(evoked: DataFrame, conditions: DataFrame) -> DataFrame:
+def by_condition(evoked: DataFrame, conditions: DataFrame, digits: int | None = 5) -> DataFrame:
     """Mean, sem, n of evoked amplitudes by evoked condition and field; X2: regions of a field are pooled by label."""
     c = evoked.join(conditions.select("fov", "condition").distinct(), "fov")
     c = c.withColumn("condition", evoked_condition(F.col("condition"), F.col("stimulated"), F.col("power_pulse")))
-    return grouped_mean(c, "amplitude")
+    return grouped_mean(c, "amplitude", digits=digits)
 
 
 def panel(evoked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracesheaf.plans import view_sql
+from tracesheaf.plans import file_sql, view_sql
 
 _CTE = {
     "tr": "SELECT user_id % 10 AS fov, user_id AS roi, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, epoch_us(ts) // 1000 AS t_ms, value, event_type, props FROM events",
@@ -66,6 +66,8 @@ def _uses(sql: str) -> list[str]:
 
 def _with(sql: str) -> str:
     used = _uses(sql)
+    if sql.lstrip().startswith("WITH RECURSIVE"):
+        sql = f"SELECT * FROM ({sql})"
     return ("WITH " + ", ".join(f"{k} AS ({_CTE[k]})" for k in used) + " " if used else "") + sql
 
 
@@ -169,5 +171,7 @@ _CTE["onf"] = "SELECT fov, max(frame) + 1 AS n FROM ov GROUP BY fov"
 _CTE["oix"] = "SELECT a.fov, a.frame, w, ((a.frame + k) % (2 * n) + 2 * n) % (2 * n) AS m, n FROM ov a JOIN onf USING (fov), ker"
 _CTE["osm"] = "SELECT i.fov, i.frame, sum(w * a.activity) AS smooth FROM oix i JOIN ov a ON a.fov = i.fov AND a.frame = CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL"
 _CTE["gap"] = "SELECT * FROM (SELECT pk.fov, pk.roi, (t_ms - lag(t_ms) OVER (PARTITION BY pk.roi ORDER BY pk.frame)) / 1000 AS d FROM pk JOIN tr ON pk.roi = tr.roi AND pk.frame = tr.frame) WHERE d IS NOT NULL"
-_CTE |= {k: v.format(xcorr=_EXACT["trace_xcorr"], sxcorr=_EXACT["spike_xcorr"]) if k in ("xc", "xs") else v for k, v in view_sql.CTE.items()}
-SQL = {k: _with(v) for k, v in _BODY.items()} | {f"view_{k}": _with(v) for k, v in view_sql.BODY.items()}
+_CTE |= {k: v.format(xcorr=_EXACT["trace_xcorr"], sxcorr=_EXACT["spike_xcorr"]) if k in ("xc", "xs") else v for k, v in (view_sql.CTE | file_sql.CTE).items()}
+_BODY["stim_mask"] = view_sql._AREA
+_BODY["clustering"] = view_sql._tree("xc")
+SQL = {k: _with(v) for k, v in (_BODY | file_sql.BODY).items()} | {f"view_{k}": _with(v) for k, v in view_sql.BODY.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracesheaf.config import Settings
 from tracesheaf.functions import exprs
 from tracesheaf.operators import bursts, cluster, deconv, events, evoked, pairs, pixels, select, stats, traces
-from tracesheaf.plans import oracle, view_queries
+from tracesheaf.plans import file_queries, oracle, view_queries
 from tracesheaf.sources import adapters as A
 from tracesheaf.sources import readers, sinks
 from tracesheaf.sources.scratch import scratch_path
@@ -93,7 +93,7 @@ def roi_select(spark, sf_dir):
 
 @query
 def random_rois(spark, sf_dir):
-    """The limit is the feature."""
+    """The limit is the feature; a hash picks, so the regions have no SQL, but query ``random_choice`` has."""
     return select.random_rois(_rois(spark, sf_dir), 3)
 
 
@@ -629,5 +629,5 @@ def plate_map_json(spark, sf_dir):
     return readers.parse_plate_map(sinks.plate_map_json(s))
 
 
-for _name, _view in view_queries.queries().items():
+for _name, _view in (file_queries.queries() | view_queries.queries()).items():
     _QUERIES[_name] = lambda spark, sf_dir, _view=_view, _digits=9 if _name.endswith("_iei") else 6: tidy(_view(spark, sf_dir), _digits)

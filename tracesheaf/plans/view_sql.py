@@ -47,6 +47,15 @@ CTE = {
     "xn": "SELECT fov, n AS nodes, e AS edges, 100.0::DOUBLE * e * 2 / (n * (n - 1)) AS density_pct FROM (SELECT fov, count(DISTINCT roi_i) AS n FROM xm GROUP BY fov) JOIN (SELECT fov, count(*) FILTER (connected) AS e FROM xt GROUP BY fov) USING (fov)",
     "xs": "{sxcorr}",
     "xsm": "SELECT fov, roi_i, roi_j, value FROM xs UNION ALL SELECT fov, roi_j, roi_i, value FROM xs",
+    # The stimulated area of each position's projection.
+    "gy": "SELECT a.p, a.y, a.x, sum(w * b.value) AS value FROM mpj a, ker JOIN mpj b ON b.p = a.p AND b.x = a.x AND b.y = greatest(0, least(31, a.y + k)) GROUP BY ALL",
+    "gx": "SELECT a.p, a.y, a.x, sum(w * b.value) AS value FROM gy a, ker JOIN gy b ON b.p = a.p AND b.y = a.y AND b.x = greatest(0, least(31, a.x + k)) GROUP BY ALL",
+    "ot": "SELECT p, lo, (hi - lo) / 256 AS step, least(255, floor((value - lo) / ((hi - lo) / 256))) AS k, count(*) AS n FROM gx JOIN (SELECT p, min(value) AS lo, max(value) AS hi FROM gx GROUP BY p) USING (p) GROUP BY ALL",
+    "ov2": "SELECT p, k, lo + (k + 0.5) * step AS mid, sum(n) OVER w AS w, sum(n * (lo + (k + 0.5) * step)) OVER w AS s, sum(n) OVER (PARTITION BY p) AS total, sum(n * (lo + (k + 0.5) * step)) OVER (PARTITION BY p) AS mass FROM ot WINDOW w AS (PARTITION BY p ORDER BY k)",
+    "oth": "SELECT p, arg_max(mid, struct_pack(v := w * (total - w) * (s / w - (mass - s) / (total - w)) ** 2, k := -k)) AS cut FROM ov2 WHERE total > w GROUP BY p",
+    "dk": "SELECT dy, dx, dy * dy + dx * dx AS r2 FROM (SELECT unnest(range(-5, 6)) AS dy), (SELECT unnest(range(-5, 6)) AS dx)",
+    "mo0": "SELECT p, y, x, (value > cut)::INT AS value FROM gx JOIN oth USING (p)",
+    **{f"mo{i + 1}": f"SELECT p, y + dy AS y, x + dx AS x, {'max' if grow else 'min'}(value) AS value FROM mo{i}, dk WHERE r2 <= {r * r} AND y + dy BETWEEN 0 AND 31 AND x + dx BETWEEN 0 AND 31 GROUP BY ALL" for i, (r, grow) in enumerate(((2, True), (2, False), (2, False), (5, True), (5, False)))},
     "vfq": "SELECT np.fov, np.roi, CASE WHEN n_peaks > 0 AND s > 0 THEN n_peaks / s END AS f FROM np JOIN (SELECT roi, (max(t_ms) - min(t_ms)) / 1000 AS s FROM tr GROUP BY roi) USING (roi)",
     "vkc": "SELECT fk, fov, condition FROM vkey GROUP BY ALL",
     "vek": "SELECT fk, condition || CASE WHEN roi % 4 = 0 THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power || '%_' || pulse AS condition, roi % 4 = 0 AS stim, amplitude FROM after5 JOIN vkey USING (fov, roi)",
@@ -90,16 +99,41 @@ def _grouped(source: str, value: str, keys: str = "condition, fov") -> str:
     return f"SELECT {keys}, avg({value}) AS mean, CASE WHEN count({value}) = 1 THEN 0 ELSE stddev_samp({value}) / sqrt(count({value})) END AS sem, count({value}) AS n FROM ({source}) GROUP BY ALL"
 
 
-def _correlation(events: str, rois: str) -> str:
-    """M3 and A10 on ``events`` (fk, roi, frame) over the pairs of ``rois`` (fk, roi)."""
+def _correlation(events: str, rois: str, named: bool = False) -> str:
+    """(condition, value, and fov where ``named``) of M3 and A10 on ``events`` (fk, roi, frame) over the pairs of ``rois`` (fk, roi)."""
     pairs = f"SELECT a.fk, a.roi AS roi_i, b.roi AS roi_j, coalesce(x.n, 0) AS n_i, coalesce(y.n, 0) AS n_j, coalesce(c.n, 0) AS n_ij, n_frames::DOUBLE AS t FROM ({rois}) a JOIN ({rois}) b ON a.fk = b.fk AND a.roi < b.roi JOIN vff ON vff.fk = a.fk"
     counts = f"(SELECT roi, count(*) AS n FROM {events} GROUP BY roi)"
     both = f"(SELECT a.roi AS i, b.roi AS j, count(*) AS n FROM {events} a JOIN {events} b ON a.fk = b.fk AND a.frame = b.frame AND a.roi < b.roi GROUP BY ALL)"
     edges = f"SELECT fk, roi_i, roi_j, coalesce(abs(t * n_ij - n_i * n_j) / nullif(sqrt(n_i * (t - n_i) * n_j * (t - n_j)), 0), 0) AS value FROM ({pairs} LEFT JOIN {counts} x ON x.roi = a.roi LEFT JOIN {counts} y ON y.roi = b.roi LEFT JOIN {both} c ON c.i = a.roi AND c.j = b.roi)"
     mirrored = f"SELECT fk, roi_i AS r, value FROM ({edges}) UNION ALL SELECT fk, roi_j, value FROM ({edges})"
-    return f"SELECT any_value(condition) AS condition, median(m) AS value FROM (SELECT fk, r, avg(value) AS m FROM ({mirrored}) GROUP BY ALL) JOIN vkc USING (fk) GROUP BY fk"
-
-
+    head = "fk AS fov, any_value(condition) AS condition, round(median(m), 6) AS value" if named else "any_value(condition) AS condition, median(m) AS value"
+    return f"SELECT {head} FROM (SELECT fk, r, avg(value) AS m FROM ({mirrored}) GROUP BY ALL) JOIN vkc USING (fk) GROUP BY fk"
+
+
+def _tree(edges: str) -> str:
+    """M13 on ``edges`` (fov, roi_i, roi_j, value): merges by complete linkage, then the leaves from left to right."""
+    return f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT fov, roi_i, roi_j, round(1 - abs(value), 8) AS d FROM {edges}),
+leaf AS (SELECT fov, roi, row_number() OVER (PARTITION BY fov ORDER BY roi) - 1 AS id, count(*) OVER (PARTITION BY fov) AS n FROM (SELECT fov, roi_i AS roi FROM e UNION SELECT fov, roi_j FROM e)),
+c AS (
+  SELECT e.fov, 0::BIGINT AS step, a.id AS i, b.id AS j, d, a.n, 1::BIGINT AS si, 1::BIGINT AS sj FROM e JOIN leaf a ON a.fov = e.fov AND a.roi = roi_i JOIN leaf b ON b.fov = e.fov AND b.roi = roi_j
+  UNION ALL
+  SELECT fov, step + 1, least(x, y), greatest(x, y), max(d), n, any_value(CASE WHEN x < y THEN sx ELSE sy END), any_value(CASE WHEN x < y THEN sy ELSE sx END) FROM (
+    SELECT fov, step, n, d, CASE WHEN i IN (li, lj) THEN n + step ELSE i END AS x, CASE WHEN j IN (li, lj) THEN n + step ELSE j END AS y,
+      CASE WHEN i IN (li, lj) THEN ls ELSE si END AS sx, CASE WHEN j IN (li, lj) THEN ls ELSE sj END AS sy
+    FROM (SELECT *, first_value(i) OVER w AS li, first_value(j) OVER w AS lj, first_value(si + sj) OVER w AS ls FROM c WINDOW w AS (PARTITION BY fov ORDER BY d, i, j)) WHERE NOT (i = li AND j = lj))
+  GROUP BY fov, step, n, least(x, y), greatest(x, y)),
+merged AS MATERIALIZED (SELECT fov, step, n, i AS left_id, j AS right_id, d AS distance, si + sj AS size FROM c QUALIFY row_number() OVER (PARTITION BY fov, step ORDER BY d, i, j) = 1),
+path AS (
+  SELECT fov, n + step AS id, '' AS way, n FROM merged WHERE step = n - 2
+  UNION ALL
+  SELECT p.fov, unnest([left_id, right_id]), way || unnest(['0', '1']), p.n FROM path p JOIN merged m ON m.fov = p.fov AND m.n + m.step = p.id)
+SELECT p.fov, 'leaf' AS kind, row_number() OVER (PARTITION BY p.fov ORDER BY way) - 1 AS step, roi, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, NULL::DOUBLE AS distance, NULL::BIGINT AS size
+FROM path p JOIN leaf ON leaf.fov = p.fov AND leaf.id = p.id
+UNION ALL SELECT fov, 'merge', step, NULL, left_id, right_id, round(distance, 6), size FROM merged"""
+
+
+_AREA = "SELECT p, y, x FROM mo5 WHERE value = 1"
 _TRACE = "SELECT fov, roi, frame, round(value, 6) AS value FROM {}"
 _AMPLITUDE = "SELECT fov, roi, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM pk GROUP BY ALL"
 _CLASS = "SELECT p AS fov, label AS roi, lab.y, lab.x, CASE WHEN overlap > 0.1::DOUBLE THEN 'stimulated' ELSE 'non_stimulated' END AS class{} FROM lab JOIN ovl ON ovl.fov = p AND ovl.roi = label{}"
@@ -141,6 +175,8 @@ BODY = {
     "network": "SELECT xt.fov, roi_i, roi_j, round(abs(value), 6) AS weight, sign(value)::BIGINT AS sign, (roi_i % 32)::DOUBLE AS cy_i, (roi_i % 29)::DOUBLE AS cx_i, (roi_j % 32)::DOUBLE AS cy_j, (roi_j % 29)::DOUBLE AS cx_j, nodes, edges, round(density_pct, 6) AS density_pct FROM xt JOIN xn ON xn.fov = xt.fov WHERE connected",
     "connectivity_matrix": "SELECT c.fov, roi_i, roi_j, round(value, 6) AS value, round(threshold, 6) AS threshold, connected, nodes, edges, round(density_pct, 6) AS density_pct FROM (SELECT * FROM xt UNION ALL SELECT fov, roi_j, roi_i, value, threshold, connected FROM xt) c JOIN xn ON xn.fov = c.fov",
     "trace_xcorr": _square("xm"),
+    **{f"{k}_{n}": f"SELECT * FROM ({_tree(e)}) WHERE kind = '{kind}'" for k, e in (("trace", "xc"), ("spike", "xs")) for n, kind in (("clustering", "leaf"), ("dendrogram", "merge"))},
+    "stim_area": _AREA,
     "spike_xcorr": _square("xsm"),
     "spike_synchrony": _global("vss"),
     "burst_activity": 'SELECT vbb.fov, burst_id, start, "end", c AS count, round(len * dt, 6) AS avg_duration_sec, round(coalesce(gap * dt, 0), 6) AS avg_interval_sec, round(c / (seconds / 60), 6) AS rate_burst_per_min FROM vbb JOIN vbt USING (fov) JOIN (SELECT *, seconds / (n_frames - 1) AS dt FROM vsec) USING (fov)',

@@ -124,9 +124,9 @@ def dataset_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+\.(?:ome|tensorstore)\.zarr)", 1)
 
 
-def read_datasets(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet pixel tables under every dataset folder below ``path``, each row with its dataset."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+def read_datasets(spark: SparkSession, path: str, files: str = "*.parquet") -> DataFrame:
+    """The Parquet pixel tables under every dataset folder below ``path``, each row with its dataset; other files are left out."""
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).parquet(path)
     return df.withColumn("dataset", dataset_of(F.input_file_name())).where("dataset <> ''")
 
 
@@ -140,8 +140,13 @@ def read_trace_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_grouped_csv(spark: SparkSession, path: str, parameter: str) -> DataFrame:
-    """The grouped CSV of a parameter, found by its suffix."""
-    return spark.read.csv(path, header=True, inferSchema=True, pathGlobFilter=f"*_{parameter}.csv")
+    """The grouped CSV of a parameter: a file found by its suffix, or the folder of that name that ``sinks.export_grouped`` wrote."""
+    found = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    mine = F.rlike("path", F.lit(rf"(_{parameter}\.csv|/{parameter}/[^/]*\.csv)$"))
+    files = [r.path for r in found.where(mine).select("path").collect()]  # the files of one table
+    if not files:
+        raise FileNotFoundError(f"no table of {parameter} under {path}")
+    return spark.read.csv(files, header=True, inferSchema=True)
 
 
 def grouped_long(df: DataFrame, suffixes: tuple[str, ...] = ("_Mean", "_SEM", "_N")) -> DataFrame:
