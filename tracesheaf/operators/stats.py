@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,19 +69,29 @@ def interval_summary(intervals: DataFrame, keys: list[str] = ["fov", "roi"]) ->
     return intervals.where("iei is not null").groupBy(*keys).agg(F.avg("iei").alias("iei"), (F.avg("iei") / F.sqrt(F.count("iei"))).alias("iei_err"))
 
 
+#: Distinct keys that may become columns of one table.
+MAX_COLUMN_KEYS = 5000
+
+
+def column_keys(df: DataFrame, key: str) -> list[str]:
+    """The sorted keys that become columns; more than MAX_COLUMN_KEYS are an error."""
+    names = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().limit(MAX_COLUMN_KEYS + 1).collect()]
+    if len(names) > MAX_COLUMN_KEYS:
+        raise ValueError(f"more than {MAX_COLUMN_KEYS} values of {key}: too many for columns")
+    return sorted(names)
+
+
 def ragged(df: DataFrame, columns: dict[str, str], key: str = "condition", order: list[str] = ["fov"]) -> DataFrame:
     """One set of columns for each key, the k-th row holding each key's k-th values; shorter ones end in nulls.
 
-    ``columns``: value column to name suffix; the keys become column names, so their number is bounded by what a table can hold.
+    ``columns``: value column to name suffix; the keys become column names (see ``column_keys``).
     """
-    from pyspark.sql import Window
-
-    names = sorted(r[0] for r in df.select(key).distinct().collect())
+    names = column_keys(df, key)
     rows = df.withColumn("row", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return rows.groupBy("row").agg(*[F.max(F.when(F.col(key) == k, F.col(c))).alias(f"{k}{s}") for k in names for c, s in columns.items()])
 
 
 def wide(df: DataFrame, key: str = "condition", row: str | list[str] = "fov", values: tuple[str, ...] = ("mean", "sem", "n"), suffixes: tuple[str, ...] = ("_Mean", "_SEM", "_N")) -> DataFrame:
     """K7: a row for each field, three columns for each sorted condition."""
-    names = sorted(r[0] for r in df.select(key).distinct().collect())
+    names = column_keys(df, key)
     return df.groupBy(*([row] if isinstance(row, str) else row)).agg(*[F.max(F.when(F.col(key) == k, F.col(v))).alias(f"{k}{s}") for k in names for v, s in zip(values, suffixes)])

@@ -624,9 +624,9 @@ def json_roundtrip(spark, sf_dir):
 
 @query
 def plate_map_json(spark, sf_dir):
-    """A plate map to JSON and back."""
-    s = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("well"), (F.col("s_suppkey") % 8).cast("int").alias("row"), (F.col("s_suppkey") % 12).cast("int").alias("col"), F.col("s_name").alias("condition"), F.lit("coral").alias("color"))
-    return readers.parse_plate_map(sinks.plate_map_json(s))
+    """A plate map for each nation to JSON and back."""
+    s = A.table(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("well"), (F.col("s_suppkey") % 8).cast("int").alias("row"), (F.col("s_suppkey") % 12).cast("int").alias("col"), F.col("s_name").alias("condition"), F.lit("coral").alias("color"))
+    return readers.parse_plate_map(sinks.plate_map_json(s, ["s_nationkey"]))
 
 
 for _name, _view in (file_queries.queries() | view_queries.queries()).items():

@@ -54,6 +54,7 @@ def evoked_table(rows: DataFrame) -> DataFrame:
     """A row ``<fov>_<power>_<pulse>`` for each field and intensity, columns by condition tag and intensity, from rows (condition, fov, power_pulse, mean, sem, n)."""
     keyed = rows.withColumn("key", F.concat_ws("_", "fov", "power_pulse"))
     names = keyed.select("condition", condition_tag(F.col("condition")).alias("tag"), numeric_intensity(F.col("condition"), -2).alias("i")).distinct()
+    stats.column_keys(rows, "condition")
     order = [r["condition"] for r in names.orderBy("tag", "i", "condition").collect()]
     columns = [F.max(F.when(F.col("condition") == c, F.col(v))).alias(f"{c}{s}") for c in order for v, s in (("mean", "_Mean"), ("sem", "_SEM"), ("n", "_N"))]
     out = keyed.groupBy("key", F.col("fov").alias("__f"), F.col("power_pulse").alias("__p")).agg(*columns)
@@ -76,11 +77,11 @@ def burst_table(rows: DataFrame) -> DataFrame:
     return stats.ragged(rows.withColumns({c: F.bround(c, 4) for c in names[1:]}), {c: f"_{c}" for c in names})
 
 
-def plate_map_json(plate_map: DataFrame) -> DataFrame:
-    """One JSON text ``[[well, [row, col], [condition, color]], ...]``; element types differ, so parts are written as JSON each."""
+def plate_map_json(plate_map: DataFrame, keys: list[str] = []) -> DataFrame:
+    """For each plate (``keys``) one JSON text ``[[well, [row, col], [condition, color]], ...]``; element types differ, so parts are written as JSON each."""
     pair = lambda a, b: F.to_json(F.array(a, b))
     entry = F.concat(F.regexp_replace(F.to_json(F.array("well")), r"\]$", ","), pair(F.col("row"), F.col("col")), F.lit(","), pair(F.col("condition"), F.col("color")), F.lit("]"))
-    return plate_map.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]")).alias("value"))
+    return plate_map.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]")).alias("value"))
 
 
 def export_positions(pixels: DataFrame, frame_meta: DataFrame, positions: list[int], path: str) -> None:
