@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each returns what the next one reads as ``docs``."""
+"""A corpus pipeline of five stages; each returns what the next one reads as ``docs``.
+
+Every stage takes empty tables, nulls in any column and texts of any length. Rows are told apart by id and text, so repeated rows are
+kept or dropped together unless a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,11 @@ MIN_SCORE = 0.5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known; ``lang`` becomes the predicted one. Learns from rows that are not held out."""
+    """Keeps documents whose language is known; ``lang`` becomes the predicted one. Learns from rows that are not held out.
+
+    Null, empty and letterless texts are rejected, as is a text of which no language has half the share (MIN_SCORE). Of equally likely
+    languages the first by name is taken. Null ids and repeated rows are judged like others; without labelled rows nothing can be told and nothing stays.
+    """
     model = langid.train(docs.where(~held_out("doc_id")))
     found = docs.withColumn("__p", langid.predict_column(spark, model))
     kept = found.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= MIN_SCORE)).withColumn("lang", F.col("__p.lang_pred"))
@@ -23,24 +31,37 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity of 0.8 or more), that with the smallest id."""
+    """Keeps one document of each group of near copies (five-word shingles, similarity of 0.8 or more), that with the smallest id.
+
+    Null ids come last, of equal ids the smallest hash of id and text stays, repeats of that row go. Word-free and null texts are one group.
+    """
     return nearcopies.keep_one(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every span of personal data by its kind; no document goes. ``n_chars`` follows the text."""
+    """Replaces every span of personal data by its kind; no document goes and repeated rows stay. ``n_chars`` follows the text.
+
+    A text without spans, null or empty ones among them, stays as it is, with its ``n_chars``; of overlapping spans the first covers the others.
+    """
     found = pii.find_spans(docs, keep=COLUMNS)
     clean = found.withColumn("text", pii.redact(F.col("text"), F.col("pii")))
     return clean.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source's words come to its target share."""
+    """Repeats or drops documents so that each source's words come to its target share.
+
+    Null sources are one source; a text without words, null or empty, gets one copy. Documents of one source and size are equal to the mix and a hash
+    deals the odd copies, so reruns agree. Repeated rows share their copies.
+    """
     return mixing.apply_mix(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the number of characters and the sha256 of the text that decoding gives back."""
+    """Token ids of every text, with the number of characters and the sha256 of the text that decoding gives back.
+
+    Null texts count as empty and give no ids. Every row gives one row, repeats and null ids too.
+    """
     path = tokenizer_path()
     encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path)
     back = bpe.decode(encoded.drop("text"), path)
