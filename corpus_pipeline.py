@@ -15,13 +15,13 @@ from tracesheaf.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if no language can be told (``und``) or the best one is less likely than this.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; ``lang`` becomes the predicted one. Learns from rows that are not held out.
 
-    Null, empty and letterless texts are rejected, as is a text of which no language has half the share (MIN_SCORE). Of equally likely
+    Null, empty and letterless texts are rejected, as is a text of which no language has the share MIN_SCORE, by the mean over its words. Of equally likely
     languages the first by name is taken. Null ids and repeated rows are judged like others; without labelled rows nothing can be told and nothing stays.
     """
     model = langid.train(docs.where(~held_out("doc_id")))
