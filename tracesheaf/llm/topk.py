@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard and of a query block (hash tiles: sizes vary around these), and lists merged at once.
-SHARD_ROWS, BLOCK_ROWS, FAN_IN = 8192, 4096, 8
+#: Bytes of a shard and of a query block (hash tiles: sizes vary around these), and lists merged at once.
+SHARD_BYTES, BLOCK_BYTES, FAN_IN = 4 << 20, 16 << 20, 8
 _EXACT = 2.0**53
 
 
@@ -71,7 +71,7 @@ def tile_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def topk(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def topk(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries whose id is divisible by ``every``, against all other rows.
 
     Rows with null id or without a usable vector take no part. Rows that share an id are all candidates of the other ids; as a query
@@ -79,12 +79,15 @@ def topk(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", em
     Only vectors of the query's length are its candidates. Ties go to the smaller id. An empty table gives no rows.
 
     Every query block meets every shard once, as a pair of tiles of bounded size. A tile yields at most k rows for each
-    query; lists are merged FAN_IN at a time. What is shuffled is (blocks * rows + shards * queries) vectors.
+    query; lists are merged FAN_IN at a time. What is shuffled is (blocks * rows + shards * queries) vectors, so a block takes as many queries
+    as BLOCK_BYTES hold of the longest vector, and a shard as many candidates as SHARD_BYTES do.
     """
     rows = df.select(F.col(vec_id).alias("vec_id"), integer_vector(embedding).alias("x")).where("vec_id is not null and x is not null")
     rows = rows.withColumn("dim", F.size("x"))
     asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    n, m = df.agg(F.count("*"), F.count(F.when(F.col(vec_id) % every == 0, 1))).first()
+    n, m, width = df.agg(F.count("*"), F.count(F.when(F.col(vec_id) % every == 0, 1)), F.max(F.size(embedding))).first()
+    row = 8 * max(1, width or 1)
+    shard_rows, block_rows = shard_rows or max(1, SHARD_BYTES // row), block_rows or max(1, BLOCK_BYTES // row)
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     h = F.xxhash64("vec_id")
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
