@@ -10,10 +10,18 @@ from tracesheaf.sources.scratch import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``instead_of``: a table written before that nothing reads any more, such as the last round's; its folder is deleted.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if instead_of is not None:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for old in {f.rsplit("/", 1)[0] for f in instead_of.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(conf).delete(folder, True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +67,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        at = written(low.select("a", F.col("m").alias("b")).union(small).distinct(), "edges")
+        at = written(low.select("a", F.col("m").alias("b")).union(small).distinct(), "edges", instead_of=at)
         now = state(at)
         if now == before:
             break

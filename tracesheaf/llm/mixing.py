@@ -55,7 +55,7 @@ def solve_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int
         newton = F.col("t") - F.try_divide(gap, F.col("d"))
         step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
         done = F.abs(gap) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target"))
-        at = written(sums.select(*_SRC, "target", "mean", F.when(done, F.col("t")).otherwise(step).alias("t"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "dual")
+        at = written(sums.select(*_SRC, "target", "mean", F.when(done, F.col("t")).otherwise(step).alias("t"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "dual", instead_of=at)
         if not at.where("not done").head(1):
             break
     return at.select(*_SRC, "t")
