@@ -53,7 +53,7 @@ BODY = {
     "synchrony_methods": " UNION ALL ".join(f"SELECT pn.fov, roi_i, roi_j, round({v.replace(' AS value', ', 6)::DOUBLE AS value', 1)}".replace(" FROM pn", f", '{k}' AS method FROM pn", 1) for k, v in _SYNC.items()) + " UNION ALL SELECT fov, roi_i, roi_j, round(value, 6), 'correlation' FROM ps",
     "grouped_peak_synchrony": _correlation("vpg", "SELECT DISTINCT fk, roi FROM vpg", True),
     "grouped_spike_synchrony": _correlation("vhit", "SELECT fk, roi FROM vkey", True),
-    "grouped_evoked": "SELECT 'c' || c || CASE WHEN stimulated THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power_pulse AS condition, fov, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM evk JOIN (SELECT fov, min(roi % 3) AS c FROM rois GROUP BY fov) USING (fov) GROUP BY ALL",
+    "grouped_evoked": "SELECT 'c' || c || CASE WHEN stimulated THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power_pulse AS condition, fov, round(avg(amplitude), 9) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(amplitude) / sqrt(count(*)) END, 9) AS sem, count(*) AS n FROM evk JOIN (SELECT fov, min(roi % 3) AS c FROM rois GROUP BY fov) USING (fov) GROUP BY ALL",
     "random_choice": "SELECT fov, least(3, count(*)) AS n, least(3, count(*)) AS rois, true AS active FROM rois WHERE roi % 5 > 0 GROUP BY fov",
     "global_heights": "SELECT b.fov, b.roi, b.frame, round(b.amplitude, 6) AS amplitude FROM hbo b JOIN tr t USING (roi) JOIN nz ON nz.roi = b.roi GROUP BY b.fov, b.roi, b.frame, b.amplitude, nz.noise, b.lb, b.rb HAVING b.amplitude - greatest(min(CASE WHEN t.frame > b.lb AND t.frame <= b.frame THEN t.value END), min(CASE WHEN t.frame >= b.frame AND t.frame < b.rb THEN t.value END)) >= nz.noise",
 }

@@ -140,7 +140,7 @@ _BODY = {
     "burst_stats_panel": _burst('"end" - start - 1', 'start - (lag("end") OVER w - 1)'),
     "burst_overlay": 'SELECT fov, row_number() OVER (PARTITION BY fov ORDER BY min(frame)) AS burst_id, min(frame) AS start, max(frame) + 1 AS "end" FROM (SELECT fov, frame, frame - row_number() OVER (PARTITION BY fov ORDER BY frame) AS g FROM osm WHERE smooth > 0.25::DOUBLE) GROUP BY fov, g HAVING count(*) >= 3',
     "forward_asof": "SELECT fov, roi, stim_frame, power::BIGINT AS power, pulse, frame, round(amplitude, 6) AS amplitude FROM after5",
-    "evoked_amplitudes": "SELECT c.condition || CASE WHEN stimulated THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power_pulse AS condition, fov, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM evk JOIN (SELECT substr(well, 2)::BIGINT % 10 AS fov, min(condition_1) AS condition FROM plt GROUP BY 1) c USING (fov) GROUP BY ALL",
+    "evoked_amplitudes": "SELECT c.condition || CASE WHEN stimulated THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power_pulse AS condition, fov, round(avg(amplitude), 9) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(amplitude) / sqrt(count(*)) END, 9) AS sem, count(*) AS n FROM evk JOIN (SELECT substr(well, 2)::BIGINT % 10 AS fov, min(condition_1) AS condition FROM plt GROUP BY 1) c USING (fov) GROUP BY ALL",
     "evoked_panel": "SELECT fov, stimulated, power_pulse, round(avg(amplitude), 6) AS mean, round(stddev_pop(amplitude) / sqrt(count(*)), 6) AS err, count(*) AS n FROM evk GROUP BY ALL",
     "led_power": "SELECT event_id, k, round(11.0::DOUBLE * k - 6, 6) AS lin, round(0.5::DOUBLE * k * k + 2 * k - 1, 6) AS quad, round(2 * exp(0.1::DOUBLE * k) + 1, 6) AS exp, round(3 * k ** 1.5::DOUBLE + 2, 6) AS pow, round(4 * ln(k) + 1, 6) AS log, k::DOUBLE AS none, l || 'mW/cm²_100' AS label, 'c1_evk_stim' AS tag, (11 * k - 6)::DOUBLE AS intensity, l AS tick, 'mW/cm²' AS unit FROM (SELECT event_id, CAST(props ->> '$.k' AS BIGINT) + 1 AS k, printf('%.3f', 11.0 * (CAST(props ->> '$.k' AS BIGINT) + 1) - 6) AS l FROM events)",
     "display_condition": "SELECT DISTINCT 'c1_t1' || CASE WHEN stimulated THEN '_evk_stim_' ELSE '_evk_non_stim_' END || power_pulse AS key, 'c1_t1_' || split_part(power_pulse, '_', 1) AS label FROM evk",

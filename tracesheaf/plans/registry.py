@@ -479,7 +479,7 @@ def _evoked(spark, sf_dir):
     return evoked.evoked_amplitudes(A.stimuli(spark, sf_dir), events.raster(_peak_arrays(spark, sf_dir)), flags)
 
 
-@query
+@partial(query, digits=9)  # amplitudes have two decimals, and means of 32 of them end in an exact half at the seventh
 def evoked_amplitudes(spark, sf_dir):
     """E2, E3, E4, X2."""
     c = A.plate(spark, sf_dir).select((F.substring("well", 2, 9).cast("long") % 10).alias("fov"), F.col("condition_1").alias("condition"))
@@ -630,4 +630,4 @@ def plate_map_json(spark, sf_dir):
 
 
 for _name, _view in (file_queries.queries() | view_queries.queries()).items():
-    _QUERIES[_name] = lambda spark, sf_dir, _view=_view, _digits=9 if _name.endswith("_iei") else 6: tidy(_view(spark, sf_dir), _digits)
+    _QUERIES[_name] = lambda spark, sf_dir, _view=_view, _digits=9 if _name in ("view_iei", "view_mw_iei", "grouped_evoked") else 6: tidy(_view(spark, sf_dir), _digits)
