@@ -10,6 +10,7 @@ from tracesheaf.config import Settings
 from tracesheaf.functions import exprs
 from tracesheaf.operators import cluster, deconv, events, pixels
 from tracesheaf.plans import analysis, views
+from tracesheaf.schemas import ROI_JSON
 from tracesheaf.sources import readers, sinks
 
 
@@ -104,15 +105,19 @@ def _recording(spark, frames=60):
 
 def test_from_pixels_to_views_and_tables(spark, tmp_path):
     px, labels, meta, plate = _recording(spark)
-    recs = analysis.analyse(px, labels, meta, Settings(), plate).persist()
+    area = labels.where("label = 2").select("y", "x")
+    stim = spark.createDataFrame([("d", 0, 34, 5, "100")], "dataset string, p int, frame int, power int, pulse string")
+    recs = analysis.analyse(px, labels, meta, Settings(), plate, 4, 15, area, stim).persist()
     rows = {r.roi: r for r in recs.collect()}
+    assert set(ROI_JSON.names) - set(recs.columns) == {"elapsed_time_list_ms"}
+    assert [rows[k].stimulated for k in (1, 2, 3)] == [False, True, False] and rows[1].stimulations_frames_and_powers == {"34": 5} and rows[1].evoked_experiment
+    assert rows[2].mask_coord_and_shape.ys == [y for y in range(4) for _ in range(4)] and rows[2].mask_coord_and_shape.w == 15
     assert sorted(rows) == [1, 2, 3] and rows[1].fov == "B5_0000_p0" and rows[1].condition == "c1_t1" and rows[1].cell_size == 16
     assert all(r.active and len(r.raw_trace) == 60 for r in rows.values())
-    narrow = recs.withColumns({"stimulated": F.col("roi") == 2, "led_pulse_duration": F.lit("100"), "stimulations_frames_and_powers": F.create_map(F.lit("34"), F.lit(5))})
     skip = {"neuropil_masks", "neuropil_traces", "stim_area", "stim_rois", "stim_rois_area"}
     for name in set(views.SINGLE) - skip:
-        assert views.view(name, narrow).count() >= 0, name
-    assert views.view("stim_peaks_amp", narrow).first().power_pulse == "5%_100"
+        assert views.view(name, recs).count() >= 0, name
+    assert views.view("stim_peaks_amp", recs).first().power_pulse == "5%_100" and views.view("non_stim_peaks_amp", recs).first().n == 2
     assert not sinks.export_traces(recs, str(tmp_path / "t")) and not sinks.export_grouped(recs, str(tmp_path / "g"))
     back = {r.roi: r.trace for r in readers.read_trace_csv(spark, str(tmp_path / "t" / "raw_data")).collect()}
     assert np.allclose(back[2], rows[2].raw_trace)
@@ -132,8 +137,11 @@ def test_neuropil_correction_takes_the_ring_off(spark):
     px, labels, meta, plate = _recording(spark, 20)
     grid = spark.createDataFrame([("d", 0, t, y, x, 1.0) for t in range(20) for y in range(4, 12) for x in range(15)], px.schema)
     s = Settings(neuropil_inner_radius=1, neuropil_min_pixels=3, neuropil_correction_factor=0.5)
-    recs = analysis.analyse(px.unionByName(grid), labels, meta.withColumn("pixel_size_um", F.lit(0.0)), s, plate, 12, 15).collect()
-    assert recs and all(np.allclose(np.array(r.raw_trace) - 0.5, r.corrected_trace) for r in recs)
+    found = analysis.analyse(px.unionByName(grid), labels, meta.withColumn("pixel_size_um", F.lit(0.0)), s, plate, 12, 15).persist()
+    recs = found.collect()
+    assert {r.part for r in views.view("neuropil_masks", found).collect()} == {"cell", "ring"} and views.view("neuropil_traces", found).count() == 20 * len(recs)
+    assert recs and all(r.neuropil_trace == [1.0] * 20 and r.neuropil_correction_factor == 0.5 for r in recs)
+    assert all(np.allclose(np.array(r.raw_trace) - 0.5, r.corrected_trace) for r in recs)
 
 
 def test_plate_map_layouts(spark):
@@ -197,3 +205,42 @@ def test_stimulation_mask_of_every_position(spark, sf):
     assert alone.columns == ["y", "x"] and {tuple(r) for r in alone.collect()} == plain_mask(images[2])
     positions = {r.p for r in pixels.max_projection(adapters.pixels(spark, sf)).select("p").distinct().collect()}
     assert {r.p for r in registry.stim_mask(spark, sf).select("p").distinct().collect()} == positions and len(positions) > 1
+
+
+def test_a_repeated_condition_is_a_fault(spark):
+    from tracesheaf.operators import select
+
+    listed = spark.createDataFrame([("c1", "red"), ("c1", "red"), ("c2", "blue"), ("c3", "blue")], "condition string, color string")
+    assert sorted((r.what, r.value) for r in select.plate_map_faults(listed).collect()) == [("color", "blue"), ("color", "red"), ("condition", "c1")]
+
+
+def test_linkage_equals_a_plain_search():
+    rng = np.random.default_rng(4)
+    for n, levels in ((1, 5), (2, 5), (9, 3), (25, 4), (40, 1000)):
+        d = rng.integers(1, levels + 1, (n, n)).astype(float)
+        d = np.maximum(d, d.T)
+        members, want = {i: [i] for i in range(n)}, []
+        while len(members) > 1:
+            far = {(a, b): max(d[i, j] for i in members[a] for j in members[b]) for a in members for b in members if a < b}
+            a, b = min(far, key=lambda k: (far[k], k))
+            both = members.pop(a) + members.pop(b)
+            want.append((a, b, far[a, b], len(both)))
+            members[n + len(want) - 1] = both
+        assert cluster.complete_linkage(d) == want
+
+
+def test_penalty_of_the_solver_by_halving():
+    """The closed form on pools against halving the penalty, and the noise bound that defines it."""
+    rng = np.random.default_rng(5)
+    for size in (30, 80, 200):
+        c = np.zeros(size)
+        for t in range(1, size):
+            c[t] = 0.9 * c[t - 1] + (rng.random() < 0.08) * 2
+        y = c + 0.3 + 0.2 * rng.standard_normal(size)
+        got, _, base, g = deconv.deconvolve_trace(y)
+        powers = (g ** np.arange(size + 1.0)).tolist()
+        goal = deconv.noise_sd(y) ** 2 * size
+        start = deconv._settle(y, g, 0.0, max(float(np.percentile(y, 15)), 0.0), powers)
+        slow, low = deconv._halved(y, g, goal, *start, powers)
+        assert np.abs(got - slow).max() < 1e-6 and abs(base - low) < 1e-6
+        assert ((y - base - got) ** 2).sum() <= goal * (1 + 1e-9)

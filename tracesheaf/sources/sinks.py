@@ -131,7 +131,8 @@ def export_grouped(records: DataFrame, path: str, settings: Settings = Settings(
         "burst_activity": lambda: burst_table(grouped.burst_activity(records, settings)),
     }
     steps |= {name: (lambda m=make: m().orderBy("row").drop("row")) for name, make in columns.items()}
-    if "stimulations_frames_and_powers" in records.columns:
+    stimuli = "stimulations_frames_and_powers"
+    if stimuli in records.columns and records.where(F.col(stimuli).isNotNull()).head(1):
         for name, stim in (("calcium_peaks_amplitudes_stimulated", True), ("calcium_peaks_amplitudes_non_stimulated", False)):
             steps[name] = lambda s=stim: evoked_table(grouped.evoked(records, s))
     return export_each(steps, path)
