@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of ``df``'s columns in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Lower the session's Arrow batch limits for good: rows hold whole texts, and a worker holds a few batches at once.
 

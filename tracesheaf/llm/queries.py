@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesheaf.llm import bpe, langid, mixing, pii, quality, simhash, syncmers, topk, urlfilter, warc
-from tracesheaf.llm.common import held_out
+from tracesheaf.llm import bpe, exactdedup, langid, mixing, pii, quality, runs, simhash, syncmers, topk, urlfilter, variants, warc
+from tracesheaf.llm.common import WORD, held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,56 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "fetched_at", "verdict", "pattern", "valid_from")
 
 
+def op11_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def typed_with_slips(docs: DataFrame) -> DataFrame:
+    """One row (word) for each run of six letters or more: lower-cased, and one letter short where 199 divides the crc32 of id and run."""
+    found = variants.letter_runs(docs)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    at = F.pmod(h, F.char_length("word")).cast("int")
+    short = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.char_length("word")))
+    return found.select(F.when(h % 199 == 0, short).otherwise(F.col("word")).alias("word"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(typed_with_slips(table(spark, sf_dir, "documents")))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): each tenth document by crc32 of its id goes round a stretch of its own words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(w):
+        n = F.size(w)
+        a = F.pmod(g, n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, again(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_repeats(table(spark, sf_dir, "documents"))).select("doc_id", "periodic.*")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumns({"top": longest, "lines": F.array_join(lines, "")})
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.s")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.p")).alias("period"),
+        F.expr("(1000 * top.length) div -top.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +154,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_bpe, op2_mixing, op3_quality, op4_warc, op5_langid, op6_topk, op7_simhash, op8_syncmers, op9_pii, op10_urlfilter, pipeline)
+    found = (op1_bpe, op2_mixing, op3_quality, op4_warc, op5_langid, op6_topk, op7_simhash, op8_syncmers, op9_pii, op10_urlfilter, op11_exactdedup, op12_variants, op13_runs, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -145,5 +195,12 @@ SELECT page_id, host, fetched_at::BIGINT AS fetched_at, coalesce(action, 'none')
 """
 
 
+_OP11 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _OP4, "op6_topk": _OP6, "op10_urlfilter": _OP10}
+    return {"op4_warc": _OP4, "op6_topk": _OP6, "op10_urlfilter": _OP10, "op11_exactdedup": _OP11}
