@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracesheaf.config import Settings
 from tracesheaf.functions import exprs
-from tracesheaf.operators import cluster, deconv, events, pixels
+from tracesheaf.operators import cluster, deconv, events, pixels, stats
 from tracesheaf.plans import analysis, views
 from tracesheaf.schemas import ROI_JSON
 from tracesheaf.sources import readers, sinks
@@ -121,7 +121,7 @@ def test_from_pixels_to_views_and_tables(spark, tmp_path):
     assert not sinks.export_traces(recs, str(tmp_path / "t")) and not sinks.export_grouped(recs, str(tmp_path / "g"))
     back = {r.roi: r.trace for r in readers.read_trace_csv(spark, str(tmp_path / "t" / "raw_data")).collect()}
     assert np.allclose(back[2], rows[2].raw_trace)
-    grouped = readers.grouped_long(spark.read.csv(str(tmp_path / "g" / "cell_size"), header=True))
+    grouped = readers.read_grouped_csv(spark, str(tmp_path / "g"), "cell_size")
     assert grouped.first().condition == "c1_t1" and views.view("mw_cell_size", grouped).first()["mean"] == 16
     folder = tmp_path / "json"
     folder.mkdir()
@@ -244,3 +244,33 @@ def test_penalty_of_the_solver_by_halving():
         slow, low = deconv._halved(y, g, goal, *start, powers)
         assert np.abs(got - slow).max() < 1e-6 and abs(base - low) < 1e-6
         assert ((y - base - got) ** 2).sum() <= goal * (1 + 1e-9)
+
+
+def test_wide_tables_are_lines(spark, tmp_path):
+    """Any number of frames, blanks between and after values, quoted keys, a header in each file, and headers of unequal length."""
+    rows = [('B5,"x"_0000_p0', 1, [1.5, None, -2e-7]), ("B5_0000_p0", 2, [float(i) for i in range(5000)]), ("B5_0000_p0", 3, None), ("B6_0000_p1", 4, [])]
+    df = spark.createDataFrame(rows, "fov string, roi int, v array<double>").repartition(3, "roi")
+    path = str(tmp_path / "v")
+    sinks.write_traces(df, "v", path)
+    files = [f.read_text() for f in (tmp_path / "v").glob("*.txt")]
+    assert all(f.startswith("key,t0,t1,") and f.count("key,t0,") == 1 for f in files if f) and files
+    got = {(r.fov, r.roi): r.trace for r in readers.read_trace_csv(spark, path).collect()}
+    assert got == {(f, k): v for f, k, v in rows if v is not None}
+    assert len(sinks.wide_traces(df.where("roi <> 2"), "v").columns) == 4
+    sinks.write_traces(df.where("roi > 3"), "v", str(tmp_path / "none"))
+    assert readers.read_trace_csv(spark, str(tmp_path / "none")).first().trace == []
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "a.csv").write_text(",t0,t1\r\nB1_0_p0_1,1,2\r\n")
+    (tmp_path / "more" / "b.csv").write_text("key,t0,t1,t2\nB1_0_p0_2,3,,4\n")
+    assert sorted((r.roi, r.trace) for r in readers.read_trace_csv(spark, str(tmp_path / "more")).collect()) == [(1, [1.0, 2.0]), (2, [3.0, None, 4.0])]
+
+
+def test_grouped_tables_are_lines(spark, tmp_path):
+    names = [f"c{i}" for i in range(300)] + ["a, b"]
+    rows = [(f, c, 1.0 + i, None if i % 2 else 0.5, i) for f in ("B1_0", "B2_0") for i, c in enumerate(names) if i % 7 or f == "B1_0"]
+    df = spark.createDataFrame(rows, "fov string, condition string, mean double, sem double, n long")
+    sinks.write_csv(stats.wide(df).withColumnRenamed("fov", "FOV"), str(tmp_path / "t" / "cell_size"))
+    got = {(r.fov, r.condition): (r["mean"], r["sem"], r.n) for r in readers.read_grouped_csv(spark, str(tmp_path / "t"), "cell_size").collect()}
+    assert got == {(f, c): (m, s, float(n)) for f, c, m, s, n in rows}
+    with pytest.raises(FileNotFoundError):
+        readers.read_grouped_csv(spark, str(tmp_path / "t"), "cell")

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracesheaf.operators import blocks
 from tracesheaf.operators.bursts import gaussian_kernel
+from tracesheaf.operators.shapes import REACH, closed, growth, ring, smooth
 
 AT = ["dataset", "p"]
 STEPS = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 
 
 def roi_traces(pixels: DataFrame, labels: DataFrame) -> DataFrame:
-    """(dataset, p, label, frame, value), the mean over each region's pixels on each frame."""
-    hit = pixels.join(labels.where("label <> 0"), [*AT, "y", "x"])
-    return hit.groupBy(*AT, "label", F.col("t").alias("frame")).agg(F.avg("value").alias("value"))
+    """(dataset, p, label, frame, value), the mean over each region's pixels on each frame, of a pixel or a block table."""
+    return blocks.roi_traces(pixels if "values" in pixels.columns else blocks.to_blocks(pixels), labels)
 
 
 def max_projection(pixels: DataFrame) -> DataFrame:
-    """The maximum over the second half of the frames."""
+    """The maximum over the second half of the frames, of a pixel or a block table."""
+    if "values" in pixels.columns:
+        return blocks.max_projection(pixels)
     half = pixels.groupBy(*AT).agg(F.floor((F.max("t") + 1) / 2).alias("__half"))
     return pixels.join(half, AT).where("t >= __half").groupBy(*AT, "y", "x").agg(F.max("value").alias("value"))
 
@@ -38,44 +44,59 @@ def erode(labels: DataFrame) -> DataFrame:
     return votes.groupBy(*AT, "label", "y", "x").count().where("count = 5").drop("count")
 
 
+def _arrays(list_of_structs: pa.Array) -> list[np.ndarray]:
+    """The fields of a list of structs as integer arrays."""
+    return [f.to_numpy(zero_copy_only=False).astype(np.int64) for f in list_of_structs.flatten()]
+
+
+def _out(kind: T.DataType) -> pa.DataType:
+    return pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+
+
 def grown(labels: DataFrame, steps: int, height: int, width: int) -> DataFrame:
     """(.., label, y, x, d) of pixels within ``steps`` 4-neighbour steps of each region and inside the image; d is the distance.
 
-    Only the rim of a region is spread, so the work follows its outline.
+    A region's distances are taken in its window, so the work is the window's pixels; one shuffle, of the label pixels by region.
     """
-    mine = labels.where("label <> 0").select(*AT, "label", "y", "x")
-    inner = mine.withColumn("d", F.lit(0))
-    diamond = F.explode(F.expr(f"flatten(transform(sequence(-{steps}, {steps}), dy -> transform(sequence(-({steps} - abs(dy)), {steps} - abs(dy)), dx -> struct(dy as dy, dx as dx))))"))
-    rim = mine.join(erode(labels), [*AT, "label", "y", "x"], "left_anti")
-    out = rim.withColumn("m", diamond).select(*AT, "label", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), (F.abs("m.dy") + F.abs("m.dx")).alias("d"))
-    out = out.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return out.unionByName(inner).groupBy(*AT, "label", "y", "x").agg(F.min("d").alias("d"))
+    rows = labels.where("label <> 0").groupBy(*AT, "label").agg(F.collect_list(F.struct(F.col("y").cast("long"), F.col("x").cast("long"))).alias("c"))
+    kinds = [*[labels.schema[c] for c in (*AT, "label", "y", "x")], T.StructField("d", T.IntegerType())]
+    names, (ky, kx) = [k.name for k in kinds], (_out(labels.schema[c].dataType) for c in "yx")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, cells in enumerate(batch.column(3)):
+                y, x, d = growth(*_arrays(cells.values), steps, height, width)
+                of = pa.array(np.full(len(y), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(3)], pa.array(y, ky), pa.array(x, kx), pa.array(d, pa.int32())], names)
+
+    return rows.mapInArrow(spread, T.StructType(kinds))
 
 
 def neuropil_ring(labels: DataFrame, inner: int, min_pixels: int, height: int, width: int, step: int = 5, rounds: int = 100) -> DataFrame:
     """Each region's ring: the smallest growth by ``step`` that holds enough pixels outside all regions and the margin.
 
-    Rings are widened only for regions that are not done: most end in the first of a few widening passes.
+    A position's label pixels meet in one task, which holds its image as bits; each region's distances are taken in a window that is widened
+    fourfold until the ring is found, so the work is the window's pixels.
     """
-    cells = labels.where("label <> 0").select(*AT, "y", "x").distinct()
-    todo, found = labels.where("label <> 0"), None
-    reach = inner + 4 * step
-    limit = inner + rounds * step
-    while True:
-        near = grown(todo, min(reach, limit), height, width).where(F.col("d") > inner).join(cells, [*AT, "y", "x"], "left_anti")
-        near = near.withColumn("k", F.ceil((F.col("d") - inner) / step).cast("int"))
-        per = near.groupBy(*AT, "label", "k").agg(F.count("*").alias("c"))
-        upto = Window.partitionBy(*AT, "label").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        per = per.withColumn("c", F.sum("c").over(upto))
-        done = per.where(F.col("c") >= min_pixels).groupBy(*AT, "label").agg(F.min("k").alias("need"))
-        if reach >= limit:
-            done = per.groupBy(*AT, "label").agg(F.coalesce(F.min(F.when(F.col("c") >= min_pixels, F.col("k"))), F.max("k")).alias("need"))
-        ring = near.join(done, [*AT, "label"]).where("k <= need").select(*AT, "label", "y", "x")
-        found = ring if found is None else found.unionByName(ring)
-        todo = todo.join(done, [*AT, "label"], "left_anti")
-        if reach >= limit or not todo.head(1):
-            return found
-        reach *= 4
+    kinds = T.StructType([labels.schema[c] for c in (*AT, "label", "y", "x")])
+    arrow = pa.schema([(k.name, pa.string() if isinstance(k.dataType, T.StringType) else _out(k.dataType)) for k in kinds])
+
+    def rings(table: pa.Table) -> pa.Table:
+        label, y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("label", "y", "x"))
+        free = np.ones((height, width), bool)
+        seen = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+        free[y[seen], x[seen]] = False
+        order = np.argsort(label, kind="stable")
+        parts = []
+        for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            ys, xs = ring(y[own], x[own], free, inner, min_pixels, step, rounds)
+            parts.append((np.full(len(ys), label[own[0]]), ys, xs))
+        found = [np.concatenate(p) for p in zip(*parts)]
+        where = pa.array(np.zeros(len(found[0]), np.int64))
+        keys = [table.column(c).combine_chunks().take(where) for c in AT]
+        return pa.table([*keys, *[pa.array(v) for v in found]], names=arrow.names).cast(arrow)
+
+    return labels.where("label <> 0").select(*kinds.names).groupBy(*AT).applyInArrow(rings, kinds)
 
 
 def to_masks(labels: DataFrame, height: int, width: int) -> DataFrame:
@@ -112,28 +133,6 @@ def union_mask(labels: DataFrame) -> DataFrame:
     return labels.where("label <> 0").select(*AT, "y", "x").distinct()
 
 
-def _axis(df: DataFrame, axis: str, kernel: list[tuple[int, float]], size: int, keys: list[str]) -> DataFrame:
-    """One axis of a separable filter with edge samples repeated."""
-    other = "x" if axis == "y" else "y"
-    table = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("w")) for k, v in kernel]))
-    wide = df.select(*keys, other, F.col(axis).alias("at"), table.alias("m"))
-    source = F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col("at") + F.col("m.k")))
-    wide = wide.select(*keys, other, "at", source.alias(axis), F.col("m.w").alias("w"))
-    return wide.join(df, [*keys, other, axis]).groupBy(*keys, other, F.col("at").alias(axis)).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-
-
-def _disk(radius: int) -> list[tuple[int, int]]:
-    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-
-
-def _morph(df: DataFrame, radius: int, grow: bool, height: int, width: int, keys: list[str]) -> DataFrame:
-    """Maximum or minimum of ``value`` over a disk; pixels outside the image do not count."""
-    move = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _disk(radius)]))
-    wide = df.withColumn("m", move).select(*keys, (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), "value")
-    wide = wide.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return wide.groupBy(*keys, "y", "x").agg((F.max if grow else F.min)("value").alias("value"))
-
-
 def otsu(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
     """(keys, at): the histogram bin centre of greatest between-class variance of each image; of equal ones the lowest."""
     ends = df.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -150,23 +149,56 @@ def otsu(df: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
     return best.select(*keys, F.when(F.col("b.hi") > F.col("b.lo"), F.col("b.mid")).otherwise(F.col("b.lo")).alias("at"))
 
 
-def stimulation_mask(image: DataFrame, height: int, width: int, sigma: float = 2.0, keys: list[str] = []) -> DataFrame:
+def stimulation_mask(image: DataFrame, height: int, width: int, sigma: float = 2.0, keys: list[str] = [], side: int = 256) -> DataFrame:
     """I4: (keys, y, x) of the stimulated area of each image (keys, y, x, value); without keys the rows are one image.
 
     An image of ones, or of zeros and ones, is the mask. Otherwise: Gaussian (edges repeated), Otsu threshold, closing by a disk of
-    2, erosion by 2, closing by 5.
+    2, erosion by 2, closing by 5. Pixels go once, to tiles of ``side`` that carry a margin as wide as the whole chain reaches; only an image's
+    histogram is taken over its tiles.
     """
     at = keys or ["__image"]
-    image = (image if keys else image.withColumn("__image", F.lit(0))).select(*at, "y", "x", "value")
-    plain = F.min(F.coalesce(F.col("value").isin(0.0, 1.0), F.lit(False))) & (F.max("value") == 1)
-    image = image.join(image.groupBy(*at).agg(plain.alias("__plain")), at)
+    image = (image if keys else image.withColumn("__image", F.lit(0))).select(*at, "y", "x", "value").where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     kernel = gaussian_kernel(sigma)
-    smooth = image.where(~F.col("__plain")).drop("__plain")
-    smooth = _axis(_axis(smooth, "y", kernel, height, at), "x", kernel, width, at)
-    m = smooth.join(otsu(smooth, at), at).select(*at, "y", "x", (F.col("value") > F.col("at")).cast("double").alias("value"))
-    for radius, grow in ((2, True), (2, False), (2, False), (5, True), (5, False)):
-        m = _morph(m, radius, grow, height, width, at)
-    return image.where("__plain").select(*at, "y", "x", "value").unionByName(m).where("value = 1").select(*keys, "y", "x")
+    halo = max(k for k, _ in kernel) + REACH
+    over = lambda axis, size: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / side)), F.least(F.lit((size - 1) // side), F.floor((F.col(axis) + halo) / side))))
+    pixel = F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
+    tiles = image.withColumn("__ty", over("y", height)).withColumn("__tx", over("x", width)).groupBy(*at, "__ty", "__tx").agg(F.collect_list(pixel).alias("c"))
+
+    def window(ty, tx, cells):
+        """Values and presence of the tile with its margin, its first row and column, and which pixels are its own."""
+        y0, x0 = max(0, ty * side - halo), max(0, tx * side - halo)
+        shape = min(height, (ty + 1) * side + halo) - y0, min(width, (tx + 1) * side + halo) - x0
+        y, x, v = (f.to_numpy(zero_copy_only=False) for f in cells.values.flatten())
+        value, held = np.zeros(shape), np.zeros(shape, bool)
+        value[y - y0, x - x0], held[y - y0, x - x0] = v, True
+        rows, cols = np.arange(y0, y0 + shape[0]) // side == ty, np.arange(x0, x0 + shape[1]) // side == tx
+        return value, held, y0, x0, rows[:, None] & cols
+
+    @F.arrow_udf("array<double>")
+    def smoothed(ty: pa.Array, tx: pa.Array, cells: pa.Array) -> pa.Array:
+        out = []
+        for i, j, c in zip(ty.to_pylist(), tx.to_pylist(), cells):
+            value, held, _, _, own = window(i, j, c)
+            out.append(smooth(value, held, kernel)[held & own])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    @F.arrow_udf("array<struct<y:bigint,x:bigint>>")
+    def area(ty: pa.Array, tx: pa.Array, cells: pa.Array, plain: pa.Array, threshold: pa.Array) -> pa.Array:
+        out = []
+        for i, j, c, p, t in zip(ty.to_pylist(), tx.to_pylist(), cells, plain.to_pylist(), threshold.to_pylist()):
+            value, held, y0, x0, own = window(i, j, c)
+            y, x = np.nonzero(own & (held & (value == 1) if p else closed(smooth(value, held, kernel) > t, held)))
+            out.append(pa.StructArray.from_arrays([pa.array(y + y0), pa.array(x + x0)], ["y", "x"]))
+        ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+        flat = pa.concat_arrays(out) if out else pa.array([], pa.struct([("y", pa.int64()), ("x", pa.int64())]))
+        return pa.ListArray.from_arrays(ends, flat)
+
+    values = tiles.select(*at, smoothed("__ty", "__tx", "c").alias("s")).select(*at, F.explode("s").alias("value"))
+    threshold = otsu(values, at).withColumnRenamed("at", "__at")
+    ones = F.bool_and(F.forall("c", lambda v: v["value"].isin(0.0, 1.0))) & (F.max(F.array_max(F.transform("c", lambda v: v["value"]))) == 1)
+    per = tiles.groupBy(*at).agg(ones.alias("__plain")).join(threshold, at)
+    found = tiles.join(per, at).select(*keys, area("__ty", "__tx", "c", "__plain", "__at").alias("a")).select(*keys, F.explode("a").alias("m"))
+    return found.select(*keys, F.col("m.y").cast(image.schema["y"].dataType).alias("y"), F.col("m.x").cast(image.schema["x"].dataType).alias("x"))
 
 
 def batch_inference(projection: DataFrame, model: Callable, schema: str = "dataset string, p int, y int, x int, label int") -> DataFrame:

@@ -79,9 +79,10 @@ def label_file(spark, sf_dir):
 
 @query
 def trace_files(spark, sf_dir):
-    """K2 to K6: all trace tables written as CSV and read back."""
+    """K2 to K6: all trace tables, each of its own values, written as CSV and read back."""
     path = scratch_path(spark, "traces")
-    recs = records(spark, sf_dir).withColumn("dff", F.col("raw_trace"))
+    times = lambda k: F.transform("inferred_spikes", lambda v: v * k)
+    recs = records(spark, sf_dir).withColumns({"raw_trace": times(5), "dff": times(2), "dec_dff": times(3)})
     failed = sinks.export_traces(recs.select("fov", "roi", "raw_trace", "corrected_trace", "dff", "dec_dff", "inferred_spikes", "inferred_spikes_threshold"), path)
     if failed:
         raise RuntimeError(str(failed))
@@ -99,7 +100,7 @@ def grouped_file(spark, sf_dir):
     path = scratch_path(spark, "grouped")
     table = stats.wide(stats.grouped_mean(records(spark, sf_dir), "peaks_amplitudes_dec_dff"))
     sinks.write_csv(table, f"{path}/calcium_peaks_amplitude")
-    long = readers.grouped_long(readers.read_grouped_csv(spark, path, "calcium_peaks_amplitude"))
+    long = readers.read_grouped_csv(spark, path, "calcium_peaks_amplitude")
     return long.select(F.col("fov").cast("long").alias("fov"), "condition", "mean", "sem", F.col("n").cast("long").alias("n"))
 
 

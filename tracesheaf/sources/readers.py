@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from dataclasses import fields
 
@@ -130,31 +131,49 @@ def read_datasets(spark: SparkSession, path: str, files: str = "*.parquet") -> D
     return df.withColumn("dataset", dataset_of(F.input_file_name())).where("dataset <> ''")
 
 
+def csv_line(line: Column) -> Column:
+    """``struct<key, cells>`` of a CSV line: the first cell, in quotes or not, and the others, none of which is quoted; blanks are null."""
+    quoted = F.startswith(line, F.lit('"'))
+    raw = F.when(quoted, F.regexp_extract(line, r'^"(?:[^"]|"")*"', 0)).otherwise(F.substring_index(line, ",", 1))
+    key = F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.char_length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    rest = F.substring(line, F.char_length(raw) + 2, F.char_length(line))
+    cells = F.transform(F.split(rest, ",", -1), lambda v: F.nullif(F.trim(v), F.lit("")))
+    none = F.char_length(line) == F.char_length(raw)
+    return F.struct(key.alias("key"), F.when(none, F.array().cast("array<string>")).otherwise(cells).alias("cells"))
+
+
 def read_trace_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(fov, roi, trace) of a wide trace CSV: a key column ``<fov>_<roi>`` and one column for each frame, blanks at the end of short rows."""
-    df = spark.read.csv(path, header=True)
-    key, names = F.col(f"`{df.columns[0]}`"), df.columns[1:]
-    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
-    fov, roi = F.regexp_extract(key, r"^(.*)_([^_]*)$", 1), F.regexp_extract(key, r"^(.*)_([^_]*)$", 2).cast("int")
-    return df.select(fov.alias("fov"), roi.alias("roi"), F.filter(values, lambda v: v.isNotNull()).alias("trace"))
+    """(fov, roi, trace) of wide trace CSV: a key cell ``<fov>_<roi>`` and a cell for each frame, blanks at the end of short rows.
+
+    Lines are split into arrays, so a table may have any number of frames. Headers, whose second cell is ``t0``, are left out file by file;
+    a blank cell between others is null.
+    """
+    lines = spark.read.text(path).where(~F.rlike("value", F.lit(r'^("[^"]*"|[^,]*),t0(,|$)')) & F.contains("value", F.lit("_")))
+    line = lines.select(F.rtrim("value", F.lit(",")).alias("value")).select(csv_line(F.col("value")).alias("l"))
+    fov, roi = F.regexp_extract("l.key", r"^(.*)_([^_]*)$", 1), F.regexp_extract("l.key", r"^(.*)_([^_]*)$", 2).cast("int")
+    return line.select(fov.alias("fov"), roi.alias("roi"), F.col("l.cells").cast("array<double>").alias("trace"))
 
 
-def read_grouped_csv(spark: SparkSession, path: str, parameter: str) -> DataFrame:
-    """The grouped CSV of a parameter: a file found by its suffix, or the folder of that name that ``sinks.export_grouped`` wrote."""
+def read_grouped_csv(spark: SparkSession, path: str, parameter: str, suffixes: tuple[str, ...] = ("_Mean", "_SEM", "_N")) -> DataFrame:
+    """Rows (fov, condition, mean, sem, n) of the grouped CSV of a parameter, one for each condition's cells that are not blank.
+
+    ``path``: a folder that holds a file found by its suffix, or the folder of that name that ``sinks.export_grouped`` wrote. Lines are split into
+    arrays and each file's names come from its own first line, so conditions cost no columns.
+    """
     found = spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
     mine = F.rlike("path", F.lit(rf"(_{parameter}\.csv|/{parameter}/[^/]*\.csv)$"))
     files = [r.path for r in found.where(mine).select("path").collect()]  # the files of one table
     if not files:
         raise FileNotFoundError(f"no table of {parameter} under {path}")
-    return spark.read.csv(files, header=True, inferSchema=True)
-
-
-def grouped_long(df: DataFrame, suffixes: tuple[str, ...] = ("_Mean", "_SEM", "_N")) -> DataFrame:
-    """Rows (fov, condition, mean, sem, n) of a grouped CSV, one for each condition's columns."""
-    conditions = [c[: -len(suffixes[0])] for c in df.columns if c.endswith(suffixes[0])]
-    key = F.col(f"`{df.columns[0]}`").cast("string").alias("fov")
-    each = [F.struct(F.lit(c).alias("condition"), *[F.col(f"`{c}{s}`").cast("double").alias(n) for s, n in zip(suffixes, ("mean", "sem", "n"))]) for c in conditions]
-    return df.select(key, F.explode(F.array(*each)).alias("g")).select("fov", "g.*").where("mean is not null")
+    first = spark.read.text(files[0]).head()[0]
+    header = next(csv.reader([first]))
+    at = {c: i for i, c in enumerate(header[1:])}
+    conditions = [c[: -len(suffixes[0])] for c in header[1:] if c.endswith(suffixes[0])]
+    places = F.lit([[at.get(f"{c}{s}", -1) for s in suffixes] for c in conditions]) if conditions else F.array().cast("array<array<int>>")
+    line = spark.read.text(files).where(F.col("value") != F.lit(first)).select(csv_line(F.col("value")).alias("l"))
+    cell = lambda p, k: F.get(F.col("l.cells"), p[k]).cast("double")
+    each = F.zip_with(F.lit(conditions), places, lambda c, p: F.struct(c.alias("condition"), *[cell(p, k).alias(n) for k, n in enumerate(("mean", "sem", "n"))]))
+    return line.select(F.col("l.key").alias("fov"), F.explode(each).alias("g")).select("fov", "g.*").where("mean is not null")
 
 
 def with_legacy_name(fovs: DataFrame, records: DataFrame, prefer_short: bool = False) -> DataFrame:

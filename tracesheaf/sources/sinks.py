@@ -41,6 +41,31 @@ def wide_traces(records: DataFrame, trace: str) -> DataFrame:
     return rows.select(F.concat_ws("_", "fov", "roi").alias("key"), *[F.get(trace, F.lit(i)).alias(f"t{i}") for i in range(n)])
 
 
+def csv_cell(value: Column) -> Column:
+    """A text as a CSV cell: in quotes, its own doubled, where it holds a comma, a quote or a line break."""
+    return F.when(F.rlike(value, F.lit(r'[",\r\n]')), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def trace_lines(records: DataFrame, trace: str) -> DataFrame:
+    """K2 to K6 as lines of text (``value``): ``<fov>_<roi>,<frame 0>,...``, blank cells for nulls and after shorter traces; null traces are left out.
+
+    Every partition begins with the header ``key,t0,...``. A line is one text made of one array, so the number of frames costs no columns.
+    """
+    rows = records.where(F.col(trace).isNotNull())
+    n = rows.agg(F.max(F.size(trace))).first()[0] or 0
+    at = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    cells = F.transform(at, lambda i: F.coalesce(F.get(F.col(trace), i).cast("string"), F.lit("")))
+    line = F.concat_ws(",", csv_cell(F.concat_ws("_", "fov", "roi")), F.when(F.size(at) > 0, F.array_join(cells, ",")))
+    header = F.concat_ws(",", F.lit("key"), F.when(F.size(at) > 0, F.array_join(F.transform(at, lambda i: F.concat(F.lit("t"), i)), ",")))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the lower bits number a partition's rows
+    return rows.select(line.alias("value"), first.alias("first")).select(F.explode(F.when(F.col("first"), F.array(header, "value")).otherwise(F.array("value"))).alias("value"))
+
+
+def write_traces(records: DataFrame, trace: str, path: str) -> None:
+    """K2 to K6: a folder of CSV files of ``trace_lines``, each with its header, which ``read_trace_csv`` reads back."""
+    trace_lines(records, trace).write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
 def thresholded(records: DataFrame, spikes: str = "inferred_spikes", threshold: str = "inferred_spikes_threshold") -> DataFrame:
     """K6: records with spikes at or under the threshold set to 0; rows without spikes or threshold get null and are left out by K2."""
     return records.withColumn(spikes, threshold_spikes(F.col(spikes), F.col(threshold)))
@@ -95,12 +120,12 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.write.mode("overwrite").parquet(path)
 
 
-def export_each(steps: dict[str, Callable[[], DataFrame]], path: str) -> dict[str, str]:
-    """Writes every table to its own folder; a step that fails does not stop the others and is reported by name."""
+def export_each(steps: dict[str, Callable[[str], None]], path: str) -> dict[str, str]:
+    """Runs every step on its own folder; one that fails does not stop the others and is reported by name."""
     failed = {}
-    for name, make in steps.items():
+    for name, write in steps.items():
         try:
-            write_csv(make(), f"{path}/{name}")
+            write(f"{path}/{name}")
         except Exception as e:  # noqa: BLE001  isolation of steps is the feature
             failed[name] = str(e).splitlines()[0] if str(e) else type(e).__name__
     return failed
@@ -114,9 +139,9 @@ GROUPED = {"calcium_peaks_amplitude": "peaks_amplitudes_dec_dff", "calcium_peaks
 
 def export_traces(records: DataFrame, path: str) -> dict[str, str]:
     """All trace tables of K2 to K6."""
-    steps = {name: (lambda c=column: wide_traces(records, c)) for name, column in TRACES.items() if column in records.columns}
+    steps = {name: (lambda to, c=column: write_traces(records, c, to)) for name, column in TRACES.items() if column in records.columns}
     if "inferred_spikes_threshold" in records.columns:
-        steps["inferred_spikes_thresholded_data"] = lambda: wide_traces(thresholded(records), "inferred_spikes")
+        steps["inferred_spikes_thresholded_data"] = lambda to: write_traces(thresholded(records), "inferred_spikes", to)
     return export_each(steps, path)
 
 
@@ -135,4 +160,4 @@ def export_grouped(records: DataFrame, path: str, settings: Settings = Settings(
     if stimuli in records.columns and records.where(F.col(stimuli).isNotNull()).head(1):
         for name, stim in (("calcium_peaks_amplitudes_stimulated", True), ("calcium_peaks_amplitudes_non_stimulated", False)):
             steps[name] = lambda s=stim: evoked_table(grouped.evoked(records, s))
-    return export_each(steps, path)
+    return export_each({name: (lambda to, m=make: write_csv(m(), to)) for name, make in steps.items()}, path)
