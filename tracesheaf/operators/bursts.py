@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesheaf.config import DEFAULT_FRAME_RATE
+from tracesheaf.operators.traces import along
 
 
 def population_activity(events: DataFrame, frames: DataFrame) -> DataFrame:
@@ -29,20 +31,21 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
 
 
 def smoothed(df: DataFrame, sigma: float, value: str = "activity", keys: list[str] = ["fov"]) -> DataFrame:
-    """Adds ``smooth``, a Gaussian over frames (sigma in frames) with the ends mirrored; sigma 0 copies.
-
-    Each frame hands its weighted value to the frames of the kernel around it, and beyond an end to the mirrored frame.
-    """
+    """Adds ``smooth``, a Gaussian over frames (sigma in frames) with the ends mirrored; sigma 0 copies. Frames without a row count as 0."""
     if sigma <= 0:
         return df.withColumn("smooth", F.col(value))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("w")) for k, v in gaussian_kernel(sigma)])
-    n = df.groupBy(*keys).agg((F.max("frame") + 1).alias("__n"))
-    # Source index of target + k, reflected: the weight of a source for a target counts every reflection.
-    wide = df.join(n, keys).select(*keys, F.col("frame").alias("at"), "__n", F.explode(table).alias("k"))
-    m = F.pmod(F.col("at") + F.col("k.k"), 2 * F.col("__n"))
-    wide = wide.select(*keys, "at", F.when(m < F.col("__n"), m).otherwise(2 * F.col("__n") - 1 - m).alias("frame"), F.col("k.w").alias("w"))
-    got = wide.join(df.select(*keys, "frame", F.col(value).alias("v")), [*keys, "frame"]).groupBy(*keys, F.col("at").alias("frame")).agg(F.sum(F.col("w") * F.col("v")).alias("smooth"))
-    return df.join(got, [*keys, "frame"])
+    kernel = gaussian_kernel(sigma)
+
+    def weighted(frames: np.ndarray, values: list) -> list:
+        n = int(frames[-1]) + 1
+        dense, total = np.zeros(n), np.zeros(len(frames))
+        dense[frames] = [v or 0.0 for v in values]
+        for k, w in kernel:
+            at = (frames + k) % (2 * n)
+            total += w * dense[np.where(at < n, at, 2 * n - 1 - at)]
+        return total.tolist()
+
+    return along(df, value, "smooth", weighted, keys)
 
 
 def runs_above(df: DataFrame, value: str, threshold: float, least: int, keys: list[str] = ["fov"]) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.operators.pairs import mirrored
+from tracesheaf.operators.pairs import matrix, mirrored
 
 
 def complete_linkage(d: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -70,3 +70,10 @@ def cluster(edges: DataFrame) -> DataFrame:
         return frame.astype({c: "Int64" for c in ("roi", "left_id", "right_id", "size")})
 
     return mirrored(edges.select("fov", "roi_i", "roi_j", F.col("value").cast("double"))).groupBy("fov").applyInPandas(run, schema)
+
+
+def reordered(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The square matrix in leaf order: (fov, row, col, roi_i, roi_j, value), 1 on the diagonal, from the leaf rows of ``cluster``."""
+    place = leaves.where("kind = 'leaf'")
+    ends = [place.select("fov", F.col("roi").alias(f"roi_{k}"), F.col("step").alias(name)) for k, name in (("i", "row"), ("j", "col"))]
+    return matrix(edges).join(ends[0], ["fov", "roi_i"]).join(ends[1], ["fov", "roi_j"]).select("fov", "row", "col", "roi_i", "roi_j", "value")

@@ -137,3 +137,10 @@ def color_scale(events: DataFrame, amplitude: str = "amplitude", spikes: bool =
     lo, hi = F.min(amplitude).over(w), F.max(amplitude).over(w)
     half = F.when(hi * 0.5 > lo, hi * 0.5).when(hi > lo, hi).otherwise(lo + 0.1)
     return events.withColumn("vmin", lo).withColumn("vmax", lo + (hi - lo) * 0.5 if spikes else half)
+
+
+def region_shade(scaled: DataFrame, amplitude: str = "amplitude") -> DataFrame:
+    """adds each region's mean_amplitude and its shade, the place of that mean between vmin and vmax, within 0 to 1."""
+    mean = F.avg(amplitude).over(Window.partitionBy("fov", "roi"))
+    place = (F.col("mean_amplitude") - F.col("vmin")) / (F.col("vmax") - F.col("vmin"))
+    return scaled.withColumn("mean_amplitude", mean).withColumn("shade", F.least(F.lit(1.0), F.greatest(F.lit(0.0), place)))

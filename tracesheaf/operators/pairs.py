@@ -148,11 +148,32 @@ def matrix(edges: DataFrame, diagonal: float = 1.0) -> DataFrame:
     return both.unionByName(both.select("fov", "roi_i", F.col("roi_i").alias("roi_j"), F.lit(diagonal).alias("value")).distinct())
 
 
+#: Values of which spectra are held at once in a correlation task, whatever the length of traces.
+SPECTRUM_VALUES = 1 << 22
+
+
+def _spectra(rows: pa.Table, which: np.ndarray, size: int, absolute: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spectra of the traces at double length, their norms, and which are flat."""
+    x = rows["trace"].take(pa.array(which)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    if not absolute:
+        x = x - x.mean(axis=1, keepdims=True)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return np.fft.rfft(x, 2 * size, axis=1), norm, norm <= 1e-12 * np.sqrt(size) * (1 + np.abs(x).max(axis=1))
+
+
+def _best(a: tuple, k: int, b: tuple, which: np.ndarray, size: int, absolute: bool) -> np.ndarray:
+    """The best correlation over all lags of trace ``k`` with the others; 0 with flat ones."""
+    c = np.fft.irfft(a[0][k] * np.conj(b[0][which]), 2 * size, axis=1)
+    best = np.abs(c).max(axis=1) if absolute else c.max(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(a[2][k] | b[2][which], 0.0, best / (a[1][k] * b[1][which]))
+
+
 def trace_correlation(traces: DataFrame, trace: str = "trace", absolute: bool = False, block: int = BLOCK) -> DataFrame:
     """M8, M9: best normalised correlation over all lags of z-scored traces (``absolute``: of raw trains, by absolute value).
 
-    Regions of a field are hashed to blocks and each pair of blocks is one group, so a large field spreads over tasks. Traces of
-    unequal length are not paired; a flat trace correlates 0.
+    Regions of a field are hashed to blocks and each pair of blocks is one group, so a large field spreads over tasks, which
+    hold their traces and the spectra of as many as SPECTRUM_VALUES allows. Traces of unequal length are not paired; a flat trace correlates 0.
     """
     n = traces.groupBy("fov").agg(F.count("*").alias("__n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("__n") / block).cast("int"))
@@ -163,31 +184,28 @@ def trace_correlation(traces: DataFrame, trace: str = "trace", absolute: bool =
 
     def correlate(key: tuple, rows: pa.Table) -> pa.Table:
         fov, bi, bj = (k.as_py() for k in key)
-        ids, mine = rows["roi"].to_numpy(), rows["mine"].to_numpy()
-        lists = rows["trace"].to_pylist()
-        out: list[tuple] = []
-        for size in sorted({len(x) for x in lists if x}):
-            at = np.array([i for i, x in enumerate(lists) if len(x) == size])
-            x = np.array([lists[i] for i in at], float)
-            if not absolute:
-                x = x - x.mean(axis=1, keepdims=True)
-            norm = np.sqrt((x * x).sum(axis=1))
-            flat = norm <= 1e-12 * np.sqrt(size) * (1 + np.abs(x).max())
-            spectrum = np.fft.rfft(x, 2 * size, axis=1)
-            for a in range(len(at)):
-                if mine[at[a]] != bi:
-                    continue
-                b = np.flatnonzero((mine[at] == bj) & ((ids[at] > ids[at[a]]) if bi == bj else (ids[at] != ids[at[a]])))
-                if not len(b):
-                    continue
-                c = np.fft.irfft(spectrum[a] * np.conj(spectrum[b]), 2 * size, axis=1)
-                best = np.abs(c).max(axis=1) if absolute else c.max(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    v = np.where(flat[a] | flat[b], 0.0, best / (norm[a] * norm[b]))
-                out += [(fov, *sorted((int(ids[at[a]]), int(ids[at[k]]))), float(w)) for k, w in zip(b, v)]
-        cols = list(zip(*out)) or [[], [], [], []]
-        types = [rows.schema.field("fov").type, pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names=["fov", "roi_i", "roi_j", "value"])
+        ids, mine, sizes = rows["roi"].to_numpy(), rows["mine"].to_numpy(), rows["trace"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        left, right, found = [], [], []
+        for size in sorted({int(n) for n in sizes if n}):
+            first, second = (np.flatnonzero((sizes == size) & (mine == b)) for b in (bi, bj))
+            if not len(first) or not len(second):
+                continue
+            step = max(1, SPECTRUM_VALUES // (2 * size))  # traces of which the spectra and all lags are held at once
+            for i in range(0, len(first), step):
+                a = _spectra(rows, first[i : i + step], size, absolute)
+                for j in range(0, len(second), step):
+                    b = a if bi == bj and i == j else _spectra(rows, second[j : j + step], size, absolute)
+                    for k, own in enumerate(first[i : i + step]):
+                        other = second[j : j + step]
+                        wanted = np.flatnonzero(ids[other] > ids[own] if bi == bj else ids[other] != ids[own])
+                        if len(wanted):
+                            left.append(np.minimum(ids[own], ids[other[wanted]]))
+                            right.append(np.maximum(ids[own], ids[other[wanted]]))
+                            found.append(_best(a, k, b, wanted, size, absolute))
+        ends = [np.concatenate([np.zeros(0, np.int64), *v]) for v in (left, right)]
+        value = np.concatenate([np.zeros(0), *found])
+        names = pa.array([fov], rows.schema.field("fov").type).take(pa.array(np.zeros(len(value), np.int64)))
+        return pa.table([names, *[pa.array(e, pa.int64()) for e in ends], pa.array(value)], names=["fov", "roi_i", "roi_j", "value"])
 
     fov_type = dict(traces.dtypes)["fov"]
     return t.groupBy("fov", "bi", "bj").applyInArrow(correlate, f"fov {fov_type}, roi_i long, roi_j long, value double")

@@ -112,10 +112,11 @@ def from_masks(masks: DataFrame, mask: str = "mask") -> DataFrame:
     return masks.select(*[c for c in masks.columns if c != mask], z.alias("z")).select("*", "z.y", "z.x").drop("z")
 
 
-def composite(rows: DataFrame, height: int, width: int, order: str = "label") -> DataFrame:
-    """One label for each pixel, the last in order winning; pixels outside the image go."""
-    inside = rows.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return inside.groupBy(*AT, "y", "x").agg(F.max_by("label", order).alias("label"))
+def composite(rows: DataFrame, height: int | None = None, width: int | None = None, order: str = "label", keys: list[str] = AT) -> DataFrame:
+    """One label for each pixel, the last in order winning; pixels outside the image go, where its size is given."""
+    if height is not None and width is not None:
+        rows = rows.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    return rows.groupBy(*keys, "y", "x").agg(F.max_by("label", order).alias("label"))
 
 
 def roi_at(labels: DataFrame, y: int, x: int) -> DataFrame:

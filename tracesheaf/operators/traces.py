@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesheaf.functions.exprs import let
+from tracesheaf.sources.scratch import saved
 
 KEYS = ["fov", "roi"]
 
@@ -21,10 +28,64 @@ def to_long(df: DataFrame, trace: str = "trace", keys: list[str] = KEYS) -> Data
     return df.select(*keys, F.posexplode(trace).alias("frame", "value"))
 
 
+def sliding_percentile(values: list[float | None], half: int, q: float) -> list[float | None]:
+    """The q-quantile of each value's neighbours up to ``half`` away, linear between two of them; nulls do not count, NaN is the greatest.
+
+    One pass over a sorted window, which gains and loses a value at each step: the work hardly grows with the window.
+    """
+    window, blanks, out, n = [], 0, [], len(values)
+    for i in range(-half, n):
+        if i + half < n and (v := values[i + half]) is not None:
+            if v != v:
+                blanks += 1
+            else:
+                insort(window, v)
+        if i > half and (v := values[i - half - 1]) is not None:
+            if v != v:
+                blanks -= 1
+            else:
+                del window[bisect_left(window, v)]
+        if i >= 0:
+            held = len(window)
+            at = (held + blanks - 1) * q
+            lo = int(at)
+            hi = lo + (at > lo)
+            if not held + blanks:
+                out.append(None)
+            elif hi >= held:
+                out.append(math.nan if hi > lo or lo >= held else window[lo])
+            else:
+                out.append(window[lo] if lo == hi or window[lo] == window[hi] else (hi - at) * window[lo] + (at - lo) * window[hi])
+    return out
+
+
+def along(df: DataFrame, value: str, out: str, work: Callable[[np.ndarray, list], list], keys: list[str]) -> DataFrame:
+    """Adds ``out``, what ``work`` (frames, values, both in order of frame) gives for each trace.
+
+    A trace's rows meet in one array, as they do in a window, and only its frames and values go to Python.
+    """
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in (*keys, out)])).alias("__rows"))
+
+    @F.arrow_udf("array<double>")
+    def each(frames: pa.Array, values: pa.Array) -> pa.Array:
+        ends = values.offsets.to_numpy() - values.offsets[0].as_py()
+        flat, order, found = values.flatten().to_pylist(), frames.flatten().to_numpy(zero_copy_only=False), []
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            by = np.argsort(order[lo:hi], kind="stable")
+            result = work(order[lo:hi][by], [flat[lo + k] for k in by.tolist()])
+            back = np.empty(hi - lo, np.int64)
+            back[by] = np.arange(hi - lo)
+            found += [result[k] for k in back.tolist()]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.float64()))
+
+    made = rows.withColumn("__out", each(F.col("__rows.frame").cast("array<long>"), F.col(f"__rows.{value}").cast("array<double>")))
+    one = made.select(*keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__out").alias("o"))).alias("__z"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"__z.r.{c}") for c in df.columns if c != out], F.col("__z.o").alias(out))
+
+
 def sliding_baseline(df: DataFrame, window: int = 30, percentile: float = 10.0, value: str = "value", keys: list[str] = KEYS) -> DataFrame:
     """Adds ``baseline``, the percentile over the frames within half a window on both sides (cut at the ends)."""
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(-(window // 2), window // 2)
-    return df.withColumn("baseline", F.percentile(value, percentile / 100).over(w))
+    return along(df, value, "baseline", lambda _, v: sliding_percentile(v, window // 2, percentile / 100), keys)
 
 
 def delta_f(df: DataFrame, window: int = 30, percentile: float = 10.0, value: str = "value", keys: list[str] = KEYS) -> DataFrame:
@@ -68,15 +129,22 @@ def zscore(df: DataFrame, value: str = "value", keys: list[str] = KEYS, zero: bo
 def exact_percentile(df: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
     """(keys, q, top): the exact q-quantile of a large group, linear between neighbours, and its maximum; nulls do not count.
 
-    Equal values are counted first and a running count finds the two neighbours, so no buffer holds a group's values.
+    Equal values are counted, and the counts dealt out by ranges of (keys, value) to a written table. Sums by range and a running sum over
+    ranges show which ranges hold a group's two neighbours, and only these are run through: no task holds a group.
     """
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    n = n.withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    at = (F.sum("__c").over(w) - 1) * F.lit(q)
-    near = n.select(*keys, "__v", "__upto", at.alias("__at"))
-    lo, hi = (F.min(F.when(F.col("__upto") > edge(F.col("__at")), F.col("__v"))) for edge in (F.floor, F.ceil))
-    ends = near.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"), F.max("__v").alias("top"), F.first("__at").alias("__at"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = saved(n.repartitionByRange(parts, *keys, "__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    whole = Window.partitionBy(*keys)
+    per = n.groupBy(*keys, "__part").agg(F.sum("__c").alias("__n"), F.max("__v").alias("__m"))
+    before = F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    per = per.select(*keys, "__part", "__n", before.alias("__before"), ((F.sum("__n").over(whole) - 1) * F.lit(q)).alias("__at"), F.max("__m").over(whole).alias("top"))
+    held = [(F.col("__before") <= edge("__at")) & (edge("__at") < F.col("__before") + F.col("__n")) for edge in (F.floor, F.ceil)]
+    near = n.join(per.where(held[0] | held[1]), [*keys, "__part"])
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__upto", upto)
+    lo, hi = (F.min(F.when(F.col("__upto") > edge("__at"), F.col("__v"))) for edge in (F.floor, F.ceil))
+    ends = near.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"), F.first("top").alias("top"), F.first("__at").alias("__at"))
     part = F.col("__at") - F.floor("__at")
     return ends.select(*keys, ((1 - part) * F.col("__lo") + part * F.col("__hi")).alias("q"), "top")
 

@@ -76,6 +76,24 @@ def _scale(source: str, spikes: bool) -> str:
     return f"SELECT fov, roi, frame, round(amplitude, 6) AS amplitude, round(lo, 6) AS vmin, round({high}, 6) AS vmax FROM (SELECT *, min(amplitude) OVER (PARTITION BY fov) AS lo, max(amplitude) OVER (PARTITION BY fov) AS hi FROM {source})"
 
 
+def _shade(scale: str = "") -> str:
+    """Peaks with their region's mean amplitude, its place on the scale, and ``scale`` columns."""
+    ends = "SELECT *, min(amplitude) OVER (PARTITION BY fov) AS lo, max(amplitude) OVER (PARTITION BY fov) AS hi, avg(amplitude) OVER (PARTITION BY fov, roi) AS m FROM pk"
+    top = f"SELECT *, CASE WHEN hi * 0.5 > lo THEN hi * 0.5 WHEN hi > lo THEN hi ELSE lo + 0.1 END AS top FROM ({ends})"
+    return f"SELECT fov, roi, frame, round(amplitude, 6) AS amplitude, round(m, 6) AS mean_amplitude, round(least(1, greatest(0, (m - lo) / (top - lo))), 6) AS shade{scale} FROM ({top})"
+
+
+def _struck(sql: str) -> str:
+    """Rows with the power of the stimulus on their frame."""
+    return f"SELECT s.*, stm.power::BIGINT AS stim_power FROM ({sql}) s LEFT JOIN stm ON stm.fov = s.fov AND stm.frame = s.frame"
+
+
+def _map(edges: str, square: str) -> str:
+    """The square matrix with each region's place among the leaves."""
+    leaf = f"SELECT * FROM ({_tree(edges)}) WHERE kind = 'leaf'"
+    return f"SELECT m.fov, a.step AS row, b.step AS col, roi_i, roi_j, value FROM ({_square(square)}) m JOIN ({leaf}) a ON a.fov = m.fov AND a.roi = roi_i JOIN ({leaf}) b ON b.fov = m.fov AND b.roi = roi_j"
+
+
 def _global(edges: str) -> str:
     both = f"SELECT fov, roi_i AS r, value FROM {edges} UNION ALL SELECT fov, roi_j, value FROM {edges}"
     return f"SELECT e.fov, roi_i, roi_j, round(value, 6)::DOUBLE AS value, round(g, 6) AS global FROM {edges} e JOIN (SELECT fov, median(m) AS g FROM (SELECT fov, r, avg(value) AS m FROM ({both}) GROUP BY ALL) GROUP BY fov) USING (fov)"
@@ -133,6 +151,7 @@ FROM path p JOIN leaf ON leaf.fov = p.fov AND leaf.id = p.id
 UNION ALL SELECT fov, 'merge', step, NULL, left_id, right_id, round(distance, 6), size FROM merged"""
 
 
+_OVERLAY = 'SELECT fov, row_number() OVER (PARTITION BY fov ORDER BY min(frame)) AS burst_id, min(frame) AS start, max(frame) + 1 AS "end" FROM (SELECT fov, frame, frame - row_number() OVER (PARTITION BY fov ORDER BY frame) AS g FROM vos WHERE smooth > 0.2::DOUBLE) GROUP BY fov, g HAVING count(*) >= 3'
 _AREA = "SELECT p, y, x FROM mo5 WHERE value = 1"
 _TRACE = "SELECT fov, roi, frame, round(value, 6) AS value FROM {}"
 _AMPLITUDE = "SELECT fov, roi, round(avg(amplitude), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(amplitude) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM pk GROUP BY ALL"
@@ -151,21 +170,21 @@ BODY = {
     "dec_dff_normalized": _norm("tr"),
     "dec_dff_normalized_active": _norm("vact"),
     "dec_dff_normalized_peaks": _peaked(_norm("vact")),
-    "neuropil_masks": "SELECT p AS fov, label AS roi, y, x, 'cell' AS part FROM lab UNION ALL SELECT p, label, y, x, 'ring' FROM rng JOIN (SELECT p, label, min(k) AS need FROM (SELECT p, label, k, sum(count(*)) OVER (PARTITION BY p, label ORDER BY k) AS c FROM rng GROUP BY p, label, k) WHERE c >= 20 GROUP BY ALL) USING (p, label) WHERE k <= need",
+    "neuropil_masks": "SELECT *, roi = max(roi) OVER (PARTITION BY fov, part, y, x) AS shown FROM (SELECT p AS fov, label AS roi, y, x, 'cell' AS part FROM lab UNION ALL SELECT p, label, y, x, 'ring' FROM rng JOIN (SELECT p, label, min(k) AS need FROM (SELECT p, label, k, sum(count(*)) OVER (PARTITION BY p, label ORDER BY k) AS c FROM rng GROUP BY p, label, k) WHERE c >= 20 GROUP BY ALL) USING (p, label) WHERE k <= need)",
     "neuropil_traces": "SELECT fov, roi, frame, round(value, 6) AS raw_trace, round(value * 0.25::DOUBLE, 6) AS neuropil_trace, round(value - 0.5::DOUBLE * (value * 0.25::DOUBLE), 6) AS corrected_trace FROM tr",
     "spikes_raw": _TRACE.format("tr"),
     "spikes_thresholded": _TRACE.format("vsp"),
     "spikes_raw_threshold": "SELECT fov, roi, frame, round(p75, 6) AS inferred_spikes_threshold, round(value, 6) AS value FROM va",
     "spikes_normalized": _norm("vsp"),
     "spikes_normalized_active": _norm("vsa"),
-    "spikes_normalized_bursts": 'SELECT fov, row_number() OVER (PARTITION BY fov ORDER BY min(frame)) AS burst_id, min(frame) AS start, max(frame) + 1 AS "end" FROM (SELECT fov, frame, frame - row_number() OVER (PARTITION BY fov ORDER BY frame) AS g FROM vos WHERE smooth > 0.2::DOUBLE) GROUP BY fov, g HAVING count(*) >= 3',
+    "spikes_normalized_bursts": f"SELECT t.*, burst_id FROM ({_norm('vsa')}) t LEFT JOIN ({_OVERLAY}) b ON b.fov = t.fov AND t.frame >= b.start AND t.frame < b.\"end\"",
     "spikes_with_dec_dff": "SELECT fov, roi, frame, round(spike, 6) AS value, round(value, 6) AS dec_dff FROM va",
     "amplitude": _AMPLITUDE,
     "frequency": "SELECT fov, roi, round(f, 6) AS dec_dff_frequency FROM vfq",
     "amplitude_vs_frequency": f"SELECT a.*, round(f, 6) AS dec_dff_frequency FROM ({_AMPLITUDE}) a JOIN vfq USING (fov, roi)",
     "raster_peaks": "SELECT fov, roi, frame, round(amplitude, 6) AS amplitude FROM pk",
-    "raster_peaks_amp": _scale("pk", False),
-    "raster_peaks_amp_scale": _scale("pk", False),
+    "raster_peaks_amp": _shade(),
+    "raster_peaks_amp_scale": _shade(", round(lo, 6) AS vmin, round(top, 6) AS vmax"),
     "raster_spikes": "SELECT fov, roi, frame, round(amplitude, 6) AS amplitude FROM vev",
     "raster_spikes_amp": _scale("vev", True),
     "raster_spikes_amp_scale": _scale("vev", True),
@@ -175,7 +194,8 @@ BODY = {
     "network": "SELECT xt.fov, roi_i, roi_j, round(abs(value), 6) AS weight, sign(value)::BIGINT AS sign, (roi_i % 32)::DOUBLE AS cy_i, (roi_i % 29)::DOUBLE AS cx_i, (roi_j % 32)::DOUBLE AS cy_j, (roi_j % 29)::DOUBLE AS cx_j, nodes, edges, round(density_pct, 6) AS density_pct FROM xt JOIN xn ON xn.fov = xt.fov WHERE connected",
     "connectivity_matrix": "SELECT c.fov, roi_i, roi_j, round(value, 6) AS value, round(threshold, 6) AS threshold, connected, nodes, edges, round(density_pct, 6) AS density_pct FROM (SELECT * FROM xt UNION ALL SELECT fov, roi_j, roi_i, value, threshold, connected FROM xt) c JOIN xn ON xn.fov = c.fov",
     "trace_xcorr": _square("xm"),
-    **{f"{k}_{n}": f"SELECT * FROM ({_tree(e)}) WHERE kind = '{kind}'" for k, e in (("trace", "xc"), ("spike", "xs")) for n, kind in (("clustering", "leaf"), ("dendrogram", "merge"))},
+    **{f"{k}_dendrogram": f"SELECT * FROM ({_tree(e)}) WHERE kind = 'merge'" for k, e in (("trace", "xc"), ("spike", "xs"))},
+    **{f"{k}_clustering": _map(e, f"{e[0]}{m}") for k, e, m in (("trace", "xc", "m"), ("spike", "xs", "sm"))},
     "stim_area": _AREA,
     "spike_xcorr": _square("xsm"),
     "spike_synchrony": _global("vss"),
@@ -184,9 +204,9 @@ BODY = {
     "stim_rois_area": _CLASS.format(", CASE WHEN spx.y IS NOT NULL THEN true END AS in_area", " LEFT JOIN spx ON spx.y = lab.y AND spx.x = lab.x"),
     "stim_peaks_amp": _PANEL.format("stimulated"),
     "non_stim_peaks_amp": _PANEL.format("NOT stimulated"),
-    "stim_vs_non_traces": _norm("vact", ", stimulated"),
-    "stim_vs_non_traces_peaks": _peaked(_norm("vact", ", stimulated")),
-    "stim_vs_non_spikes": _norm("vsa", ", stimulated"),
+    "stim_vs_non_traces": _struck(_norm("vact", ", stimulated")),
+    "stim_vs_non_traces_peaks": _struck(_peaked(_norm("vact", ", stimulated"))),
+    "stim_vs_non_spikes": _struck(_norm("vsa", ", stimulated")),
     "mw_cell_size": _pooled(_grouped("SELECT 'c' || (roi % 3) AS condition, fov, (40 + roi % 7)::DOUBLE AS v FROM rois", "v")),
     "mw_amplitude": _pooled("SELECT condition, mean, sem, n FROM gm"),
     "mw_frequency": _pooled(_grouped("SELECT 'c' || (roi % 3) AS condition, fov, f FROM vfq", "f")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracesheaf.config import Settings
 from tracesheaf.functions.exprs import display_condition, threshold_spikes
 from tracesheaf.operators import bursts, cluster, events, evoked, grouped, pairs, pixels, select, stats, traces
+from tracesheaf.sources.scratch import saved
 
 View = Callable[..., DataFrame]
 PEAKS, AMPS, SPIKES = "peaks_dec_dff", "peaks_amplitudes_dec_dff", "inferred_spikes"
@@ -39,6 +40,12 @@ def _raster(r: DataFrame, s: Settings, spikes: bool = False, scale: bool = False
     return events.color_scale(e, spikes=spikes) if scale else e
 
 
+def _shaded(r: DataFrame, s: Settings, scale: bool = False) -> DataFrame:
+    """Peaks with the mean amplitude of their region and its shade, and the ends of the scale where it is shown."""
+    rows = events.region_shade(_raster(r, s, scale=True))
+    return rows if scale else rows.drop("vmin", "vmax")
+
+
 def _with_spikes(r: DataFrame, s: Settings) -> DataFrame:
     both = F.arrays_zip(threshold_spikes(F.col(SPIKES), F.col("inferred_spikes_threshold")).alias("value"), F.col("dec_dff").alias("dec_dff"))
     return r.where(F.col(SPIKES).isNotNull()).select("fov", "roi", F.posexplode(both).alias("frame", "v")).select("fov", "roi", "frame", "v.*")
@@ -59,8 +66,14 @@ def _xcorr(r: DataFrame, s: Settings, spikes: bool = False) -> DataFrame:
     return pairs.trace_correlation(trains, "train", absolute=True)
 
 
-def _clusters(r: DataFrame, s: Settings, kind: str, spikes: bool = False) -> DataFrame:
-    return cluster.cluster(_xcorr(r, s, spikes)).where(F.col("kind") == kind)
+def _merges(r: DataFrame, s: Settings, spikes: bool = False) -> DataFrame:
+    return cluster.cluster(_xcorr(r, s, spikes)).where("kind = 'merge'")
+
+
+def _map(r: DataFrame, s: Settings, spikes: bool = False) -> DataFrame:
+    """The square of correlations in the order of the tree's leaves."""
+    edges = saved(_xcorr(r, s, spikes), "correlations")
+    return cluster.reordered(edges, cluster.cluster(edges))
 
 
 def _connected(r: DataFrame, s: Settings) -> DataFrame:
@@ -84,8 +97,11 @@ def _bursts(r: DataFrame, s: Settings) -> DataFrame:
 
 
 def _overlay(r: DataFrame, s: Settings) -> DataFrame:
-    rows = _spike_trace(r.where("active"), s)
-    return bursts.burst_overlay(rows, s.burst_threshold, s.burst_min_duration, s.burst_gaussian_sigma)
+    """Normalised spikes of active regions, each frame with the burst that it lies in."""
+    active = r.where("active")
+    found = bursts.burst_overlay(_spike_trace(active, s), s.burst_threshold, s.burst_min_duration, s.burst_gaussian_sigma)
+    frames = found.select("fov", "burst_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("frame"))
+    return _spike_trace(active, s, norm=True).join(frames, ["fov", "frame"], "left")
 
 
 def _amplitude(r: DataFrame, s: Settings) -> DataFrame:
@@ -101,8 +117,12 @@ def _iei(r: DataFrame, s: Settings) -> DataFrame:
 
 
 def _stim_trace(r: DataFrame, s: Settings, spikes: bool = False, peaks: bool = False) -> DataFrame:
-    rows = _spike_trace(r, s, norm=True, active=True, extra=("stimulated",)) if spikes else _trace(r, s, "dec_dff", norm=True, active=True, peaks=peaks, extra=("stimulated",))
-    return select.stimulated_last(rows)
+    """Normalised traces, stimulated regions last, and on the frames of stimuli their power."""
+    stimuli = "stimulations_frames_and_powers"
+    extra = ("stimulated", stimuli) if stimuli in r.columns else ("stimulated",)
+    rows = _spike_trace(r, s, norm=True, active=True, extra=extra) if spikes else _trace(r, s, "dec_dff", norm=True, active=True, peaks=peaks, extra=extra)
+    power = F.try_element_at(stimuli, F.col("frame").cast("string")) if stimuli in r.columns else F.lit(None).cast("int")
+    return select.stimulated_last(rows.withColumn("stim_power", power).drop(stimuli))
 
 
 def _evoked(r: DataFrame, s: Settings, stim: bool) -> DataFrame:
@@ -111,9 +131,13 @@ def _evoked(r: DataFrame, s: Settings, stim: bool) -> DataFrame:
 
 
 def _masks(r: DataFrame, s: Settings) -> DataFrame:
+    """Pixels of cells and rings; of several regions on a pixel of one kind the one with the largest number is shown."""
     r = select.with_neuropil(r, masks=True)
-    cell = pixels.from_masks(r.select("fov", "roi", F.col("mask_coord_and_shape").alias("mask"))).withColumn("part", F.lit("cell"))
-    return cell.unionByName(pixels.from_masks(r.select("fov", "roi", F.col("neuropil_mask_coord_and_shape").alias("mask"))).withColumn("part", F.lit("ring")))
+    parts = {"cell": "mask_coord_and_shape", "ring": "neuropil_mask_coord_and_shape"}
+    each = [pixels.from_masks(r.select("fov", "roi", F.col(c).alias("mask"))).withColumn("part", F.lit(k)) for k, c in parts.items()]
+    rows = each[0].unionByName(each[1])
+    top = pixels.composite(rows.withColumn("label", F.col("roi")), keys=["fov", "part"]).withColumnRenamed("label", "top")
+    return rows.join(top, ["fov", "part", "y", "x"]).withColumn("shown", F.col("roi") == F.col("top")).drop("top")
 
 
 def _neuropil(r: DataFrame, s: Settings) -> DataFrame:
@@ -158,8 +182,8 @@ SINGLE: dict[str, View] = {
     "frequency": lambda r, s: _columns(r, s, "dec_dff_frequency"),
     "amplitude_vs_frequency": lambda r, s: _amplitude(r, s).join(_columns(r, s, "dec_dff_frequency"), ["fov", "roi"]),
     "raster_peaks": _raster,
-    "raster_peaks_amp": t(_raster, scale=True),
-    "raster_peaks_amp_scale": t(_raster, scale=True),
+    "raster_peaks_amp": _shaded,
+    "raster_peaks_amp_scale": t(_shaded, scale=True),
     "raster_spikes": t(_raster, spikes=True),
     "raster_spikes_amp": t(_raster, spikes=True, scale=True),
     "raster_spikes_amp_scale": t(_raster, spikes=True, scale=True),
@@ -169,12 +193,12 @@ SINGLE: dict[str, View] = {
     "network": _network,
     "connectivity_matrix": lambda r, s: pairs.mirrored(_connected(r, s)),
     "trace_xcorr": lambda r, s: pairs.matrix(_xcorr(r, s)),
-    "trace_clustering": t(_clusters, kind="leaf"),
-    "trace_dendrogram": t(_clusters, kind="merge"),
+    "trace_clustering": _map,
+    "trace_dendrogram": _merges,
     "spike_synchrony": t(_sync, spikes=True),
     "spike_xcorr": lambda r, s: pairs.matrix(_xcorr(r, s, True)),
-    "spike_clustering": t(_clusters, kind="leaf", spikes=True),
-    "spike_dendrogram": t(_clusters, kind="merge", spikes=True),
+    "spike_clustering": t(_map, spikes=True),
+    "spike_dendrogram": t(_merges, spikes=True),
     "burst_activity": _bursts,
     "stim_area": _area,
     "stim_rois": _classes,
