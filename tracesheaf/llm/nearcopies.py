@@ -7,8 +7,8 @@ candidates within RADIUS, and only a spanning forest of them leaves the shard: i
 no shard with a probability of 2e-4 and lies beyond the radius with about 5e-5; sets of up to SMALL shingles are held against all of their shard.
 
 The exact check runs once for each family, on whole shingle sets, where the family lies. A family above BLOCK is cut into blocks by hash: a block
-finds its groups, and then only what lies outside the family's largest group meets the other blocks. Of the check too only group names
-or a spanning forest leave a task, so no operator's rows grow with the pairs of a family. Equal sets are one node from the start.
+finds its groups, and then the sets of several blocks meet where they share a rare shingle, which loses no pair. Texts of one template that are no near copies
+share none, and meet nowhere. Of the check only group names or a spanning forest leave a task. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import connected_components, text_batches, written
+from tracesheaf.llm.common import connected_components, spare_name, text_batches, written
 from tracesheaf.llm.simhash import BKTree, _find, majority, shingle_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
@@ -177,28 +177,38 @@ def _inside(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(work, "sid long, root long")
 
 
-def _between(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), group names: links of the guests of each block with its own sets. ``members``: (family, block, guest, sid, root, h)."""
+def _meetings(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), group names: links of the sets that meet at each place. ``members``: (place, part, guest, sid, root, h).
+
+    Sets that are no guests are held, and linked among each other; guests pass by them one at a time.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, run in _runs(batches, 2):
             names, sets, block, known, links = [], [], None, {}, []
-            for guest, sid, root, h in (r[2:] for r in run):
-                if not guest:  # its own sets come first
+
+            def link(x: int, y: int) -> None:
+                x, y = _root(known, x), _root(known, y)  # noqa: B023
+                if x != y:
+                    known[max(x, y)] = min(x, y)  # noqa: B023
+                    links.append((x, y))  # noqa: B023
+
+            for guest, _, root, h in (r[2:] for r in run):
+                if not guest:  # these come first
                     names.append(root)
                     sets.append(h)
                     continue
                 block = block or (_Block(sets) if sets else None)
                 for k in block.similar(h, similarity).tolist() if block else ():
-                    a, b = _root(known, root), _root(known, names[k])
-                    if a != b:
-                        known[max(a, b)] = min(a, b)
-                        links.append((a, b))
+                    link(root, names[k])
+            if len(set(names)) > 1:
+                for i, r in enumerate(groups_within(sets, similarity)):
+                    link(names[i], names[r])
             if links:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
-    order = ["family", "block", "guest", "sid"]
-    return members.repartition("family", "block").sortWithinPartitions(*order).select(*order, "root", "h").mapInArrow(work, "a long, b long")
+    order = ["place", "part", "guest", "sid"]
+    return members.repartition("place", "part").sortWithinPartitions(*order).select(*order, "root", "h").mapInArrow(work, "a long, b long")
 
 
 def _root(known: dict[int, int], v: int) -> int:
@@ -215,18 +225,55 @@ def _shingle_sets(ends: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return written(body.select("family", "block", "sid", _sets(words)("text").alias("h")).dropDuplicates(["family", "block", "sid"]), "sets")
 
 
+def _prefixes(large: DataFrame, similarity: float) -> DataFrame:
+    """(place, sid, c): the rarest shingles of each set of ``large`` (family, sid, root, h) that other sets of its family hold too.
+
+    Of two sets at ``similarity`` each has one of its n - ceil(similarity n) + 1 first shingles, in any one order of all, in common with those of the
+    other. In the order of how many sets hold them (c) the shingles that all texts of a template share come last, and a text's own are held by no other set.
+    """
+    rows = large.select("family", "sid", F.size("h").alias("n"), F.explode("h").alias("s"))
+    counts = rows.groupBy("family", "s").agg(F.count("*").alias("c"))
+    order = F.array_sort(F.collect_list(F.struct("c", "s")))
+    first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1)
+    ranked = rows.join(counts, ["family", "s"]).groupBy("family", "sid", "n").agg(order.alias("o"))
+    held = ranked.select("family", "sid", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x"))
+    return written(held.select(F.xxhash64("family", "x.s").alias("place"), "sid", F.col("x.c").alias("c")), "prefixes")
+
+
+def _several(at: DataFrame) -> DataFrame:
+    """(place, most, parts) of the places of ``at`` (place, sid, root, n) where sets of several groups meet: the group with most sets, and over how many parts the others' sets are held."""
+    each = at.groupBy("place", "root").agg(F.count("*").alias("k"), F.sum(F.col("n") + NODE).alias("w"))
+    place = each.groupBy("place").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("most"), F.sum("w").alias("w"), F.max(F.struct("k", "root", "w")).alias("m"))
+    return place.where("roots > 1").select("place", "most", F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("m.w")) / BLOCK)).cast("int").alias("parts"))
+
+
 def _groups(members: DataFrame, cut: DataFrame, similarity: float) -> DataFrame:
-    """(sid, group) of ``members`` (family, block, sid, h); ``cut``: (family, blocks) of the families that have several."""
+    """(sid, group) of ``members`` (family, block, sid, h); ``cut``: (family, blocks) of the families that have several.
+
+    Sets of several blocks meet where they share a rare shingle: first each set at one place, which joins most groups, then, at the places where
+    groups are still apart, all sets of the smaller ones and, as guests, those of the largest.
+    """
     inside = written(_inside(members, similarity), "inside")
     if not cut.head(1):
         return inside.withColumnRenamed("root", "group")
-    parts = members.join(cut, "family").join(inside, "sid")
-    sizes = parts.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    parts = parts.join(sizes, "family")
-    away = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("root") != F.col("largest")) & (o != F.col("block")))
-    places = F.concat(F.array(F.struct(F.col("block").alias("to"), F.lit(False).alias("guest"))), F.transform(away, lambda o: F.struct(o.alias("to"), F.lit(True).alias("guest"))))
-    met = parts.select("family", "sid", "root", "h", F.explode(places).alias("p")).select("family", F.col("p.to").alias("block"), "p.guest", "sid", "root", "h")
-    joined = connected_components(_between(met, similarity)).withColumnsRenamed({"root": "group", "node": "root"})
+    large = written(members.join(cut.select("family"), "family").join(inside, "sid").select("family", "sid", "root", "h"), "large")
+    prefixes = _prefixes(large, similarity)
+    held = large.select("sid", "root", F.size("h").alias("n"))
+    part = lambda of: F.pmod(F.xxhash64("sid", F.lit(1)), of).cast("int")  # noqa: E731  not the hash of blocks: parts mix them
+
+    at = prefixes.join(held, "sid")
+    one = at.join(_several(at).select("place"), "place").groupBy("sid").agg(F.min(F.struct("c", "place")).alias("m")).select("sid", F.col("m.place").alias("place"))
+    weights = one.join(held, "sid").groupBy("place").agg(F.ceil(F.sum(F.col("n") + NODE) / BLOCK).cast("int").alias("parts"))
+    met = one.join(weights, "place").join(large, "sid").select("place", part(F.col("parts")).alias("part"), F.lit(False).alias("guest"), "sid", "root", "h")
+    links = written(_meetings(met, similarity), "links")
+    roots = written(connected_components(links).withColumnRenamed("node", "old"), "roots")
+    renamed = lambda df: df.withColumnRenamed("root", "old").join(roots, "old", "left").withColumn("root", F.coalesce("root", "old")).drop("old")
+
+    at = renamed(prefixes.join(held, "sid"))
+    apart = at.join(_several(at), "place").select("place", "sid", "parts", (F.col("root") == F.col("most")).alias("big"))
+    to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(o.alias("part"), (F.col("big") | (o != part(F.col("parts")))).alias("guest")))
+    met = apart.select("place", "sid", F.explode(to).alias("t")).join(renamed(large), "sid").select("place", "t.part", "t.guest", "sid", "root", "h")
+    joined = connected_components(links.union(_meetings(met, similarity))).withColumnsRenamed({"root": "group", "node": "root"})
     return inside.join(joined, "root", "left").select("sid", F.coalesce("group", "root").alias("group"))
 
 
@@ -257,12 +304,16 @@ def near_copies(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``df`` with one row of each group of ``near_copies``: that with the smallest (doc_id, row_key), null ids last; repeats of that row go too."""
+    """``df`` with one row of each group of ``near_copies``: that with the smallest (doc_id, row_key), null ids last; repeats of that row go too.
+
+    All columns stay, whatever their names, and no others come.
+    """
     mine = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
     kept = near_copies(df, text, doc_id, words, similarity).groupBy("group").agg(F.min(mine).alias("m"))
-    kept = kept.select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row_key").alias("__kept_key"))
-    rows = df.withColumn("__row_key", F.xxhash64(doc_id, text))
+    own, kept_id, kept_key = (spare_name(df, n) for n in ("row_key", "kept_id", "kept_key"))
+    kept = kept.select(F.col("m.doc_id").alias(kept_id), F.col("m.row_key").alias(kept_key))
+    rows = df.withColumn(own, F.xxhash64(doc_id, text))
     # Joined on the hash, which covers the id, so that dropping repeats needs no second exchange of the texts.
-    same = F.coalesce(F.col(f"`{doc_id}`") == F.col("__kept_id"), F.col(f"`{doc_id}`").isNull() & F.col("__kept_id").isNull())
-    out = rows.join(kept, (F.col("__row_key") == F.col("__kept_key")) & same, "left_semi")
-    return out.dropDuplicates([doc_id, "__row_key"]).drop("__row_key")
+    same = F.coalesce(F.col(f"`{doc_id}`") == F.col(kept_id), F.col(f"`{doc_id}`").isNull() & F.col(kept_id).isNull())
+    out = rows.join(kept, (F.col(own) == F.col(kept_key)) & same, "left_semi")
+    return out.dropDuplicates([doc_id, own]).drop(own)
