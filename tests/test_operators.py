@@ -274,3 +274,32 @@ def test_grouped_tables_are_lines(spark, tmp_path):
     assert got == {(f, c): (m, s, float(n)) for f, c, m, s, n in rows}
     with pytest.raises(FileNotFoundError):
         readers.read_grouped_csv(spark, str(tmp_path / "t"), "cell")
+
+
+def test_the_certificate_tells_solutions_apart(spark):
+    """What the solver returns passes, and a trace with a spike moved, a baseline off or a lesser penalty does not."""
+    rng = np.random.default_rng(6)
+    c = np.zeros(200)
+    for t in range(1, 200):
+        c[t] = 0.9 * c[t - 1] + (rng.random() < 0.06) * 2
+    y = c + 0.3 + 0.2 * rng.standard_normal(200)
+    dec, spikes, base, g = deconv.deconvolve_trace(y)
+    powers = (g ** np.arange(201.0)).tolist()
+    loose, low = deconv._settle(y, g, 0.0, base, powers)
+    s0 = np.maximum(np.append(0.0, loose[1:] - g * loose[:-1]), 0.0)
+    less = dec.copy()
+    less[spikes.argmax() :] -= 0.3 * g ** np.arange(200 - spikes.argmax())
+    cases = {"right": (dec, spikes, base), "base": (dec, spikes, base + 0.05), "penalty": (loose, s0, low), "negative": (dec, spikes - 1e-3, base), "moved": (less, spikes, base)}
+    rows = [(k, y.tolist(), a.tolist(), s.tolist(), float(b), float(g)) for k, (a, s, b) in cases.items()] + [("none", None, None, None, None, None), ("short", [1.0, 2.0], [float("nan")] * 2, [float("nan")] * 2, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, trace array<double>, dec array<double>, spikes array<double>, dec_baseline double, dec_g double")
+    got = {r.k: (r.feasible, r.stationary, r.at_noise) for r in deconv.certificate(df).collect()}
+    assert got["right"] == (True, True, True) and got["none"] == got["short"] == (None, None, None)
+    assert not got["base"][1] and got["penalty"][:2] == (True, True) and not got["penalty"][2] and not got["negative"][0] and not got["moved"][0]
+
+
+def test_settings_files(spark, tmp_path):
+    for name, text in {"a": '{"dff_window": 20, "decay constant": 0.5, "led_power_equation": null}', "b": "{broken", "c": '{"neuropil_inner_radius": 2, "other": [1]}'}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "settings.json").write_text(text)
+    got = {r.path.split("/")[-2]: Settings(**{k: v for k, v in r.asDict().items() if k != "path"}) for r in readers.read_all_settings(spark, str(tmp_path)).collect()}
+    assert got == {"a": Settings(dff_window=20, decay_constant=0.5), "b": Settings(), "c": Settings(neuropil_inner_radius=2)}

@@ -174,3 +174,46 @@ def deconvolve(df: DataFrame, trace: str = "dff", seconds: str | None = None, ta
         return pa.StructArray.from_arrays(arrays, [n for n, _ in kinds], mask=traces.is_null())
 
     return df.withColumn("__d", solve(F.col(trace).cast("array<double>"), known)).select(*df.columns, "__d.*")
+
+
+def certificate(df: DataFrame, trace: str = "trace") -> DataFrame:
+    """D3: adds what makes a solution of ``deconvolve`` the right one, from ``dec``, ``spikes``, ``dec_baseline`` and ``dec_g`` alone but for the noise level.
+
+    ``feasible``: no spike is negative and every sample is g times the one before plus its spike. ``stationary``: the residuals, summed back from the
+    end with g, reach their maximum, the penalty, at every spike, and sum to 0 around a baseline above 0. ``at_noise``: the squared residuals come to the
+    noise level, or to less where nothing but the baseline is left, or to more without a penalty. Traces without a solution (NaN, null) get null.
+    """
+
+    @F.arrow_udf("double")
+    def level(traces: pa.Array) -> pa.Array:
+        each = (np.array([math.nan if v is None else v for v in t.as_py() or []], float) for t in traces)
+        return pa.array([noise_sd(y) ** 2 * len(y) if len(y) >= 4 and np.isfinite(y).all() else None for y in each], pa.float64())
+
+    found = df.withColumn("__goal", level(F.col(trace).cast("array<double>")))
+    rows = F.arrays_zip(F.col(trace).alias("y"), F.col("dec").alias("c"), F.col("spikes").alias("s"))
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("size"))
+    g, b = F.col("dec_g"), F.col("dec_baseline")
+
+    def back(acc: Column, x: Column) -> Column:
+        r = x["y"] - b - x["c"]
+        w = r + g * acc["w"]
+        return F.struct(
+            w.alias("w"), (acc["gap"] + r * r).alias("gap"), (acc["sum"] + r).alias("sum"), F.greatest(acc["top"], w).alias("top"),
+            F.when(x["s"] > 1e-7, F.least(acc["low"], w)).otherwise(acc["low"]).alias("low"), (acc["size"] + F.abs(r)).alias("size"),
+        )
+
+    fold = F.aggregate(F.reverse(rows), start, back)
+    ahead = F.zip_with(F.slice("dec", F.lit(2), F.size("dec") - 1), F.slice("dec", F.lit(1), F.size("dec") - 1), lambda c, before: c - g * before)
+    misses = F.array_max(F.zip_with(ahead, F.slice("spikes", F.lit(2), F.size("spikes") - 1), lambda a, s: F.abs(a - s)))
+    found = found.withColumns({"__f": fold, "__miss": misses, "__least": F.array_min("spikes")})
+    size, solved = F.greatest(F.col("__f.size"), F.lit(1e-9)), F.col("__goal").isNotNull()
+    penalty = F.coalesce(F.col("__f.low"), F.col("__f.top"))
+    near = lambda v: F.abs(v) <= 1e-6 * size
+    feasible = (F.col("__least") >= 0) & (F.coalesce("__miss", F.lit(0.0)) <= 1e-9 * (1 + size))
+    stationary = near(F.col("__f.top") - penalty) & ((F.col("dec_baseline") <= 1e-12) | near(F.col("__f.sum")))
+    slack = F.col("__goal") - F.col("__f.gap")
+    flat = F.col("__f.low").isNull() & (F.array_max("dec") <= 1e-9)
+    goal = F.col("__goal")
+    at_noise = (F.abs(slack) <= 1e-4 * goal) | (flat & (slack > 0)) | (near(penalty) & (slack < 0))
+    flags = {"feasible": feasible, "stationary": stationary, "at_noise": at_noise}
+    return found.withColumns({k: F.when(solved, v) for k, v in flags.items()}).drop("__goal", "__f", "__miss", "__least")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesheaf.config import Settings
 from tracesheaf.functions import exprs
-from tracesheaf.operators import events, evoked, grouped, pairs, pixels, select, stats, traces
+from tracesheaf.operators import blocks, deconv, events, evoked, grouped, pairs, pixels, select, stats, traces
+from tracesheaf.plans import analysis
 from tracesheaf.plans.view_queries import SETTINGS, by_condition, records
 from tracesheaf.sources import adapters as A
 from tracesheaf.sources import readers, sinks
@@ -261,3 +263,40 @@ def global_heights(spark, sf_dir):
 
     found = events.detect_peaks(a, "trace", replace(SETTINGS, peaks_height_mode="global_height", peaks_height_value=60.0))
     return events.raster(found)
+
+
+@query
+def settings_files(spark, sf_dir):
+    """A settings file for each nation, made of its suppliers' number and names, under both spellings of a key, read back with defaults."""
+    s = A.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("int").alias("n"), F.min("s_name").alias("name"))
+    odd = F.col("s_nationkey") % 2 == 1
+    given = F.struct(F.col("n").alias("dff_window"), (F.col("n") / 8).alias("decay constant"), F.when(odd, F.col("n") * 2.5).alias("peaks_height_value"), F.when(odd, "global_height").alias("peaks_height_mode"), F.when(~odd, F.col("name")).alias("led_power_equation"))
+    path = scratch_path(spark, "settings")
+    s.select("s_nationkey", F.to_json(given).alias("value")).write.partitionBy("s_nationkey").text(path)
+    read = readers.read_all_settings(spark, path)
+    return read.withColumn("s_nationkey", F.regexp_extract("path", r"/s_nationkey=(\d+)/", 1).cast("long")).drop("path")
+
+
+@query
+def analysed_records(spark, sf_dir):
+    """The whole analysis from images to records, with rings and plate; the fields that SQL can express, and the number of deconvolved samples."""
+    px = A.pixels(spark, sf_dir)
+    p = F.col("p").cast("string")
+    meta = px.select("dataset", "p", "t").distinct().select("*", F.concat(F.lit("B"), p, F.lit("_0000")).alias("pos_name"), F.lit(50.0).alias("exposure_ms"), (F.col("t") * 100.0).alias("runner_time_ms"), F.lit(2.0).alias("pixel_size_um"))
+    plate = px.select("p").distinct().select(F.concat(F.lit("B"), p).alias("well"), F.concat(F.lit("c"), (F.col("p") % 3).cast("string")).alias("condition_1"), F.when(F.col("p") % 2 == 0, "t1").alias("condition_2"))
+    area = A.labels(spark, sf_dir).where("(y - 14) * (y - 14) + (x - 12) * (x - 12) < 90").select("y", "x").distinct()
+    settings = Settings(neuropil_inner_radius=1, neuropil_min_pixels=20, neuropil_correction_factor=0.5)
+    recs = analysis.analyse(blocks.to_blocks(px), A.labels(spark, sf_dir), meta, settings, plate, 32, 32, area)
+    total = lambda c: F.aggregate(F.filter(c, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
+    return recs.select(
+        "fov", "roi", "condition", F.size("raw_trace").alias("frames"), F.size("dec_dff").alias("deconvolved"), total("raw_trace").alias("raw"), total("neuropil_trace").alias("neuropil"),
+        total("corrected_trace").alias("corrected"), total("dff").alias("dff"), "cell_size", "cell_size_units", "total_recording_time_sec", "stimulated", F.size("mask_coord_and_shape.ys").alias("pixels"),
+        F.size("neuropil_mask_coord_and_shape.ys").alias("ring_pixels"), "neuropil_correction_factor", "calcium_network_threshold",
+    )
+
+
+@query
+def deconvolve_certificate(spark, sf_dir):
+    """D3: the conditions that a solution must meet, of every trace; the SQL says that all of them hold."""
+    solved = deconv.deconvolve(traces.to_arrays(traces.delta_f(A.traces(spark, sf_dir)), "dff"), "trace")
+    return deconv.certificate(solved).select("fov", "roi", F.size("dec").alias("n"), "feasible", "stationary", "at_noise")

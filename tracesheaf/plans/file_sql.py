@@ -23,12 +23,36 @@ _SYNC = {
 _TRACES = {"raw_data": "value * 5", "neuropil_corrected_data": "value - 0.5::DOUBLE * (value * 0.25::DOUBLE)", "dff_data": "value * 2", "dec_dff_data": "value * 3", "inferred_spikes_raw_data": "value", "inferred_spikes_thresholded_data": "spike"}
 _NAMES = ["B{k}_0000_p{k}.json", "B{k}_x.json", "B{k}_00x0_p1.json", "B{k}_0000_p.json", "B-{k}_0000_p1.json", ".B{k}_0000_p1.json", "genotype_plate_map.json", "plate_plan.json", "settings.json", "B{k}.json", "B{k}_0000_p{k}.csv", "a_b_c_{k}.json"]
 
+_SETTINGS = {
+    "dff_window": "n::INTEGER", "decay_constant": "n / 8", "peaks_height_value": "CASE WHEN s_nationkey % 2 = 1 THEN n * 2.5::DOUBLE ELSE 3.0::DOUBLE END", "peaks_height_mode": "CASE WHEN s_nationkey % 2 = 1 THEN 'global_height' ELSE 'multiplier' END",
+    "peaks_distance": "2", "peaks_prominence_multiplier": "1.0::DOUBLE", "calcium_sync_jitter_window": "2", "calcium_network_threshold": "90.0::DOUBLE", "spike_threshold_value": "1.0::DOUBLE", "spike_threshold_mode": "'multiplier'",
+    "burst_threshold": "30.0::DOUBLE", "burst_min_duration": "3", "burst_gaussian_sigma": "2.0::DOUBLE", "spikes_sync_cross_corr_lag": "5", "neuropil_inner_radius": "0", "neuropil_min_pixels": "0", "neuropil_correction_factor": "0.0::DOUBLE",
+    "led_power_equation": "CASE WHEN s_nationkey % 2 = 0 THEN name ELSE '' END",
+}
+
 CTE = {
+    # The analysis: eroded cells, rings, their traces, correction and baseline.
+    "zc": "SELECT a.p, a.label, a.y, a.x FROM lab a JOIN lab b ON b.p = a.p AND b.label = a.label AND abs(b.y - a.y) + abs(b.x - a.x) = 1 GROUP BY ALL HAVING count(*) = 4",
+    "zr": "SELECT p, label, y, x FROM rng JOIN (SELECT p, label, min(k) AS need FROM (SELECT p, label, k, sum(count(*)) OVER (PARTITION BY p, label ORDER BY k) AS c FROM rng GROUP BY p, label, k) WHERE c >= 20 GROUP BY ALL) USING (p, label) WHERE k <= need",
+    "zt": "SELECT p, label, t, avg(value) AS raw FROM pix JOIN zc USING (p, y, x) GROUP BY ALL",
+    "zn": "SELECT p, label, t, avg(value) AS around FROM pix JOIN zr USING (p, y, x) GROUP BY ALL",
+    "zk": "SELECT zt.p, zt.label, zt.t, raw, around, raw - 0.5::DOUBLE * coalesce(around, 0) AS corrected FROM zt LEFT JOIN zn ON zn.p = zt.p AND zn.label = zt.label AND zn.t = zt.t",
+    "zb": "SELECT *, quantile_cont(corrected, 0.1) OVER (PARTITION BY p, label ORDER BY t ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS b FROM zk",
+    "zs": "SELECT zc.p, zc.label, count(s.y) / count(*)::DOUBLE AS overlap FROM zc LEFT JOIN spx s ON s.y = zc.y AND s.x = zc.x GROUP BY ALL",
     "hnb": "SELECT fov, roi, CAST(floor((s + e) / 2) AS BIGINT) AS frame, v AS amplitude FROM nb WHERE v > pv AND v > nv AND v >= 60",
     "hbo": "SELECT c.fov, c.roi, c.frame, c.amplitude, coalesce(max(CASE WHEN t.frame < c.frame AND t.value > c.amplitude THEN t.frame END), -1) AS lb, coalesce(min(CASE WHEN t.frame > c.frame AND t.value > c.amplitude THEN t.frame END), 1000000000) AS rb FROM hnb c JOIN tr t USING (roi) GROUP BY ALL",
 }
 
 BODY = {
+    "settings_files": "SELECT s_nationkey, " + ", ".join(f"{v} AS {k}" for k, v in _SETTINGS.items()) + " FROM (SELECT s_nationkey, count(*) AS n, min(s_name) AS name FROM supplier GROUP BY s_nationkey)",
+    "analysed_records": """
+SELECT 'B' || z.p || '_0000_p' || z.p AS fov, z.label AS roi, CASE WHEN z.p % 2 = 0 THEN 'c' || (z.p % 3) || '_t1' ELSE 'c' || (z.p % 3) END AS condition, count(*) AS frames, count(*) AS deconvolved, round(sum(raw), 6) AS raw,
+  round(sum(around), 6) AS neuropil, round(sum(corrected), 6) AS corrected, round(coalesce(sum((corrected - b) / nullif(b, 0)), 0), 6) AS dff, round(any_value(n) * 4.0::DOUBLE, 6) AS cell_size, 'µm' AS cell_size_units,
+  any_value(seconds) AS total_recording_time_sec, any_value(overlap) > 0.1 AS stimulated, any_value(n) AS pixels, any_value(m) AS ring_pixels, 0.5::DOUBLE AS neuropil_correction_factor, 90.0::DOUBLE AS calcium_network_threshold
+FROM zb z JOIN (SELECT p, label, count(*) AS n FROM zc GROUP BY ALL) c ON c.p = z.p AND c.label = z.label LEFT JOIN (SELECT p, label, count(*) AS m FROM zr GROUP BY ALL) r ON r.p = z.p AND r.label = z.label
+JOIN (SELECT p, (max(t) - min(t)) / 10 AS seconds FROM pix GROUP BY p) f ON f.p = z.p JOIN zs ON zs.p = z.p AND zs.label = z.label
+WHERE n * 4 >= 10 GROUP BY z.p, z.label""",
+    "deconvolve_certificate": "SELECT fov, roi, count(*) AS n, true AS feasible, true AS stationary, true AS at_noise FROM tr GROUP BY fov, roi HAVING count(*) >= 4 UNION ALL SELECT fov, roi, count(*), NULL, NULL, NULL FROM tr GROUP BY fov, roi HAVING count(*) < 4",
     "frame_metadata": f"SELECT 'p' || (user_id % 10) AS key, event_id, {_K} AS k, user_id % 10 AS p FROM events",
     "raw_metadata": f"SELECT event_id, {_K} AS k FROM events",
     "stage_positions": "SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p, s_name AS name, (s_suppkey % 7)::DOUBLE AS x, (s_suppkey % 5)::DOUBLE AS y, 1.5::DOUBLE AS z FROM supplier",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import json
 from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,12 +111,22 @@ def parse_plate_records(text: DataFrame, column: str = "value") -> DataFrame:
     return r.select(F.col("r.name").alias("well"), F.col("r.row").alias("row"), F.col("r.column").alias("col"), F.col("r.condition")[0].alias("condition"), F.col("r.condition")[1].alias("color"))
 
 
+def read_all_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, settings) of every settings JSON under ``path``, one column for each setting; what a file lacks, or holds as null, has its default.
+
+    Keys may be written with spaces for underscores. A file that does not parse has the defaults throughout.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = text.withColumn("m", F.transform_keys(F.from_json("value", "map<string,string>"), lambda k, _: F.replace(k, F.lit(" "), F.lit("_"))))
+    kinds = {int: "int", float: "double", str: "string"}
+    given = lambda f: F.try_element_at("m", F.lit(f.name)).try_cast(kinds[type(f.default)])
+    return found.select("path", *[F.coalesce(given(f), F.lit(f.default)).alias(f.name) for f in fields(Settings)])
+
+
 def read_settings(spark: SparkSession, path: str) -> Settings:
-    """Settings JSON with a default for each key; one key is written with a space."""
-    rows = spark.read.text(path, wholetext=True).limit(1).collect()
-    found = {k.replace(" ", "_"): v for k, v in (json.loads(rows[0][0]) if rows else {}).items()}
-    found = {"led_power_equation": found.pop("led_power_equation", None) or ""} | found
-    return Settings(**{f.name: found[f.name] for f in fields(Settings) if found.get(f.name) is not None})
+    """The settings of one file; without a file the defaults."""
+    row = read_all_settings(spark, path).drop("path").first()
+    return Settings(**row.asDict()) if row else Settings()
 
 
 def dataset_of(path: Column) -> Column:
