@@ -190,3 +190,19 @@ def test_matrix_in_leaf_order(spark):
     order = {r.step: r.roi for r in tree.where("kind = 'leaf'").collect()}
     got = {(r.row, r.col): r.value for r in cluster.reordered(edges, tree).collect()}
     assert got == {(i, j): 1.0 if i == j else d[min(order[i], order[j]), max(order[i], order[j])] for i in range(4) for j in range(4)}
+
+
+def test_linkage_by_rounds(spark, monkeypatch):
+    """Fields with ties, without, with pairs missing, and of two regions: the rows of the search in one task."""
+    rng = random.Random(8)
+    rows = []
+    for fov, (n, levels, share) in enumerate([(13, 4, 1.0), (17, 1000, 1.0), (14, 3, 0.6), (2, 5, 1.0), (11, 2, 0.3)]):
+        rows += [(fov, 10 * i, 10 * j, rng.randint(0, levels) / levels * rng.choice([1, -1])) for i in range(n) for j in range(i + 1, n) if rng.random() < share or j == i + 1]
+    edges = spark.createDataFrame(rows, "fov int, roi_i long, roi_j long, value double")
+    want = sorted(map(str, cluster.cluster(edges).collect()))
+    monkeypatch.setattr(cluster, "MATRIX_REGIONS", 13)
+    mixed = sorted(map(str, cluster.cluster(edges).collect()))
+    assert mixed == want
+    monkeypatch.setattr(cluster, "MATRIX_REGIONS", 0)
+    assert sorted(map(str, cluster.cluster(edges).collect())) == want
+    assert cluster.cluster(edges.limit(0)).count() == 0

@@ -1,13 +1,25 @@
-"""Complete-linkage clustering of the regions of a field, one group for each field."""
+"""Complete-linkage clustering of the regions of a field.
+
+A field's square of distances fits in one task up to MATRIX_REGIONS regions. The edges of larger fields stay a table: in each round all pairs that are
+each other's nearest merge at once, and an aggregation takes the greater distance to what is left. Complete linkage never brings clusters
+nearer, so these are the merges of a search that takes one pair at a time, and their order is found from the merges alone.
+"""
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesheaf.operators.pairs import matrix, mirrored
+from tracesheaf.sources.scratch import saved
+
+#: Regions of a field whose square of distances one task holds (8 bytes each).
+MATRIX_REGIONS = 4096
 
 
 def complete_linkage(d: np.ndarray) -> list[tuple[int, int, float, int]]:
@@ -50,26 +62,125 @@ def leaf_order(merges: list[tuple[int, int, float, int]], n: int) -> list[int]:
     return out
 
 
+def numbered(n: int, merges: list[tuple[int, int, float, int]]) -> tuple[dict[int, int], list[tuple[int, int, float, int]]]:
+    """Numbers of clusters as a search gives them that takes the nearest pair each time, and the merges in that order, named by numbers.
+
+    ``merges``: (one, other, distance, name of the new cluster), names below ``n`` being leaves. Number n + step goes to the cluster of a step.
+    """
+    number = {i: i for i in range(n)}
+    parent = {c: m for m in merges for c in m[:2]}
+    ready = [(d, *sorted((a, b)), name) for a, b, d, name in merges if a < n and b < n]
+    heapify(ready)
+    out = []
+    while ready:
+        d, left, right, name = heappop(ready)
+        number[name] = n + len(out)
+        out.append((left, right, d, name))
+        m = parent.get(name)
+        if m and m[0] in number and m[1] in number:
+            heappush(ready, (m[2], *sorted((number[m[0]], number[m[1]])), m[3]))
+    return number, out
+
+
+def _rounds(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leaves, and (fov, one, other, d, name, n): the merges of every field below distance 1, from ``edges`` (fov, roi_i, roi_j, d) that hold all pairs below 1.
+
+    A cluster is named by the round that made it and its least leaf. Where clusters are equally near, the order of their numbers decides, which is
+    found anew from the merges so far: a task holds a field's merges, not its pairs.
+    """
+    ends = edges.select("fov", F.col("roi_i").alias("roi")).union(edges.select("fov", F.col("roi_j").alias("roi"))).distinct()
+    w = Window.partitionBy("fov")
+    leaves = saved(ends.select("fov", "roi", (F.row_number().over(w.orderBy("roi")) - 1).cast("long").alias("leaf"), F.count("*").over(w).alias("n")), "leaves")
+    side = lambda k: leaves.select("fov", F.col("roi").alias(f"roi_{k}"), F.col("leaf").alias(k), F.col("leaf").alias(f"{k}_at"))
+    pairs = saved(edges.where("d < 1").join(side("i"), ["fov", "roi_i"]).join(side("j"), ["fov", "roi_j"]).select("fov", "i", "j", "i_at", "j_at", "d"), "pairs")
+    fov_type = dict(edges.dtypes)["fov"]
+    found, turn = None, 0
+    live = saved(leaves.select("fov", F.col("leaf").alias("name"), F.col("leaf").alias("least"), "n"), "live")
+
+    def order(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        number, _ = numbered(int(pdf["n"].iloc[0]), list(pdf[["one", "other", "d", "name"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"fov": key[0], "name": pdf["name"], "at": pdf["name"].map(number)})
+
+    while not pairs.isEmpty():
+        turn += 1
+        near = F.struct("d", F.least("i_at", "j_at").alias("a"), F.greatest("i_at", "j_at").alias("b"), "i", "j")
+        both = pairs.select("fov", F.explode(F.array("i", "j")).alias("c"), near.alias("p"))
+        first = both.groupBy("fov", "c").agg(F.min("p").alias("p")).groupBy("fov", "p").agg(F.count("*").alias("k")).where("k = 2")
+        least = [live.select("fov", F.col("name").alias(c), F.col("least").alias(f"{c}_least"), *(["n"] if c == "i" else [])) for c in "ij"]
+        made = first.select("fov", "p.i", "p.j", "p.d").join(least[0], ["fov", "i"]).join(least[1], ["fov", "j"])
+        low = F.least("i_least", "j_least")
+        made = made.select("fov", F.col("i").alias("one"), F.col("j").alias("other"), "d", (F.col("n") * turn + low).alias("name"), "n", low.alias("least"))
+        made = saved(made, "made")
+        found = made.drop("least") if found is None else saved(found.unionByName(made.drop("least")), "merges")
+        numbers = found.groupBy("fov").applyInPandas(order, f"fov {fov_type}, name long, at long")
+        into = made.select("fov", F.explode(F.array("one", "other")).alias("old"), "name", "least")
+        moved = live.join(into.select("fov", F.col("old").alias("name"), F.col("name").alias("to"), F.col("least").alias("low")), ["fov", "name"], "left")
+        moved = moved.select("fov", F.col("name").alias("old"), F.coalesce("to", "name").alias("name"), F.coalesce("low", "least").alias("least"), "n", F.when(F.col("to").isNull(), 1).otherwise(2).alias("parts"))
+        moved = saved(moved.join(numbers, ["fov", "name"], "left").withColumn("at", F.coalesce("at", "name")), "moved")
+        live = moved.select("fov", "name", "least", "n").distinct()
+        now = [moved.select("fov", F.col("old").alias(c), F.col("name").alias(f"{c}2"), F.col("at").alias(f"{c}3"), F.col("parts").alias(f"{c}4")) for c in "ij"]
+        step = pairs.select("fov", "i", "j", "d").join(now[0], ["fov", "i"]).join(now[1], ["fov", "j"]).where("i2 <> j2")
+        flip = F.col("i2") > F.col("j2")
+        ordered = [F.when(flip, F.col(f"{b}{k}")).otherwise(F.col(f"{a}{k}")).alias(name) for a, b, k, name in (("i", "j", 2, "i"), ("j", "i", 2, "j"), ("i", "j", 3, "i_at"), ("j", "i", 3, "j_at"))]
+        left = step.select("fov", *ordered, (F.col("i4") * F.col("j4")).alias("parts"), "d").groupBy("fov", "i", "j", "i_at", "j_at", "parts")
+        pairs = saved(left.agg(F.max("d").alias("d"), F.count("*").alias("k")).where("k = parts").select("fov", "i", "j", "i_at", "j_at", "d"), "pairs")
+    empty = edges.sparkSession.createDataFrame([], f"fov {fov_type}, one long, other long, d double, name long, n long")
+    return leaves.select("fov", "roi", "leaf", "n"), (empty if found is None else found)
+
+
+def _tree(ids: list, merges: list[tuple[int, int, float, int]], fov) -> pd.DataFrame:
+    """The rows of a field: its leaves in order, then its merges (left, right, distance, size)."""
+    rows = [(fov, "leaf", i, int(ids[k]), None, None, None, None) for i, k in enumerate(leaf_order(merges, len(ids)))]
+    rows += [(fov, "merge", i, None, *m) for i, m in enumerate(merges)]
+    frame = pd.DataFrame(rows, columns=["fov", "kind", "step", "roi", "left_id", "right_id", "distance", "size"])
+    return frame.astype({c: "Int64" for c in ("roi", "left_id", "right_id", "size")})
+
+
+def _large(edges: DataFrame, schema: str) -> DataFrame:
+    leaves, merges = _rounds(edges)
+
+    def finish(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        ids, n = own.sort_values("leaf")["roi"].tolist(), len(own)
+        _, steps = numbered(n, list(found[["one", "other", "d", "name"]].itertuples(index=False, name=None)))
+        sizes, out = [1] * n, []
+        for left, right, d, _ in steps:
+            sizes.append(sizes[left] + sizes[right])
+            out.append((left, right, d, sizes[-1]))
+        apart = deque(sorted(set(range(len(sizes))) - {c for m in out for c in m[:2]}))  # what is left is at distance 1 throughout
+        while len(apart) > 1:
+            left, right = apart.popleft(), apart.popleft()
+            sizes.append(sizes[left] + sizes[right])
+            out.append((left, right, 1.0, sizes[-1]))
+            apart.append(len(sizes) - 1)
+        return _tree(ids, out, key[0])
+
+    return leaves.groupBy("fov").cogroup(merges.groupBy("fov")).applyInPandas(finish, schema)
+
+
 def cluster(edges: DataFrame) -> DataFrame:
-    """Rows of two kinds for each field, from edges (fov, roi_i, roi_j, value) with distance 1 - |value| at 8 decimals.
+    """Rows of two kinds for each field, from edges (fov, roi_i, roi_j, value) with distance 1 - |value| at 8 decimals, 1 where there is no edge.
 
-    kind ``leaf``: position and region in leaf order; kind ``merge``: step, both cluster numbers, distance, size. The regions of one field
-    fit in a task by their nature (cells of one image); fields run in parallel.
+    kind ``leaf``: position and region in leaf order; kind ``merge``: step, both cluster numbers, distance, size. Fields of up to MATRIX_REGIONS regions are
+    clustered in a task each, larger ones in rounds over their edges; both give the same rows.
     """
     fov_type = dict(edges.dtypes)["fov"]
     schema = f"fov {fov_type}, kind string, step long, roi long, left_id long, right_id long, distance double, size long"
+    edges = saved(edges.select("fov", "roi_i", "roi_j", F.round(1 - F.abs(F.col("value").cast("double")), 8).alias("d")), "distances")
+    # A field of n regions has at most n (n - 1) / 2 edges.
+    per = edges.groupBy("fov").agg((F.count("*") > MATRIX_REGIONS * (MATRIX_REGIONS - 1) // 2).alias("large"))
+    per = saved(per, "fields")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf["roi_i"])
         d = np.ones((len(ids), len(ids)))
-        d[np.searchsorted(ids, pdf["roi_i"]), np.searchsorted(ids, pdf["roi_j"])] = np.round(1 - np.abs(pdf["value"]), 8)
-        merges = complete_linkage(d)
-        rows = [(key[0], "leaf", i, int(ids[k]), None, None, None, None) for i, k in enumerate(leaf_order(merges, len(ids)))]
-        rows += [(key[0], "merge", i, None, *m) for i, m in enumerate(merges)]
-        frame = pd.DataFrame(rows, columns=["fov", "kind", "step", "roi", "left_id", "right_id", "distance", "size"])
-        return frame.astype({c: "Int64" for c in ("roi", "left_id", "right_id", "size")})
-
-    return mirrored(edges.select("fov", "roi_i", "roi_j", F.col("value").cast("double"))).groupBy("fov").applyInPandas(run, schema)
+        d[np.searchsorted(ids, pdf["roi_i"]), np.searchsorted(ids, pdf["roi_j"])] = pdf["d"]
+        return _tree(ids, complete_linkage(d), key[0])
+
+    small = edges.join(per.where("not large"), "fov", "left_semi")
+    found = mirrored(small.withColumnRenamed("d", "value")).withColumnRenamed("value", "d").groupBy("fov").applyInPandas(run, schema)
+    if per.where("large").isEmpty():
+        return found
+    return found.union(_large(edges.join(per.where("large"), "fov", "left_semi"), schema))
 
 
 def reordered(edges: DataFrame, leaves: DataFrame) -> DataFrame:
