@@ -303,3 +303,24 @@ def test_settings_files(spark, tmp_path):
         (tmp_path / name / "settings.json").write_text(text)
     got = {r.path.split("/")[-2]: Settings(**{k: v for k, v in r.asDict().items() if k != "path"}) for r in readers.read_all_settings(spark, str(tmp_path)).collect()}
     assert got == {"a": Settings(dff_window=20, decay_constant=0.5), "b": Settings(), "c": Settings(neuropil_inner_radius=2)}
+
+
+def test_results_by_line(spark, tmp_path):
+    """Fields of odd names and many regions there and back, valid JSON in each file, a broken line in one, and files of others beside them."""
+    import json
+
+    rows = [(f, r, [r / 7, None], r % 2 == 0, ([1, 2], [r, r + 1], 9, 9) if r % 3 else None) for f in ("B5_0000_p0", "B6 ü%/_x") for r in range(300)]
+    df = spark.createDataFrame(rows, "fov string, roi int, dff array<double>, active boolean, mask_coord_and_shape struct<ys:array<int>,xs:array<int>,h:int,w:int>").repartition(7)
+    path = tmp_path / "r"
+    sinks.write_results(df, str(path))
+    files = list(path.glob("fov=*/*.txt"))
+    assert len(files) == 2 and all(list(map(int, json.loads(f.read_text()))) == list(range(300)) for f in files)
+    (path / "B7_1.json").write_text('{"4": {"dff": [2.5], "other": 1}, "all": {"x": 1}}')
+    (path / "B8_1.json").write_text('{"4"')
+    (path / "fov=B9_1").mkdir()
+    (path / "fov=B9_1" / "part-0.txt").write_text('{\n"1":{"dff":[1.0]}\n,"2":{"dff":[\n}\n')
+    records, others, corrupt = readers.read_results(spark, str(path))
+    got = {(r.fov, r.roi): (r.dff, r.active, r.mask_coord_and_shape and tuple(r.mask_coord_and_shape)) for r in records.collect()}
+    assert {k: got[k] for k in got if k[0] not in ("B7_1", "B9_1")} == {(f, r): (d, a, m) for f, r, d, a, m in rows}
+    assert got["B7_1", 4][0] == [2.5] and got["B9_1", 1][0] == [1.0] and [tuple(r) for r in others.collect()] == [("B7_1", "all", '{"x":1}')]
+    assert sorted(r.fov for r in corrupt.collect()) == ["B8_1", "B9_1"]

@@ -69,20 +69,23 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     """(records, globals, corrupt) of a folder of one JSON file for each field, or of what ``sinks.write_results`` wrote.
 
     Digit keys are regions, other keys globals; fields that the schema does not name are dropped, missing ones null; masks become structs.
-    Files that do not parse go to ``corrupt`` and do not stop the others.
+    Files of ``write_results`` are read a region a line, so they may be of any length; others are read whole. Files, or regions of the former,
+    that do not parse go to ``corrupt`` and do not stop the others.
     """
-    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True, pathGlobFilter="*.{json,txt}")
-    place = read.select(F.input_file_name().alias("path"), "value")
-    own = F.regexp_extract("path", r"/fov=([^/]+)/part-[^/]*\.txt$", 1)
-    name = F.element_at(F.split("path", "/"), -1)
-    text = place.select(F.when(own != "", F.concat(F.url_decode(own), F.lit(".json"))).otherwise(name).alias("file"), "value", (own != "").alias("own"))
-    text = text.where(F.col("own") | is_result_file(F.col("file"))).withColumn("fov", F.regexp_replace("file", r"\.json$", ""))
-    text = text.withColumn("m", F.from_json("value", "map<string,string>"))
-    corrupt = text.where("m is null and trim(value) <> ''").select("fov", "file")
-    pairs = text.select("fov", F.explode("m").alias("key", "json"))
+    base = spark.read.option("recursiveFileLookup", "true")
+    file = F.col("_metadata.file_path")
+    whole = base.text(path, wholetext=True, pathGlobFilter="*.json").select(F.url_decode(F.element_at(F.split(file, "/"), -1)).alias("file"), "value").where(is_result_file(F.col("file")))
+    whole = whole.withColumn("fov", F.regexp_replace("file", r"\.json$", "")).withColumn("m", F.from_json("value", "map<string,string>"))
+    own = F.url_decode(F.url_decode(F.regexp_extract(file, r"/fov=([^/]+)/part-[^/]*\.txt$", 1)))  # a folder's name is encoded, and its path once more
+    lines = base.text(path, pathGlobFilter="part-*.txt").select(own.alias("fov"), "value").where("fov <> '' and value like '%\":%'")
+    key = F.regexp_extract("value", r'^,?"([^"]*)":', 1)
+    region = lines.select("fov", key.alias("key"), F.expr("substring(value, instr(value, '\":') + 2)").alias("json"))
+    pairs = whole.select("fov", F.explode("m").alias("key", "json")).unionByName(region)
     digits = F.rlike("key", F.lit("^[0-9]+$"))
-    records = pairs.where(digits).select("fov", F.col("key").cast("int").alias("roi"), F.from_json("json", ROI_JSON).alias("r")).select("fov", "roi", "r.*")
-    records = records.withColumns({c: parse_mask(c) for c in MASKS})
+    parsed = pairs.where(digits).select("fov", F.col("key").cast("int").alias("roi"), F.from_json("json", ROI_JSON, {"mode": "PERMISSIVE"}).alias("r"))
+    records = parsed.select("fov", "roi", "r.*").withColumns({c: parse_mask(c) for c in MASKS})
+    broken = region.where(F.from_json("json", "map<string,string>").isNull()).select("fov", F.concat("fov", F.lit(".json")).alias("file")).distinct()
+    corrupt = whole.where("m is null and trim(value) <> ''").select("fov", "file").unionByName(broken)
     return records, pairs.where(~digits).select("fov", "key", "json"), corrupt
 
 

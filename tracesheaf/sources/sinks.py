@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesheaf.config import Settings
@@ -18,27 +18,32 @@ def _mask_parts(mask: str) -> Column:
     return F.when(F.col(mask).isNotNull(), F.array(F.to_json(yx), F.to_json(hw)))
 
 
-def result_json(records: DataFrame) -> DataFrame:
-    """K1: (fov, value), the field's regions as one JSON object keyed by region; masks as ``[[ys], [xs]], [h, w]``."""
+def region_json(records: DataFrame) -> DataFrame:
+    """K1: (fov, roi, value), each region as ``"<roi>":{...}``; masks as ``[[ys], [xs]], [h, w]``."""
     structs = [f.name for f in records.schema if f.name.endswith("mask_coord_and_shape") and f.dataType.typeName() == "struct"]
     fields = [_mask_parts(c).alias(c) if c in structs else F.col(c) for c in records.columns if c not in ("fov", "roi")]
-    entry = F.struct("roi", F.concat(F.lit('"'), F.col("roi").cast("string"), F.lit('":'), F.to_json(F.struct(*fields))).alias("text"))
-    body = F.array_join(F.array_sort(F.collect_list(entry))["text"], ",")
-    text = records.groupBy("fov").agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
-    bare = F.regexp_replace("value", r'"(\[[\[\]0-9,]*\])"', "$1")  # mask parts as arrays, not as texts
-    return text.withColumn("value", bare) if structs else text
+    value = F.concat(F.lit('"'), F.col("roi").cast("string"), F.lit('":'), F.to_json(F.struct(*fields)))
+    bare = F.regexp_replace(value, r'"(\[[\[\]0-9,]*\])"', "$1")  # mask parts as arrays, not as texts
+    return records.select("fov", "roi", (bare if structs else value).alias("value"))
 
 
-def write_results(records: DataFrame, path: str) -> None:
-    """K1: one text file of JSON in a folder for each field, which ``read_results`` reads back."""
-    result_json(records).write.partitionBy("fov").text(path)
+def result_json(records: DataFrame) -> DataFrame:
+    """K1: (fov, value), the field's regions as one JSON object keyed by region; for fields whose text fits a row, others are for ``write_results``."""
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("roi", "value")))["value"], ",")
+    return region_json(records).groupBy("fov").agg(F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
 
 
-def wide_traces(records: DataFrame, trace: str) -> DataFrame:
-    """K2 to K6: rows ``<fov>_<roi>`` with columns t0.., blanks after shorter traces; null traces are left out."""
-    rows = records.where(F.col(trace).isNotNull())
-    n = rows.agg(F.max(F.size(trace))).first()[0] or 0
-    return rows.select(F.concat_ws("_", "fov", "roi").alias("key"), *[F.get(trace, F.lit(i)).alias(f"t{i}") for i in range(n)])
+def write_results(records: DataFrame, path: str) -> None:
+    """K1: one text file of JSON in a folder for each field, which ``read_results`` reads back.
+
+    A file is written line by line, a region a line, so a field may be of any length; a region's record is one row.
+    """
+    each = region_json(records)
+    comma = F.when(F.row_number().over(Window.partitionBy("fov").orderBy("roi")) > 1, F.lit(",")).otherwise(F.lit(""))
+    rows = each.select("fov", F.lit(1).alias("at"), F.col("roi").cast("long").alias("roi"), F.concat(comma, "value").alias("value"))
+    ends = each.select("fov").distinct().select("fov", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(0).cast("long").alias("roi"), F.lit(v).alias("value")) for k, v in ((0, "{"), (2, "}"))])).alias("e")).select("fov", "e.*")
+    lines = rows.unionByName(ends).repartition("fov").sortWithinPartitions("fov", "at", "roi")
+    lines.select("fov", "value").write.partitionBy("fov").option("maxRecordsPerFile", 0).text(path)
 
 
 def csv_cell(value: Column) -> Column:
