@@ -174,6 +174,19 @@ def test_the_edited_text_is_nearer_than_the_next(spark):
     assert all(r.near_edited > r.near_next for r in got if r.doc_id)
 
 
+def test_likeness_follows_from_the_fingerprints(spark):
+    """Both numbers from the returned strings alone, over texts on either side of every level."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(100))[: rng.choice([0, 1, 3, 5, 6, 7, 11, 13, 24, 47, 49, 95, 97, 143, 145, 200, 287, 289, 400])]) for i in range(200)]
+    rows += [(200, "word " * 26), (201, "word " * 40), (202, rows[7][1]), (203, rows[7][1])]
+    got = sorted(syncmers.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), partitions=3).collect(), key=lambda r: -r.doc_id)
+    for r, nxt in zip(got, [*got[1:], got[0]]):
+        assert r.near_edited == syncmers.fingerprint_likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == syncmers.fingerprint_likeness(r.fingerprint, nxt.fingerprint)
+    by = {r.doc_id: r for r in got}
+    assert by[203].near_next == 1 and by[201].near_next > 0.5 and sum(r.near_edited > 0.2 for r in got) > 150
+
+
 def plain_anchors(text, k, s):
     """Closed syncmers of code points, place by place, with the module's own hash of an s-mer."""
     c = [ord(x) for x in text]

@@ -3,9 +3,9 @@
 A k-mer of code points is kept if the smallest hash among its s-mers lies at its first or last place. The choice
 depends on the k-mer alone, so equal passages choose equal anchors wherever they stand. Every passage of 2k - s code points
 holds an anchor. Texts whose half may be shorter than that take the next finer k and s of ``LEVELS``, where one anchor of the
-whole text goes before the others. The fingerprint lists all anchors of the text in order as 32-bit hashes in hex.
-Two texts are compared at the level of the shorter one: their likeness is the share of anchors in the longest chain that stands
-in the same order in both.
+whole text goes before the others. The fingerprint lists all anchors of the text in order as 32-bit hashes in hex, after the number of their level,
+and for texts of which half may belong to the next level those of that level too. Two fingerprints are compared at the coarsest level that both hold: their
+likeness is the share of anchors in the longest chain that stands in the same order in both, and 0 without a common level, where one text is over twice as long.
 """
 
 from __future__ import annotations
@@ -33,9 +33,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _least(i: int) -> int:
+    """The code points from which on texts take level ``i``."""
+    k, s = LEVELS[i]
+    return 2 * (2 * k - s) if i < len(LEVELS) - 1 else 0
+
+
 def level(n: int) -> tuple[int, int]:
     """k and s for texts of ``n`` code points."""
-    return next(((k, s) for k, s in LEVELS if n >= 2 * (2 * k - s)), LEVELS[-1])
+    return LEVELS[levels(n)[0]]
+
+
+def levels(n: int) -> list[int]:
+    """The levels that a fingerprint of ``n`` code points holds: its own, and the next one where half a text may need it."""
+    own = next(i for i in range(len(LEVELS)) if n >= _least(i))
+    return [own, own + 1] if n < 2 * _least(own) else [own]
 
 
 def anchors(text: str, k: int | None = None, s: int | None = None) -> np.ndarray:
@@ -68,8 +80,9 @@ def anchors(text: str, k: int | None = None, s: int | None = None) -> np.ndarray
     return np.concatenate([first, (g >> np.uint64(32)).astype(np.uint32)])
 
 
-def fingerprint(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+def fingerprint(text: str) -> str:
+    """``<level>:<anchors in hex>`` for each level of the text, joined by ``|``."""
+    return "|".join(f"{i}:{anchors(text, *LEVELS[i]).astype('>u4').tobytes().hex()}" for i in levels(len(text)))
 
 
 def _turn(a: np.ndarray) -> np.ndarray:
@@ -111,12 +124,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 2 * matched_in_order(a, b) / (len(a) + len(b))
 
 
-def text_likeness(t: str, u: str, a: np.ndarray, b: np.ndarray) -> float:
-    """``likeness`` of two texts at the level of the shorter one; ``a`` and ``b`` are their anchors at their own levels."""
-    if t == u or not t or not u:
-        return float(t == u)
-    at = level(min(len(t), len(u)))
-    return likeness(a if level(len(t)) == at else anchors(t, *at), b if level(len(u)) == at else anchors(u, *at))
+def fingerprint_likeness(f: str, g: str) -> float:
+    """``likeness`` of two fingerprints at the coarsest level that both hold; 0 without one, 1 for equal ones."""
+    if f == g:
+        return 1.0
+    a, b = ({x[: x.index(":")]: x[x.index(":") + 1 :] for x in v.split("|")} for v in (f, g))
+    for i in sorted(a.keys() & b.keys()):
+        return likeness(*(np.frombuffer(bytes.fromhex(v[i]), ">u4").astype(np.uint32) for v in (a, b)))
+    return 0.0
 
 
 def edit(text: str, nxt: str) -> str:
@@ -169,11 +184,11 @@ def compare_with_next(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 if guest and done == to:
                     continue
                 t = batch["text"][i].as_py()
-                new = (batch["doc_id"][i].as_py(), t, anchors(t))
+                new = (batch["doc_id"][i].as_py(), t, fingerprint(t))
                 if held is not None:
                     e = edit(held[1], t)
-                    a = anchors(e)
-                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(held[2]), fingerprint(a), text_likeness(held[1], e, held[2], a), text_likeness(held[1], t, held[2], new[2])))
+                    f = fingerprint(e)
+                    out.append((held[0], len(held[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), held[2], f, fingerprint_likeness(held[2], f), fingerprint_likeness(held[2], new[2])))
                 held, done = (None, to) if guest else (new, done)
             if out:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
