@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import text_batches
+from tracesheaf.llm.common import spare_name, text_batches
 
 #: Fixed value: the pre-tokenisation pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,27 +188,28 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids",
     """
     text_batches(df.sparkSession)
     enc, keep = _encoder(tokenizer), [F.col(f"`{c}`") for c in df.columns if c != out]
-    body, key = F.coalesce(F.col(text), F.lit("")), "__bpe_key"
+    body, key = F.coalesce(F.col(text), F.lit("")), spare_name(df, "text_key")
+    joined, n, piece, part = (spare_name(df, x) for x in ("joined", "n", "piece", "part"))
     long = F.length(body) > piece_chars
     short = df.where(~long).select(*keep, enc(body).alias(out))
 
     pack, unpack = _packers(tokenizer)
     pieces = (
         df.where(long)
-        .select(F.sha2(F.col(text), 256).alias(key), F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece_chars}}}"), F.lit(0))).alias("n", "piece"))
-        .dropDuplicates([key, "n"])
-        .select(key, "n", pack(enc("piece")).alias("part"))
+        .select(F.sha2(F.col(text), 256).alias(key), F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece_chars}}}"), F.lit(0))).alias(n, piece))
+        .dropDuplicates([key, n])
+        .select(key, n, pack(enc(piece)).alias(part))
     )
 
     def assemble(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["n"].to_pylist(), range(table.num_rows)))
+        rows = sorted(zip(table[n].to_pylist(), range(table.num_rows)))
         c = codec(tokenizer)
-        whole = c.concat([np.frombuffer(table["part"][i].as_py(), c.packed).astype(np.int32) for _, i in rows])
-        return pa.table({key: table[key][:1].combine_chunks(), "joined": pa.array([whole.astype(c.packed).tobytes()], pa.binary())})
+        whole = c.concat([np.frombuffer(table[part][i].as_py(), c.packed).astype(np.int32) for _, i in rows])
+        return pa.table({key: table[key][:1].combine_chunks(), joined: pa.array([whole.astype(c.packed).tobytes()], pa.binary())})
 
-    whole = pieces.groupBy(key).applyInArrow(assemble, f"{key} string, joined binary")
+    whole = pieces.groupBy(key).applyInArrow(assemble, f"{key} string, {joined} binary")
     longs = df.where(long).select(*keep, F.sha2(F.col(text), 256).alias(key)).join(whole, key)
-    return short.unionByName(longs.select(*keep, unpack("joined").alias(out)))
+    return short.unionByName(longs.select(*keep, unpack(joined).alias(out)))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import WORD, written
+from tracesheaf.llm.common import WORD, spare_name, written
 
 WEIGHTS, CAP, STEPS, TOLERANCE, SALTS, PASSES = (5, 2, 1), 3, 40, 1e-4, 256, 6
 _SRC = ["s0", "s1"]
@@ -57,8 +57,8 @@ def solve_rates(cells: DataFrame, targets: DataFrame, cap: int = CAP, steps: int
         done = F.abs(gap) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target"))
         at = written(sums.select(*_SRC, "target", "mean", F.when(done, F.col("t")).otherwise(step).alias("t"), lo.alias("lo"), hi.alias("hi"), done.alias("done")), "dual", instead_of=at)
         if not at.where("not done").head(1):
-            break
-    return at.select(*_SRC, "t")
+            return at.select(*_SRC, "t")
+    raise RuntimeError(f"rates are not settled after {steps} steps")
 
 
 def cell_copies(cells: DataFrame, targets: DataFrame, rates: DataFrame, cap: int = CAP) -> DataFrame:
@@ -114,9 +114,9 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
 def apply_mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **settings) -> DataFrame:
     """``df`` with every row repeated as often as the mix takes it; rows with no copy go. Equal rows share their copies."""
     key = F.xxhash64(doc_id, text, source)
-    taken = mix(df, text, source, doc_id, **settings).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("__copies"))
-    taken = taken.where("__copies > 0").withColumnsRenamed({"doc_id": "__doc_id", "row_key": "__key"})
-    keyed = df.withColumn("__row", key)
-    joined = keyed.join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc_id")) & (F.col("__row") == F.col("__key")))
-    once = joined.dropDuplicates([doc_id, "__row"])
-    return once.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__n", "__copies", "__row", "__key", "__doc_id")
+    copies, own_id, own_key, row, n = (spare_name(df, x) for x in ("copies", "own_id", "own_key", "row", "n"))
+    taken = mix(df, text, source, doc_id, **settings).groupBy("doc_id", "row_key").agg(F.sum("copies").alias(copies))
+    taken = taken.where(F.col(copies) > 0).withColumnsRenamed({"doc_id": own_id, "row_key": own_key})
+    joined = df.withColumn(row, key).join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_key)))
+    once = joined.dropDuplicates([doc_id, row])
+    return once.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(n, copies, row, own_key, own_id)

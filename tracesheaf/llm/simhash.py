@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesheaf.llm.common import connected_components, text_batches, written
+from tracesheaf.llm.common import connected_components, spare_name, text_batches, written
 
 WORDS, RADIUS, SEED = 3, 2, 42
-#: Shards above this are split by the bits that they do not share before a tree is built.
+#: Shards above this are split by the bits that they do not share before trees are built, with the same links.
 TREE_NODES = 4096
 
 
@@ -194,7 +194,8 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: i
     mine = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
     # Components without any id are told apart by fingerprint alone; they are rare and each keeps one row for each fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    kept = classes.groupBy(group.alias("g")).agg(F.min(mine).alias("m")).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row_key").alias("__kept_key"))
-    rows = df.withColumn("__row_key", F.xxhash64(doc_id, text))
-    out = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__kept_id")) & (F.col("__row_key") == F.col("__kept_key")), "left_semi")
-    return out.dropDuplicates([doc_id, "__row_key"]).drop("__row_key")
+    own, kept_id, kept_key = (spare_name(df, n) for n in ("row_key", "kept_id", "kept_key"))
+    kept = classes.groupBy(group.alias("g")).agg(F.min(mine).alias("m")).select(F.col("m.doc_id").alias(kept_id), F.col("m.row_key").alias(kept_key))
+    rows = df.withColumn(own, F.xxhash64(doc_id, text))
+    out = rows.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_key)), "left_semi")
+    return out.dropDuplicates([doc_id, own]).drop(own)
