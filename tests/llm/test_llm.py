@@ -196,7 +196,7 @@ def test_syncmers_of_short_texts(spark):
             assert got == 1.0 if a == e else 0 < got < 1, (a, e)
             assert len(syncmers.anchors(a, syncmers.K, syncmers.S))
     assert syncmers.fingerprint_likeness(*[syncmers.fingerprint("")] * 2) == 1.0
-    assert syncmers.text_likeness("a", "", syncmers.anchors("a"), syncmers.anchors("")) == 0.0
+    assert syncmers.fingerprint_likeness(syncmers.fingerprint("a"), syncmers.fingerprint("")) == 0.0
 
 
 BASE = [
