@@ -83,8 +83,7 @@ def label_file(spark, sf_dir):
 def trace_files(spark, sf_dir):
     """K2 to K6: all trace tables, each of its own values, written as CSV and read back."""
     path = scratch_path(spark, "traces")
-    times = lambda k: F.transform("inferred_spikes", lambda v: v * k)
-    recs = records(spark, sf_dir).withColumns({"raw_trace": times(5), "dff": times(2), "dec_dff": times(3)})
+    recs = records(spark, sf_dir).withColumn("dff", F.transform("dec_dff", lambda v: v * 5))
     failed = sinks.export_traces(recs.select("fov", "roi", "raw_trace", "corrected_trace", "dff", "dec_dff", "inferred_spikes", "inferred_spikes_threshold"), path)
     if failed:
         raise RuntimeError(str(failed))
@@ -258,7 +257,7 @@ def random_choice(spark, sf_dir):
 @query
 def global_heights(spark, sf_dir):
     """Peaks above a fixed height."""
-    a = records(spark, sf_dir).select("fov", "roi", F.col("raw_trace").alias("trace"))
+    a = records(spark, sf_dir).select("fov", "roi", F.col("dec_dff").alias("trace"))
     from dataclasses import replace
 
     found = events.detect_peaks(a, "trace", replace(SETTINGS, peaks_height_mode="global_height", peaks_height_value=60.0))

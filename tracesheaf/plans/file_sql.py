@@ -20,7 +20,7 @@ _SYNC = {
     "jitter_window": "CASE WHEN n_i > 0 AND n_j > 0 THEN coalesce(h, 0) / (n_i + n_j)::DOUBLE ELSE 0 END AS value FROM pn LEFT JOIN (SELECT least(r, o) AS roi_i, greatest(r, o) AS roi_j, count(*) AS h FROM (SELECT DISTINCT a.roi AS r, b.roi AS o, a.frame FROM spk a JOIN spk b ON a.fov = b.fov AND a.roi <> b.roi AND abs(a.frame - b.frame) <= 2) GROUP BY ALL) USING (roi_i, roi_j)",
     "cross_correlation": "CASE WHEN n_i > 0 AND n_j > 0 THEN least(1, coalesce(c, 0) / sqrt(n_i * n_j)) ELSE 0 END AS value FROM pn LEFT JOIN (SELECT roi_i, roi_j, max(c) AS c FROM (SELECT a.roi AS roi_i, b.roi AS roi_j, b.frame - a.frame AS lag, count(*) AS c FROM spk a JOIN spk b ON a.fov = b.fov AND a.roi < b.roi AND abs(a.frame - b.frame) <= 5 GROUP BY ALL) GROUP BY ALL) USING (roi_i, roi_j)",
 }
-_TRACES = {"raw_data": "value * 5", "neuropil_corrected_data": "value - 0.5::DOUBLE * (value * 0.25::DOUBLE)", "dff_data": "value * 2", "dec_dff_data": "value * 3", "inferred_spikes_raw_data": "value", "inferred_spikes_thresholded_data": "spike"}
+_TRACES = {"raw_data": "value * 2", "neuropil_corrected_data": "value - 0.5::DOUBLE * (value * 0.25::DOUBLE)", "dff_data": "value * 5", "dec_dff_data": "value", "inferred_spikes_raw_data": "value * 3", "inferred_spikes_thresholded_data": "spike"}
 _NAMES = ["B{k}_0000_p{k}.json", "B{k}_x.json", "B{k}_00x0_p1.json", "B{k}_0000_p.json", "B-{k}_0000_p1.json", ".B{k}_0000_p1.json", "genotype_plate_map.json", "plate_plan.json", "settings.json", "B{k}.json", "B{k}_0000_p{k}.csv", "a_b_c_{k}.json"]
 
 _SETTINGS = {

@@ -18,19 +18,20 @@ SETTINGS = Settings(peaks_height_value=1.0, burst_threshold=20.0)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tr`` as records: its values are raw, deconvolved and spike trace, a quarter of them the neuropil, half of which is taken off."""
+    """``tr`` as records: its values are the deconvolved trace, twice them the raw one, three times the spikes, a quarter the neuropil, half of which is taken off the values."""
     tr = A.traces(spark, sf_dir)
     rows = F.array_sort(F.collect_list(F.struct("frame", "value", "t_ms")))
-    a = tr.groupBy("fov", "roi").agg(rows.alias("r"), ((F.max("t_ms") - F.min("t_ms")) / 1000).alias("seconds"), F.percentile("value", 0.75).alias("inferred_spikes_threshold"))
+    a = tr.groupBy("fov", "roi").agg(rows.alias("r"), ((F.max("t_ms") - F.min("t_ms")) / 1000).alias("seconds"), (F.percentile("value", 0.75) * 3).alias("inferred_spikes_threshold"))
     a = a.select("fov", "roi", F.col("r.value").alias("trace"), F.col("r.t_ms").alias("times"), "seconds", "inferred_spikes_threshold")
     p = events.detect_peaks(a, "trace", SETTINGS)
     power = F.map_from_entries(F.collect_list(F.struct(F.col("frame").cast("string"), "power")))
     stim = A.stimuli(spark, sf_dir).groupBy("fov").agg(power.alias("stimulations_frames_and_powers"))
     p = p.join(stim, "fov", "left")
-    quarter = F.transform("trace", lambda v: v * 0.25)
+    times = lambda k: F.transform("trace", lambda v: v * k)
+    quarter, twice, thrice = times(0.25), times(2), times(3)
     return A.conditions(p).select(
-        "fov", "roi", "condition", F.col("trace").alias("raw_trace"), quarter.alias("neuropil_trace"), F.zip_with("trace", quarter, lambda v, n: v - 0.5 * n).alias("corrected_trace"),
-        F.col("trace").alias("dec_dff"), F.col("trace").alias("inferred_spikes"), "inferred_spikes_threshold", F.col("peaks").alias("peaks_dec_dff"), F.col("amplitudes").alias("peaks_amplitudes_dec_dff"),
+        "fov", "roi", "condition", twice.alias("raw_trace"), quarter.alias("neuropil_trace"), F.zip_with("trace", quarter, lambda v, n: v - 0.5 * n).alias("corrected_trace"),
+        F.col("trace").alias("dec_dff"), thrice.alias("inferred_spikes"), "inferred_spikes_threshold", F.col("peaks").alias("peaks_dec_dff"), F.col("amplitudes").alias("peaks_amplitudes_dec_dff"),
         F.col("peaks_height").alias("peaks_height_dec_dff"), F.col("peaks_prominence").alias("peaks_prominence_dec_dff"), events.frequency(F.col("peaks"), F.col("seconds")).alias("dec_dff_frequency"),
         events.inter_event_intervals(F.col("peaks"), F.col("times")).alias("iei"), (40 + F.col("roi") % 7).cast("double").alias("cell_size"), F.lit("µm").alias("cell_size_units"),
         F.col("seconds").alias("total_recording_time_sec"), (F.size("peaks") > 0).alias("active"), (F.col("roi") % 4 == 0).alias("stimulated"), "stimulations_frames_and_powers", F.lit("100").alias("led_pulse_duration"),

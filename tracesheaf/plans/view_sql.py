@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: Table expressions beside those of plans/oracle.py.
 CTE = {
-    "va": "SELECT tr.fov, tr.roi, tr.frame, tr.value, n_peaks > 0 AS active, tr.roi % 4 = 0 AS stimulated, p75, CASE WHEN value > p75 THEN value ELSE 0 END AS spike FROM tr JOIN np ON np.roi = tr.roi JOIN p75 ON p75.roi = tr.roi",
+    "va": "SELECT tr.fov, tr.roi, tr.frame, tr.value, n_peaks > 0 AS active, tr.roi % 4 = 0 AS stimulated, p75, CASE WHEN value * 3 > p75 * 3 THEN value * 3 ELSE 0 END AS spike FROM tr JOIN np ON np.roi = tr.roi JOIN p75 ON p75.roi = tr.roi",
     "vcor": "SELECT fov, roi, frame, value - 0.5::DOUBLE * (value * 0.25::DOUBLE) AS value FROM tr",
     "vdff": "SELECT fov, roi, frame, (value - b) / nullif(b, 0) AS value FROM (SELECT *, quantile_cont(value, 0.1) OVER (PARTITION BY fov, roi ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS b FROM tr)",
     "vact": "SELECT * FROM va WHERE active",
@@ -159,7 +159,7 @@ _CLASS = "SELECT p AS fov, label AS roi, lab.y, lab.x, CASE WHEN overlap > 0.1::
 _PANEL = "SELECT fov, stimulated, power_pulse, round(avg(amplitude), 6) AS mean, round(stddev_pop(amplitude) / sqrt(count(*)), 6) AS err, count(*) AS n FROM evk WHERE {} GROUP BY ALL"
 
 BODY = {
-    "traces_raw": _TRACE.format("tr"),
+    "traces_raw": "SELECT fov, roi, frame, round(value * 2, 6) AS value FROM tr",
     "traces_corrected": _TRACE.format("vcor"),
     "traces_normalized": _norm("vcor"),
     "dff": _TRACE.format("vdff"),
@@ -171,10 +171,10 @@ BODY = {
     "dec_dff_normalized_active": _norm("vact"),
     "dec_dff_normalized_peaks": _peaked(_norm("vact")),
     "neuropil_masks": "SELECT *, roi = max(roi) OVER (PARTITION BY fov, part, y, x) AS shown FROM (SELECT p AS fov, label AS roi, y, x, 'cell' AS part FROM lab UNION ALL SELECT p, label, y, x, 'ring' FROM rng JOIN (SELECT p, label, min(k) AS need FROM (SELECT p, label, k, sum(count(*)) OVER (PARTITION BY p, label ORDER BY k) AS c FROM rng GROUP BY p, label, k) WHERE c >= 20 GROUP BY ALL) USING (p, label) WHERE k <= need)",
-    "neuropil_traces": "SELECT fov, roi, frame, round(value, 6) AS raw_trace, round(value * 0.25::DOUBLE, 6) AS neuropil_trace, round(value - 0.5::DOUBLE * (value * 0.25::DOUBLE), 6) AS corrected_trace FROM tr",
-    "spikes_raw": _TRACE.format("tr"),
+    "neuropil_traces": "SELECT fov, roi, frame, round(value * 2, 6) AS raw_trace, round(value * 0.25::DOUBLE, 6) AS neuropil_trace, round(value - 0.5::DOUBLE * (value * 0.25::DOUBLE), 6) AS corrected_trace FROM tr",
+    "spikes_raw": "SELECT fov, roi, frame, round(value * 3, 6) AS value FROM tr",
     "spikes_thresholded": _TRACE.format("vsp"),
-    "spikes_raw_threshold": "SELECT fov, roi, frame, round(p75, 6) AS inferred_spikes_threshold, round(value, 6) AS value FROM va",
+    "spikes_raw_threshold": "SELECT fov, roi, frame, round(p75 * 3, 6) AS inferred_spikes_threshold, round(value * 3, 6) AS value FROM va",
     "spikes_normalized": _norm("vsp"),
     "spikes_normalized_active": _norm("vsa"),
     "spikes_normalized_bursts": f"SELECT t.*, burst_id FROM ({_norm('vsa')}) t LEFT JOIN ({_OVERLAY}) b ON b.fov = t.fov AND t.frame >= b.start AND t.frame < b.\"end\"",

@@ -46,6 +46,13 @@ def write_results(records: DataFrame, path: str) -> None:
     lines.select("fov", "value").write.partitionBy("fov").option("maxRecordsPerFile", 0).text(path)
 
 
+def wide_traces(records: DataFrame, trace: str) -> DataFrame:
+    """K2 to K6 as a table: rows ``<fov>_<roi>`` with columns t0.., blanks after shorter traces; null traces are left out. For files see ``write_traces``."""
+    rows = records.where(F.col(trace).isNotNull())
+    n = rows.agg(F.max(F.size(trace))).first()[0] or 0
+    return rows.select(F.concat_ws("_", "fov", "roi").alias("key"), *[F.get(trace, F.lit(i)).alias(f"t{i}") for i in range(n)])
+
+
 def csv_cell(value: Column) -> Column:
     """A text as a CSV cell: in quotes, its own doubled, where it holds a comma, a quote or a line break."""
     return F.when(F.rlike(value, F.lit(r'[",\r\n]')), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
