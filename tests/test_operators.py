@@ -133,6 +133,23 @@ def test_from_pixels_to_views_and_tables(spark, tmp_path):
     assert readers.read_settings(spark, str(folder / "settings.json")) == Settings(dff_window=20, decay_constant=0.5)
 
 
+def test_fields_with_parameters_of_their_own(spark):
+    """Views of many fields take each field's parameters from its first region; null leaves the caller's."""
+    train = [0.0] * 10 + [1.0] * 4 + [0.0] * 10 + [1.0] * 2 + [0.0] * 14
+    schema = "fov string, roi int, active boolean, raw_trace array<double>, inferred_spikes array<double>, inferred_spikes_threshold double, total_recording_time_sec double, spikes_burst_threshold double, spikes_burst_min_duration int, spikes_burst_gaussian_sigma double"
+    own = {"a": (50.0, 3, 0.0), "b": (50.0, 1, 0.0), "c": (50.0, 1, 0.0), "d": (None, None, None)}
+    rows = [(f, r, True, train, train, 0.5, 4.0, *(v if r == 1 else (99.0, 9, 0.0))) for f, v in own.items() for r in (1, 2)]
+    recs, given = spark.createDataFrame(rows, schema), Settings(burst_min_duration=40, burst_gaussian_sigma=0.0)
+    assert len(views.by_settings("burst_activity", recs, given)) == 3 and views.by_settings("iei", recs, given) == [(recs, given)]
+    (narrowed,) = views.by_settings("burst_activity", recs.where("fov = 'a'"), given)
+    assert narrowed[1] == Settings(burst_threshold=50.0, burst_min_duration=3, burst_gaussian_sigma=0.0)
+    found = views.view("burst_activity", recs, given)
+    each = {f: sorted(map(str, views.view("burst_activity", recs, given, fov=f).collect())) for f in own}
+    assert sorted(map(str, found.collect())) == sorted(x for v in each.values() for x in v)
+    assert len(each["a"]) == 1 and len(each["b"]) == len(each["c"]) == 2 and not each["d"]
+    assert views.view("burst_activity", recs.limit(0), given).count() == 0
+
+
 def test_neuropil_correction_takes_the_ring_off(spark):
     px, labels, meta, plate = _recording(spark, 20)
     grid = spark.createDataFrame([("d", 0, t, y, x, 1.0) for t in range(20) for y in range(4, 12) for x in range(15)], px.schema)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,27 +228,46 @@ GROUPED: dict[str, View] = (
 )
 
 
-#: Records' fields that stand for a setting, and the setting.
-_OWN = {
-    "calcium_network_threshold": "calcium_network_threshold", "calcium_sync_jitter_window": "calcium_sync_jitter_window", "spikes_sync_cross_corr_lag": "spikes_sync_cross_corr_lag",
-    "spikes_burst_threshold": "burst_threshold", "spikes_burst_min_duration": "burst_min_duration", "spikes_burst_gaussian_sigma": "burst_gaussian_sigma", "led_power_equation": "led_power_equation",
+_BURST_FIELDS = {f"spikes_burst_{k}": f"burst_{k}" for k in ("threshold", "min_duration", "gaussian_sigma")}
+_NETWORK, _EQUATION = ({k: k} for k in ("calcium_network_threshold", "led_power_equation"))
+#: Views that read settings, with the records' fields that hold these and the settings' names.
+_OWN: dict[str, dict[str, str]] = {
+    "peak_synchrony": {"calcium_sync_jitter_window": "calcium_sync_jitter_window"},
+    "spike_synchrony": {"spikes_sync_cross_corr_lag": "spikes_sync_cross_corr_lag"},
+    "network": _NETWORK, "connectivity_matrix": _NETWORK,
+    "burst_activity": _BURST_FIELDS, "spikes_normalized_bursts": _BURST_FIELDS,
+    "stim_peaks_amp": _EQUATION, "non_stim_peaks_amp": _EQUATION,
 }
 
 
-def own_settings(records: DataFrame, settings: Settings) -> Settings:
-    """``settings`` with what the first region of one field's records holds."""
-    names = [c for c in _OWN if c in records.columns]
-    first = select.first_setting(records, names).first() if names else None
-    return replace(settings, **{_OWN[c]: first[c] for c in names if first[c] is not None}) if first else settings
+def by_settings(name: str, records: DataFrame, settings: Settings) -> list[tuple[DataFrame, Settings]]:
+    """``records`` parted by what their fields' first regions hold for the settings that view ``name`` reads; null leaves the caller's.
+
+    What reaches the driver is each different set of parameters once, however many fields share it.
+    """
+    names = {c: k for c, k in _OWN.get(name, {}).items() if c in records.columns}
+    if not names:
+        return [(records, settings)]
+    first = select.first_setting(records, list(names)).withColumnRenamed("fov", "__own_fov")
+    parts = first.select(*names).distinct().orderBy(*names).collect()
+    out = []
+    for held in parts:
+        own = replace(settings, **{k: held[c] for c, k in names.items() if held[c] is not None})
+        if len(parts) == 1:
+            return [(records, own)]
+        same = reduce(and_, [F.col(c).eqNullSafe(F.lit(held[c])) for c in names])
+        out.append((records.join(first.where(same).select("__own_fov"), F.col("fov").eqNullSafe(F.col("__own_fov")), "left_semi"), own))
+    return out or [(records, settings)]
 
 
 def view(name: str, data: DataFrame, settings: Settings = Settings(), fov: str | None = None, rois: list[int] | str | None = None, **more) -> DataFrame:
-    """A view by name. ``fov`` and ``rois`` narrow the records first; of one field the parameters are its own."""
+    """A view by name. ``fov`` and ``rois`` narrow the records first; each field's parameters are its own where its records hold them."""
     if name in GROUPED:
         return GROUPED[name](data, **more)
     if name not in SINGLE:
         raise ValueError(f"no view {name}")
     if fov is not None:
         data = data.where(F.col("fov") == fov)
-        settings = own_settings(data, settings)
-    return SINGLE[name](select.select_rois(data, rois) if rois is not None else data, settings, **more)
+    parts = [SINGLE[name](select.select_rois(d, rois) if rois is not None else d, s, **more) for d, s in by_settings(name, data, settings)]
+    out = reduce(DataFrame.unionByName, parts)
+    return evoked.by_power(out) if len(parts) > 1 and _OWN[name] is _EQUATION else out
