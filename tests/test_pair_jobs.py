@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesheaf.operators import cluster, pairs, traces
+from tracesheaf.plans.views import view
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,14 @@ def test_squares_of_blocks_give_the_tree_of_the_edges(arrays, monkeypatch, most)
     for block in (1, 5) if most > 3 else (5,):
         got = filled(cluster.cluster(pairs.trace_correlation(few, block=block, give="distances"), pairs.correlated_regions(few)))
         assert len(got) == 30 and (want is None or got == want)
+
+
+def test_frames_keep_their_power_and_not_the_whole_map(spark, no_small_tables):
+    """Rows of a field do not meet in one task, and none carries the powers of all frames."""
+    schema = "fov long, roi long, dec_dff array<double>, active boolean, stimulated boolean, stimulations_frames_and_powers map<string,int>"
+    records = spark.createDataFrame([(1, r, [float(r), 2.0, 3.0], True, r == 1, {"0": 7, "2": 9}) for r in (1, 2)] + [(2, 3, [1.0, 5.0], True, True, None)], schema)
+    shown = view("stim_vs_non_traces", records)
+    rows_side = plan(shown).split("BroadcastExchange")[0]
+    assert "SortMergeJoin" not in rows_side and "hashpartitioning(fov" not in rows_side
+    assert "stimulations_frames_and_powers" not in rows_side.split("BroadcastHashJoin")[0]
+    assert [(r.roi, r.frame, r.stim_power) for r in shown.collect()] == [(2, 0, 7), (2, 1, None), (2, 2, 9), (1, 0, 7), (1, 1, None), (1, 2, 9), (3, 0, None), (3, 1, None)]
