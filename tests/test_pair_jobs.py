@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracesheaf.operators import cluster, pairs, traces
 from tracesheaf.plans.views import view
+from tracesheaf.sources import adapters
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +109,7 @@ def test_frames_keep_their_power_and_not_the_whole_map(spark, no_small_tables):
     assert "SortMergeJoin" not in rows_side and "hashpartitioning(fov" not in rows_side
     assert "stimulations_frames_and_powers" not in rows_side.split("BroadcastHashJoin")[0]
     assert [(r.roi, r.frame, r.stim_power) for r in shown.collect()] == [(2, 0, 7), (2, 1, None), (2, 2, 9), (1, 0, 7), (1, 1, None), (1, 2, 9), (3, 0, None), (3, 1, None)]
+
+
+def test_traces_are_dealt_to_all_partitions(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(adapters.traces(spark, sf)) and adapters.traces(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
