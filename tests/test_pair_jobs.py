@@ -100,6 +100,33 @@ def test_squares_of_blocks_give_the_tree_of_the_edges(arrays, monkeypatch, most)
         assert len(got) == 30 and (want is None or got == want)
 
 
+@pytest.mark.parametrize("absolute", [False, True])
+def test_trees_come_from_the_nearest_pairs(spark, arrays, monkeypatch, absolute):
+    """Runs over the pairs that let out only the nearest give the rows of a tree from all edges, also with equal traces, equal distances, flat traces and several lengths."""
+    rng = random.Random(8)
+    more = [(4, r, [float(rng.random() < 0.3) for _ in range(10)]) for r in range(40)] + [(5, r, [1.0, 0.0, 2.0] if r % 3 else [0.0] * 3) for r in range(20)] + [(6, r, [float(r == k) for k in range(9)]) for r in range(9)]
+    traces = arrays.union(spark.createDataFrame(more, "fov long, roi long, trace array<double>"))
+    filled = lambda df: rows(df.fillna(-1))
+    want = filled(cluster.cluster(pairs.trace_correlation(traces, absolute=absolute)))
+    assert filled(cluster.tree(traces, absolute=absolute)) == want
+    for k, v in {"WHOLE": 12, "NEAREST": 2, "PARTS": 2, "STRIP": 7}.items():
+        monkeypatch.setattr(cluster, k, v)
+    monkeypatch.setattr(pairs, "BLOCK", 20)
+    assert filled(cluster.tree(traces, absolute=absolute)) == want
+
+
+def test_no_square_of_a_field_leaves_the_tasks(spark, monkeypatch):
+    """Of a field of more than WHOLE regions few pairs are written, however many it has."""
+    rng, let_out = np.random.default_rng(9), []
+    traces = spark.createDataFrame([(1, r, [float(x) for x in rng.normal(size=8)]) for r in range(300)], "fov long, roi long, trace array<double>")
+    nearest = cluster._nearest
+    monkeypatch.setattr(cluster, "WHOLE", 50)
+    monkeypatch.setattr(cluster, "NEAREST", 4)
+    monkeypatch.setattr(cluster, "_nearest", lambda *a: let_out.append(nearest(*a)) or let_out[-1])
+    assert cluster.tree(traces).count() == 599
+    assert len(let_out) > 1 and max(df.agg(F.sum(F.size("d"))).first()[0] for df in let_out) < 300 * 16
+
+
 def test_frames_keep_their_power_and_not_the_whole_map(spark, no_small_tables):
     """Rows of a field do not meet in one task, and none carries the powers of all frames."""
     schema = "fov long, roi long, dec_dff array<double>, active boolean, stimulated boolean, stimulations_frames_and_powers map<string,int>"
