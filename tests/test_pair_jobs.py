@@ -115,6 +115,16 @@ def test_trees_come_from_the_nearest_pairs(spark, arrays, monkeypatch, absolute)
     assert filled(cluster.tree(traces, absolute=absolute)) == want
 
 
+def test_squares_leave_their_tasks_whole(arrays):
+    """Both directions and the diagonal, with places and without, are what mirroring the pairs gives; no row is exploded."""
+    square = pairs.trace_square(arrays)
+    assert rows(square) == rows(pairs.matrix(pairs.trace_correlation(arrays)))
+    tree = cluster.tree(arrays)
+    placed = pairs.trace_square(arrays, places=tree.where("kind = 'leaf'").select("fov", "roi", F.col("step").alias("place")))
+    assert rows(placed) == rows(cluster.reordered(pairs.trace_correlation(arrays), tree))
+    assert "Generate" not in plan(square).split("FlatMapGroupsInArrow")[0]
+
+
 def test_no_square_of_a_field_leaves_the_tasks(spark, monkeypatch):
     """Of a field of more than WHOLE regions few pairs are written, however many it has."""
     rng, let_out = np.random.default_rng(9), []
