@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesheaf.operators import cluster, pairs, traces
+from tracesheaf.plans import file_queries
 from tracesheaf.plans.views import view
 from tracesheaf.sources import adapters
 
@@ -73,6 +74,13 @@ def test_sums_and_counts_stand_for_the_pairs(spark):
     assert np.allclose(rows(pairs.network_statistics(counted, pairs.paired_regions(rois))), rows(pairs.network_statistics(whole)))
 
 
+def test_trains_of_several_methods_are_made_once(spark, sf):
+    """The plan of all methods reads saved trains and no table of events."""
+    found = file_queries.synchrony_methods(spark, sf)
+    assert not any(f.endswith("events.parquet") for f in found.inputFiles()) and any("/trains-" in f for f in found.inputFiles())
+    assert {r.method for r in found.select("method").distinct().collect()} == {"jitter_window", "cross_correlation", "correlation"}
+
+
 def test_ranks_by_bins(spark):
     rng = random.Random(7)
     groups = {"a": [rng.gauss(0, 1) for _ in range(2000)], "b": [5.0] * 40, "c": [-1.0], "d": [0.0, -0.0, 1e-320, -1e300, 1e300, float("inf")], "e": [rng.choice([-3.0, 0.0, 3.0]) for _ in range(60)]}
