@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesheaf.operators import cluster, pairs, traces
-from tracesheaf.plans import file_queries
+from tracesheaf.plans import file_queries, registry
 from tracesheaf.plans.views import view
 from tracesheaf.sources import adapters
 
@@ -158,3 +158,37 @@ def test_frames_keep_their_power_and_not_the_whole_map(spark, no_small_tables):
 
 def test_traces_are_dealt_to_all_partitions(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(adapters.traces(spark, sf)) and adapters.traces(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_trains_are_dealt_eight_times_however_many(spark):
+    """What is shuffled grows with the regions of a field and not with their square; a task gives its pairs a strip at a time."""
+    many = spark.range(20_000).select(F.lit(1).cast("long").alias("fov"), F.col("id").alias("roi"), F.array(F.lit(1.0), F.lit(2.0)).alias("trace"))
+    assert pairs.dealt_blocks(many, ("trace",)).count() == 8 * 20_000
+
+
+def test_strips_of_a_task_give_its_pairs(arrays, monkeypatch):
+    """Pairs, both directions, sums and counts are the same from strips of any size, also where rows of a region come twice."""
+    traces = arrays.union(arrays.where("roi = 101"))
+    gives = ("pairs", "square", "values", "regions")
+    job = lambda give: pairs.trace_correlation(traces, give=give)
+    whole = {give: job(give) for give in gives}
+    sums = lambda df: rows(df.groupBy("fov", "roi").agg(F.sum("pairs"), F.round(F.sum("total"), 9)))
+    counts = lambda df: rows(df.groupBy("fov", F.round("value", 9)).agg(F.sum("pairs")))
+    seen = {"pairs": rows, "square": rows, "values": counts, "regions": sums}
+    near = lambda found: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found]
+    want = {give: near(seen[give](df)) for give, df in whole.items()}
+    monkeypatch.setattr(pairs, "HELD", 7)
+    for give in gives:
+        assert near(seen[give](job(give))) == want[give]
+    monkeypatch.setattr(pairs, "TILE", 4)
+    assert near(rows(job("pairs"))) == want["pairs"]
+    assert len(want["pairs"]) > 0 and not any(r[1] == r[2] for r in want["pairs"])
+
+
+def test_rounding_by_a_product_is_rounding(spark):
+    """Results are those of ``round`` to the last bit, with ties, signs, nulls and what is too large for a product."""
+    rng = random.Random(11)
+    some = [0.0, -0.0, 0.0078125, -0.0078125, 0.1234565, 1.0000005, -2.5e-7, 5e-7, 1e-320, 1e17, -1e300, float("nan"), float("inf"), float("-inf"), None]
+    some += [rng.uniform(-1, 1) for _ in range(3000)] + [rng.randrange(10**9) / 1e7 for _ in range(3000)] + [rng.gauss(0, 1e6) for _ in range(500)]
+    found = spark.createDataFrame([(x,) for x in some], "x double").select(registry.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b")).collect()
+    assert [repr(r.a) for r in found] == [repr(r.b) for r in found]
