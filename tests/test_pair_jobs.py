@@ -185,6 +185,17 @@ def test_strips_of_a_task_give_its_pairs(arrays, monkeypatch):
     assert len(want["pairs"]) > 0 and not any(r[1] == r[2] for r in want["pairs"])
 
 
+@pytest.mark.parametrize("size", [1, 5, 64, 255])
+def test_counts_of_several_lags_in_one_product(size, monkeypatch):
+    """Trains of 0 and 1 come from packed counts, which are those of a product for each lag."""
+    rng = np.random.default_rng(10)
+    x, y = ((rng.random((n, size)) < p).astype(float) for n, p in ((20, 0.5), (13, 1.0)))
+    monkeypatch.setattr(pairs, "TILE", 6)
+    for a, b in ((x, y), (y, x), (x, x)):
+        single = [z.astype(np.float32) for z in (a, b)]
+        assert (pairs._counted(a, b) == pairs._direct(*single, True)).all() and (pairs._best_lag(a, b, True) == pairs._counted(a, b)).all()
+
+
 def test_rounding_by_a_product_is_rounding(spark):
     """Results are those of ``round`` to the last bit, with ties, signs, nulls and what is too large for a product."""
     rng = random.Random(11)
