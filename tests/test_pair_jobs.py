@@ -1,5 +1,6 @@
 """Pair jobs whose pairs are many times their regions: what is run once, what is never shuffled, and the sums that stand for the pairs."""
 
+import math
 import random
 import time
 
@@ -203,3 +204,31 @@ def test_rounding_by_a_product_is_rounding(spark):
     some += [rng.uniform(-1, 1) for _ in range(3000)] + [rng.randrange(10**9) / 1e7 for _ in range(3000)] + [rng.gauss(0, 1e6) for _ in range(500)]
     found = spark.createDataFrame([(x,) for x in some], "x double").select(registry.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b")).collect()
     assert [repr(r.a) for r in found] == [repr(r.b) for r in found]
+
+
+@pytest.mark.parametrize("about", [0.005, 0.0])
+def test_a_threshold_takes_one_run_over_the_pairs(spark, arrays, monkeypatch, about):
+    """Threshold and number of links are those of all pairs, also where the first range does not hold the rank; values of other ranges leave no task."""
+    rng = random.Random(12)
+    more = [(4, r, [float(rng.random() < 0.3) for _ in range(10)]) for r in range(60)] + [(5, r, [1.0, 0.0, 2.0]) for r in range(20)]
+    traces = arrays.union(spark.createDataFrame(more, "fov long, roi long, trace array<double>"))
+    whole = pairs.trace_correlation(traces)
+    monkeypatch.setattr(pairs, "GUESS", (9, 20))
+    monkeypatch.setattr(pairs, "ABOUT", about)
+    for percentile in (90, 0, 99.9):
+        linked = pairs.connectivity(whole, percentile)
+        want = rows(linked.groupBy("fov").agg(F.round(F.first("threshold"), 9), F.count(F.when(F.col("connected"), 1))))
+        found = pairs.links(traces, percentile)
+        assert rows(found.select("fov", F.round("threshold", 9), "edges")) == want
+    assert rows(pairs.trace_correlation(traces, least=found).select("fov", "roi_i", "roi_j")) == rows(linked.where("connected").select("fov", "roi_i", "roi_j"))
+
+
+def test_views_of_networks_let_out_what_they_show(spark, monkeypatch):
+    """The pairs are run through once for the threshold and once for the rows, and no job gives every pair but that of the matrix."""
+    records = spark.createDataFrame([(1, r, [math.sin(r * k) for k in range(9)], True) for r in range(40)], "fov long, roi long, dec_dff array<double>, active boolean")
+    jobs, run = [], pairs.block_pairs
+    monkeypatch.setattr(pairs, "block_pairs", lambda *a, **k: jobs.append(k.get("give", a[4] if len(a) > 4 else "pairs")) or run(*a, **k))
+    shown = view("network", records)
+    assert jobs == ["pairs", "window", "pairs"] and 0 < shown.count() < 100
+    jobs.clear()
+    assert view("connectivity_matrix", records).count() == 40 * 39 and jobs == ["pairs", "window", "square"]
