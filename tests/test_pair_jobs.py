@@ -232,3 +232,25 @@ def test_views_of_networks_let_out_what_they_show(spark, monkeypatch):
     assert jobs == ["pairs", "window", "pairs"] and 0 < shown.count() < 100
     jobs.clear()
     assert view("connectivity_matrix", records).count() == 40 * 39 and jobs == ["pairs", "window", "square"]
+
+
+def test_trees_take_single_precision_for_what_is_far(monkeypatch):
+    """Distances of clusters are those of double precision to the last unit, with equal and flat traces and unequal lengths, though most pairs are not correlated in it."""
+    rng = np.random.default_rng(13)
+    calls, best = [], pairs._best_lag
+    monkeypatch.setattr(pairs, "_best_lag", lambda *a: calls.append(1) or best(*a))
+    monkeypatch.setattr(cluster, "STRIP", 50)
+    monkeypatch.setattr(cluster, "FEW", 1.5)
+    traces = [np.round(rng.normal(size=30 if k % 9 else 20), 2) for k in range(160)]
+    traces[1], traces[2] = traces[3], np.ones(30)
+    names = [np.sort(rng.integers(0, 12, 90)), np.sort(rng.integers(20, 24, 70))]
+    off = int(np.ceil(pairs.single_error(30) * 1e8)) + 1
+    for sides, same in (([(names[0], traces[:90]), (names[1], traces[90:])], False), ([(names[0], traces[:90])] * 2, True)):
+        which, held = [s[0] for s in sides], [s[1] for s in sides]
+        want = cluster._cluster_distances(which, held, same, False)
+        calls.clear()
+        assert (cluster._cluster_distances(which, held, same, False, off) == want)[~np.eye(*want.shape, dtype=bool) if same else ...].all() and not calls
+        left, right = np.array([0, 1, 3]), np.array([1, 2, 2]) if not same else np.array([1, 2, 4])
+        monkeypatch.setattr(cluster, "FEW", 0.001)
+        assert (cluster._exactly(which, held, np.unique(which[0])[left], np.unique(which[1])[right]) == want[left, right]).all()
+        monkeypatch.setattr(cluster, "FEW", 1.5)
