@@ -254,3 +254,8 @@ def test_trees_take_single_precision_for_what_is_far(monkeypatch):
         monkeypatch.setattr(cluster, "FEW", 0.001)
         assert (cluster._exactly(which, held, np.unique(which[0])[left], np.unique(which[1])[right]) == want[left, right]).all()
         monkeypatch.setattr(cluster, "FEW", 1.5)
+
+
+def test_views_of_synchrony_make_their_trains_once(spark, sf):
+    found = registry.queries()["view_spike_synchrony"](spark, sf)
+    assert not any(f.endswith("events.parquet") for f in found.inputFiles()) and any("/trains-" in f for f in found.inputFiles())
